@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 from collections.abc import Iterator
 
@@ -98,9 +97,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-@functools.cache
-def _byte_codes() -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+_BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 
 
 _powers: dict[int, np.ndarray] = {}
@@ -125,4 +122,18 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(_byte_codes()[buf], starts, ends)
+    return span_hash(_BYTE_CODES[buf], starts, ends)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Writes `df` as Parquet into the shared checkpoint folder and reads it back; the table goes when the driver ends."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/foliant-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.parquet(path)
