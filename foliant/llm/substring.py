@@ -118,17 +118,17 @@ def _search(window: int):
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
             fresh[0] = (key[0], content[0]) != last
-            size = np.cumsum(np.frombuffer(batch.column(3).buffers()[1], np.int32, len(key) + 1 + batch.column(3).offset)[batch.column(3).offset :][1:] // 8)
+            words_to = np.frombuffer(batch.column(3).buffers()[1], np.int32, len(key) + 1 + batch.column(3).offset)[batch.column(3).offset :] // 8
             new_key = np.flatnonzero(np.concatenate(([key[0] != last[0]], key[1:] != key[:-1])))
             at = 0
             for i in new_key.tolist():
-                words = int(size[i - 1] - (size[at - 1] if at else 0)) if i > at else 0
+                words = int(words_to[i] - words_to[at])
                 if n + words >= SHARD_WORDS:
                     held.append(batch.slice(at, i - at).filter(pa.array(fresh[at:i])))
                     yield shard(held)
                     held, n, at = [], 0, i
             held.append(batch.slice(at).filter(pa.array(fresh[at:])))
-            n += int(size[-1] - (size[at - 1] if at else 0))
+            n += int(words_to[-1] - words_to[at])
             last = (key[-1], content[-1])
         if sum(map(len, held)):
             yield shard(held)
