@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import mix64, powers, text_blocks
 
@@ -143,39 +144,59 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 7, rate: float
     must share a q-gram; items shorter than q must occur exactly; null and empty items occur nowhere, null and
     empty texts hold nothing. Repeated rows, of either table, give rows of their own; null ids are allowed. Other columns are left out.
     """
-    spark = docs.sparkSession
     kinds = [docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
-    out = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, place bigint"
-    items = benchmark.filter(F.length(text) > 0).select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS) if chars <= BLOCK_CHARS else 2 * (chars // BLOCK_CHARS) + 1)
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts = []
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = sorted(mine.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-        sent = spark.sparkContext.broadcast([(r["item_id"], fold(r["text"].encode())) for r in rows])
+    for sent in _sent_blocks(benchmark, item_id, text):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(sent.value, q, rate)
             for batch in batches:
                 for (ids,), buf, offs in text_blocks([batch.column(0)], batch.column(1)):
-                    chars_before = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
-                    best: dict[tuple[int, int], tuple[int, int]] = {}
-                    for doc, n, edits, at in index.matches(fold(buf.tobytes()), chars_before[offs]):
-                        best[doc, n] = min(best.get((doc, n), (1 << 30, 0)), (edits, at))
-                    where = pa.array([doc for doc, _ in best], pa.int64())
+                    best = _fewest(index, buf, offs)
                     item = pa.array([index.items[n][0] for _, n in best], item_type)
-                    yield pa.RecordBatch.from_arrays([ids.take(where), item, pa.array([e for e, _ in best.values()], pa.int32()), pa.array([a for _, a in best.values()], pa.int64())], ["doc_id", "item_id", "edits", "place"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
+                    columns = [ids.take(pa.array([doc for doc, _ in best], pa.int64())), item, pa.array([e for e, _ in best.values()], pa.int32()), pa.array([a for _, a in best.values()], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "edits", "place"])
 
-        item_type = to_arrow_type(benchmark.schema[item_id].dataType)
-        parts.append(texts.mapInArrow(run, out))
+        parts.append(texts.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, place bigint"))
     return reduce(DataFrame.unionAll, parts)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no item, whole rows. Documents are told apart by id; a null id goes if any null-id document holds one."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def _sent_blocks(benchmark: DataFrame, item_id: str, text: str) -> list:
+    """Broadcasts of (item, folded text), each of a bounded number of characters."""
+    items = benchmark.filter(F.length(text) > 0).select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = 1 if chars <= BLOCK_CHARS else 2 * (chars // BLOCK_CHARS) + 1
+    found = []
+    for b in range(blocks):
+        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = sorted(mine.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+        found.append(benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], fold(r["text"].encode())) for r in rows]))
+    return found
+
+
+def _fewest(index: ItemIndex, buf: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+    """(document, item) of a block of texts to (edits, place)."""
+    chars_before = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for doc, n, edits, at in index.matches(fold(buf.tobytes()), chars_before[offs]):
+        best[doc, n] = min(best.get((doc, n), (1 << 30, 0)), (edits, at))
+    return best
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 7, rate: float = 0.1, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows whose text holds no item; each row is judged by itself, and none is moved."""
+    at = docs.columns.index(text)
+    for sent in _sent_blocks(benchmark, item_id, text):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(sent.value, q, rate)
+            for batch in batches:
+                for columns, buf, offs in text_blocks(batch.columns, batch.column(at)):
+                    good = np.ones(len(offs) - 1, bool)
+                    good[[doc for doc, _ in _fewest(index, buf, offs)]] = False
+                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

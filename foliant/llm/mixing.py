@@ -141,8 +141,11 @@ def plan_mix(docs: DataFrame, seed: int = 7, text: str = "text", **targets) -> D
 
 def mix(docs: DataFrame, seed: int = 7, text: str = "text", **targets) -> DataFrame:
     """The documents that the mix takes, whole rows with `copies` (at least 1)."""
-    plan = plan_mix(docs, seed, text, **targets).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("i").alias("_i"), "copies")
-    one_of = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64(F.col(text)))
-    rows = docs.drop("copies").withColumn("_size", word_count(F.col(text))).withColumn("_row", F.row_number().over(one_of))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & (F.col("_row") == F.col("_i"))
-    return rows.join(plan, on).drop("_d", "_s", "_n", "_i", "_size", "_row")
+    plan = cut(plan_mix(docs, seed, text, **targets).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("i").alias("_i"), "copies"))
+    rows = docs.drop("copies").withColumn("_size", word_count(F.col(text)))
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
+    if not plan.filter("_i > 1").isEmpty():  # rows equal in id, source and size: which of them is which
+        one_of = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64(F.col(text)))
+        rows = rows.withColumn("_row", F.row_number().over(one_of))
+        on &= F.col("_row") == F.col("_i")
+    return rows.join(plan, on).select(*docs.drop("copies").columns, "copies")

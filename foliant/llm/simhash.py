@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_blocks
+from .common import cut, row_key, text_blocks
 
 _U = np.uint64
 
@@ -255,10 +255,28 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, max_bits: i
     component of only such rows has a null component_id. Repeated rows stay. Other columns are left out.
     """
     prints = cut(fingerprints(docs, width, seed, doc_id, text))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    least = cut(least)
-    root = components(fingerprint_links(least, max_bits, blocks))
-    tied = least.join(root, least["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    tied = _tied(least, max_bits, blocks)
     classes = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     named = tied.join(classes, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _tied(least: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """least (one row a fingerprint, fp) with the root of its component."""
+    root = components(fingerprint_links(least, max_bits, blocks))
+    return least.join(root, least["fp"] == root["node"], "left").select(*least.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, max_bits: int = 4, blocks: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whole rows, one of each component: the one of the smallest id (null last), then of the smallest hash of its text; of rows equal in both, one."""
+    keyed = docs.withColumns({"_row": row_key(doc_id, text)})
+    prints = cut(fingerprints(keyed.select(F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col(text).alias("text")), width, seed))
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    first = _tied(least, max_bits, blocks).groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.row").alias("_first"))
+    kept = keyed.join(first, (F.col("_row") == F.col("_first")) & F.col(doc_id).eqNullSafe(F.col("_id")))
+    again = prints.groupBy("doc_id").count().filter("count > 1")
+    if not again.isEmpty():
+        one_of = Window.partitionBy("_row", doc_id).orderBy(F.lit(0))
+        kept = kept.withColumn("_n", F.row_number().over(one_of)).filter("_n = 1")
+    return kept.select(*docs.columns)

@@ -14,7 +14,7 @@ Scoring works on Arrow batches: words are hashed in blocks, each distinct one is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -346,11 +346,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), thre
     texts, y = training_sample(docs, labels, plan, ~held_out(F.col("doc_id")))
     net = train(texts, y, plan)
     docs = docs.drop("held_out", "score", "predicted")
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    sent = docs.sparkSession.sparkContext.broadcast((asdict(plan), net.vocabulary, net.p, net.pool, net.shift, net.spread))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        sizes, *learned = sent.value
+        model = Network(Plan(**sizes), *learned)
         for batch in batches:
             for columns, buf, offs in text_blocks(batch.columns, batch.column(at)):
                 w = read_words(buf, offs, model.plan.grams)
