@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,15 +161,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)], ["rest", "n_words", "n_removed", "kept", "spans"])
 
 
-def repeated_windows(docs: DataFrame, window: int = 35, text: str = "text", columns: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id") -> DataFrame:
-    """For every row `columns`, n_words, n_removed, kept (the words outside, joined by one space), spans (removed word ranges).
+def repeated_windows(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For every row doc_id, n_words, n_removed, kept (the words outside, joined by one space), spans (removed word ranges).
 
     A word is removed if a window of `window` words that holds it begins at two places or more, in one document or
     several. Null texts have no words. Rows are told apart by a 64-bit hash of id and text: rows equal in both are
     copies of each other like any others, and null ids are allowed. Words are compared by 64-bit hashes.
     Other columns are left out.
     """
-    keyed = docs.select(row_key(doc_id, text).alias("row"), F.struct(*columns).alias("rest"), F.col(text).alias("text"))
+    return _windows(docs, window, doc_id, text, F.struct(F.col(doc_id).alias("doc_id"))).select("rest.*", "n_words", "n_removed", "kept", "spans")
+
+
+def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column) -> DataFrame:
+    keyed = docs.select(row_key(doc_id, text).alias("row"), rest.alias("rest"), F.col(text).alias("text"))
     cut = keyed.select("row", "text").mapInArrow(_cut_segments(window), "key bigint, content bigint, row bigint, place bigint")
     of_key, of_content = Window.partitionBy("key"), Window.partitionBy("key", "content")
     seen = (
@@ -189,10 +193,11 @@ def repeated_windows(docs: DataFrame, window: int = 35, text: str = "text", colu
     spans = seen.join(found, ["key", "content"]).select("row", F.struct((place + F.col("a")).alias("a"), (place + F.col("b")).alias("b")).alias("s"))
     gone = spans.groupBy("row").agg(F.collect_set("s").alias("gone"))
     out = T.StructType([keyed.schema["rest"], *T._parse_datatype_string("n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>").fields])
-    return keyed.join(gone, "row", "left").select("text", "gone", "rest").mapInArrow(_remove, out).select("rest.*", "n_words", "n_removed", "kept", "spans")
+    return keyed.join(gone, "row", "left").select("text", "gone", "rest").mapInArrow(_remove, out)
 
 
-def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
-    """Whole rows without the repeated words; a text that loses none stays as it is. Null stays null."""
-    found = repeated_windows(docs, window, text, tuple(docs.columns))
-    return found.withColumn(text, F.when(F.col("n_removed") == 0, F.col(text)).otherwise(F.col("kept"))).select(*docs.columns)
+def drop_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whole rows without the repeated words; a text that loses none stays as it is, and null stays null."""
+    found = _windows(docs, window, doc_id, text, F.struct(*docs.columns))
+    left = F.when(F.col("n_removed") == 0, F.col("rest")[text]).otherwise(F.col("kept"))
+    return found.select(*(left.alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns))
