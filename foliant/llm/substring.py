@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,11 +40,11 @@ def _leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """hashes of the words of several documents, parted at bounds: (document, start, length, key, content) of each segment."""
+    """hashes of the words of several documents, parted at bounds: (document, start, length, key, content, step, times) of each segment, or run of equal ones."""
     n = len(hashes)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
     side = window - _RUN - (window - _RUN) // 2  # so many words of a window lie before its anchor, or else behind it
     reach = (window - _RUN) // 2
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -60,7 +60,17 @@ def segments(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nd
     a = np.where(before[first], anchor[first] - reach, anchor[first])
     key = span_hash(hashes, a, a + _RUN + reach) ^ np.where(before[first], _U(0x5851F42D4C957F2D), _U(0))
     length = last - first + window
-    return doc[first], first - bounds[doc[first]], length, key, span_hash(hashes, first, first + length)
+    content = span_hash(hashes, first, first + length)
+    # in periodic text one segment follows another of its kind at an even step: such a run is one row
+    step = np.diff(first, prepend=-1)
+    alike = np.zeros(len(first), bool)
+    alike[1:] = (content[1:] == content[:-1]) & (doc[first[1:]] == doc[first[:-1]]) & (step[1:] < window)
+    run_on = alike.copy()
+    run_on[2:] &= ~alike[1:-1] | (step[2:] == step[1:-1])
+    head = np.flatnonzero(~run_on)
+    times = np.diff(np.append(head, len(first)))
+    step = np.append(step, 0)[np.minimum(head + 1, len(first))] * (times > 1)
+    return doc[first[head]], first[head] - bounds[doc[first[head]]], length[head], key[head], content[head], step, times
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -72,9 +82,9 @@ def _cut_segments(window: int):
         for batch in batches:
             for (rows,), buf, offs in text_blocks([batch.column(0)], batch.column(1)):
                 starts, ends, bounds = word_bounds(buf, offs)
-                doc, at, length, key, content = segments(word_hashes(buf, starts, ends), bounds, window)
+                doc, at, length, key, content, step, times = segments(word_hashes(buf, starts, ends), bounds, window)
                 row = rows.to_numpy(zero_copy_only=False)[doc]
-                yield pa.RecordBatch.from_arrays([_i64(key), _i64(content), _i64(row), _i64(at * 256 + length)], ["key", "content", "row", "place"])
+                yield pa.RecordBatch.from_arrays([_i64(key), _i64(content), _i64(row), _i64(at << 32 | length << 8 | step), pa.array(times, pa.int32())], ["key", "content", "row", "place", "times"])
 
     return run
 
@@ -88,7 +98,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = lists.flatten()
             key, content, place, copies = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            a, size = bounds[doc] + place // 256, place % 256
+            a, size = bounds[doc] + (place >> 32), place >> 8 & 255
             to = np.concatenate(([0], np.cumsum(size)))
             take = np.arange(to[-1]) - np.repeat(to[:-1] - a, size)
             words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((to * 8).astype(np.int32).tobytes()), pa.py_buffer(hashes[take].tobytes())])
@@ -174,23 +184,18 @@ def repeated_windows(docs: DataFrame, window: int = 35, doc_id: str = "doc_id",
 
 def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column) -> DataFrame:
     keyed = docs.select(row_key(doc_id, text).alias("row"), rest.alias("rest"), F.col(text).alias("text"))
-    cut = keyed.select("row", "text").mapInArrow(_cut_segments(window), "key bigint, content bigint, row bigint, place bigint")
-    of_key, of_content = Window.partitionBy("key"), Window.partitionBy("key", "content")
-    seen = (
-        cut.repartition("key")
-        .withColumn("n", F.row_number().over(of_content.orderBy("row", "place")))
-        .withColumn("copies", F.count("*").over(of_content))
-        .withColumn("all", F.count("*").over(of_key))
-        .filter("all > 1")
-        .drop("all")
-    )
-    seen = store(seen)
-    lists = seen.filter("n = 1").groupBy("row").agg(F.collect_list(F.struct("key", "content", "place", "copies")).alias("list"))
+    cut = keyed.select("row", "text").mapInArrow(_cut_segments(window), "key bigint, content bigint, row bigint, place bigint, times int")
+    # counted before they are dealt, and joined: a hot key is summed where it is read, and its rows can be split
+    often = cut.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key")
+    seen = store(cut.join(often, "key"))
+    distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place")).alias("one"))
+    lists = distinct.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("key", "content", F.col("one.place").alias("place"), "copies")).alias("list"))
     with_lists = keyed.join(lists, "row").select("list", "text", "rest")
     fetched = with_lists.mapInArrow(_fetch, "key bigint, content bigint, copies bigint, words binary")
     found = fetched.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_search(window), "key bigint, content bigint, a bigint, b bigint")
-    place = F.floor(F.col("place") / 256)
-    spans = seen.join(found, ["key", "content"]).select("row", F.struct((place + F.col("a")).alias("a"), (place + F.col("b")).alias("b")).alias("s"))
+    at = F.shiftright("place", 32)
+    more = F.col("place").bitwiseAND(F.lit(255)) * (F.col("times") - 1)
+    spans = seen.join(found, ["key", "content"]).select("row", F.struct((at + F.col("a")).alias("a"), (at + more + F.col("b")).alias("b")).alias("s"))
     gone = spans.groupBy("row").agg(F.collect_set("s").alias("gone"))
     out = T.StructType([keyed.schema["rest"], *T._parse_datatype_string("n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>").fields])
     return keyed.join(gone, "row", "left").select("text", "gone", "rest").mapInArrow(_remove, out)
