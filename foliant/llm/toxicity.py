@@ -34,8 +34,8 @@ class Plan:
     grams: int = 16384
     words: int = 2000  # of the vocabulary at most
     sure: float = 4.0  # standard errors by which toxic texts hold a word or run of characters more often, for it to be an input
-    toxic: int = 2000
-    clean: int = 4000
+    toxic: int = 1000
+    clean: int = 2000
     rounds: int = 3
     steps: int = 60
     batch: int = 256
@@ -83,6 +83,28 @@ def read_words(buf: np.ndarray, offs: np.ndarray, grams: int) -> Words:
     return Words(hashes, gram.astype(np.int32), cuts, ids, bounds)
 
 
+def read_texts(texts: list[str], grams: int) -> Words:
+    """Many texts, a block at a time."""
+    parts = list(text_blocks([], pa.array([t or "" for t in texts], pa.string())))
+    read = [read_words(buf, offs, grams) for _, buf, offs in parts]
+    hashes, first, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r.hashes for r in read)]), return_index=True, return_inverse=True)
+    at, words = 0, 0
+    all_ids, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(r.cuts) for r in read)])
+    for r in read:
+        own = ids[at : at + len(r.hashes)]
+        all_ids.append(own[r.ids].astype(np.int32))
+        bounds.append(r.bounds[1:] + words)
+        at, words = at + len(r.hashes), words + len(r.ids)
+    flat, start = np.concatenate([np.zeros(0, np.int32), *(r.grams for r in read)]), np.concatenate(([0], np.cumsum(sizes)))
+    cuts = np.concatenate(([0], np.cumsum(sizes[first])))
+    grams_of = np.empty(cuts[-1], np.int32)
+    for a in range(0, len(hashes), 4096):
+        b = min(a + 4096, len(hashes))
+        grams_of[cuts[a] : cuts[b]] = flat[np.arange(cuts[a], cuts[b]) - np.repeat(cuts[a:b] - start[first[a:b]], sizes[first[a:b]])]
+    return Words(hashes, grams_of, cuts, np.concatenate(all_ids), np.concatenate(bounds))
+
+
 def cut_windows(bounds: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, words) of each window; a document without words has one empty window."""
     n = np.diff(bounds)
@@ -138,7 +160,7 @@ class Network:
             b = min(a + 4096, len(w.hashes))
             g = self.p["gram"][w.grams[w.cuts[a] : w.cuts[b]]]
             out[a:b] = np.add.reduceat(g, w.cuts[a:b] - w.cuts[a], axis=0) / np.diff(w.cuts[a : b + 1])[:, None]
-        out[:-1] += self.p["word"][self.place(w.hashes)] + self.p["bias"]
+            out[a:b] += self.p["word"][self.place(w.hashes[a:b])] + self.p["bias"]
         return out
 
     def read(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, trace: dict | None = None) -> np.ndarray:
@@ -226,8 +248,7 @@ class Network:
 
 def train(texts: list[str], labels: np.ndarray, plan: Plan = Plan()) -> Network:
     """labels: 1 for toxic texts. Without texts of both kinds the network stays as it begins."""
-    raw = [(t or "").encode() for t in texts]
-    w = read_words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64), plan.grams)
+    w = read_texts(texts, plan.grams)
     y = np.asarray(labels, np.float32)
     doc_of = np.repeat(np.arange(len(y)), np.diff(w.bounds))
     df, bad = _presence(doc_of, w.ids, y, len(w.hashes))
@@ -240,25 +261,27 @@ def train(texts: list[str], labels: np.ndarray, plan: Plan = Plan()) -> Network:
     net.p["word"][-1] = 0
     if not y.any() or y.all():
         return net
-    of_word = np.repeat(np.arange(len(w.hashes)), np.diff(w.cuts))
+    of_word = np.repeat(np.arange(len(w.hashes), dtype=np.int32), np.diff(w.cuts))
     by = np.argsort(w.ids, kind="stable")
     docs_of = np.split(doc_of[by], np.cumsum(np.bincount(w.ids, minlength=len(w.hashes)))[:-1])
     n_docs = np.array([len(np.unique(x)) for x in docs_of])
     every = np.concatenate([np.unique(x) for x in docs_of])
     first = np.cumsum(n_docs) - n_docs
     unused = np.ones(plan.grams, bool)
-    for a in range(0, plan.grams, 1024):  # pairs of text and run of characters, a part of the runs at a time
-        mine = (w.grams >= a) & (w.grams < a + 1024)
+    for a in range(0, plan.grams, 512):  # pairs of text and run of characters, a part of the runs at a time
+        mine = (w.grams >= a) & (w.grams < a + 512)
         word, gram = of_word[mine], w.grams[mine] - a
         n = n_docs[word]
         text = every[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[word], n)]
-        unused[a : a + 1024] = excess(*_presence(text, np.repeat(gram, n), y, 1024)) < plan.sure
+        unused[a : a + 512] = excess(*_presence(text, np.repeat(gram, n), y, 512)) < plan.sure
     net.p["gram"][unused] = 0
     tell = np.log((bad / y.mean() + 8) / (df + 8))  # drawn to 0 where a word is rare
     doc, at, size = cut_windows(w.bounds, plan.window, plan.stride)
     word_tell = np.append(tell[w.ids], 0.0)
-    span = np.minimum(at[:, None] + np.arange(plan.window), len(word_tell) - 1)
-    value = np.where(np.arange(plan.window) < size[:, None], word_tell[span], -9.0).max(1)
+    value = np.empty(len(at))
+    for a in range(0, len(at), 4096):
+        span = np.minimum(at[a : a + 4096, None] + np.arange(plan.window), len(word_tell) - 1)
+        value[a : a + 4096] = np.where(np.arange(plan.window) < size[a : a + 4096, None], word_tell[span], -9.0).max(1)
     rng, place = np.random.default_rng(plan.seed + 1), net.place(w.hashes)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for k in range(plan.rounds):
