@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .lazy import vectorised
+
 #: Escapes that stay when a text has to be repaired; \b and \f begin words of formulas far more often.
 _KEEP = frozenset('"\\/nrt')
 _FENCE = re.compile(r"```\w*[ \t]*\n(.*?)\n\s*```", re.S)
@@ -109,7 +111,7 @@ def read_reply(reply: str | None) -> tuple[str, object]:
     return "all_failed", {"new_cards": []}
 
 
-@F.pandas_udf("strategy string, payload string, n_cards int")
+@vectorised("strategy string, payload string, n_cards int")
 def parse_reply(replies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """strategy, payload (JSON with sorted keys) and the number of cards of each reply."""
     for batch in replies:
@@ -121,7 +123,7 @@ def parse_reply(replies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["strategy", "payload", "n_cards"])
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def canonical_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Keys sorted, no spaces; null for what is no JSON."""
 

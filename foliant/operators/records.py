@@ -134,7 +134,7 @@ def two_tier(wanted: DataFrame, template: DataFrame, exact: str, loose: Column,
     first = t.groupBy("_loose").agg(F.min_by("_key", "_ord").alias("_near"))
     rows = wanted.withColumn("_key", F.col(exact)).withColumn("_loose", F.expr(loose) if isinstance(loose, str) else loose)
     same = t.select("_key", F.lit(True).alias("_same")).distinct()
-    return rows.join(same, "_key", "left").join(first, "_loose", "left").withColumn("match", F.when("_same", F.col("_key")).otherwise(F.col("_near"))).drop("_key", "_loose", "_same", "_near")
+    return rows.join(same, "_key", "left").join(first, "_loose", "left").withColumn("match", F.when(F.col("_same"), F.col("_key")).otherwise(F.col("_near"))).drop("_key", "_loose", "_same", "_near")
 
 
 def delete_by(cards: DataFrame, gone: DataFrame, key: str = "guid") -> DataFrame:
