@@ -78,9 +78,9 @@ def _sides(spark, d):
     return cards(spark, d), bench.unionByName(old.select("pos", "front", "collection", "category", F.lit("01_A_01").alias("sort_key")))
 
 
-@query(_SIDES + " SELECT md5(norm_front) AS norm_md5, c_pos, s_pos, category, CASE WHEN state = 'missing' THEN 'TODO' ELSE choices[1] END AS back, state, CASE state WHEN 'orphan' THEN 'rescued' WHEN 'missing' THEN 'todo' ELSE 'kept' END AS outcome FROM j")
+@query(_SIDES + " SELECT md5(norm_front) AS norm_md5, coalesce(c_pos, -1) AS c_pos, coalesce(s_pos, -1) AS s_pos, category, CASE WHEN state = 'missing' THEN 'TODO' ELSE choices[1] END AS back, state, CASE state WHEN 'orphan' THEN 'rescued' WHEN 'missing' THEN 'todo' ELSE 'kept' END AS outcome FROM j")
 def reconcile_outer(spark, d):
-    return records.reconcile(*_sides(spark, d)).select(F.md5("norm_front").alias("norm_md5"), "c_pos", "s_pos", "category", "back", "state", "outcome")
+    return records.reconcile(*_sides(spark, d)).select(F.md5("norm_front").alias("norm_md5"), F.coalesce("c_pos", F.lit(-1)).alias("c_pos"), F.coalesce("s_pos", F.lit(-1)).alias("s_pos"), "category", "back", "state", "outcome")
 
 
 @query(_SIDES + " SELECT c_pos, row_number() OVER (ORDER BY c_pos) AS n, printf('21_A_%02d', row_number() OVER (ORDER BY c_pos)) AS sort_key FROM j WHERE state = 'orphan'")
