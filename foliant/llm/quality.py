@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_blocks, word_bounds, word_count, word_hashes
+from .common import text_blocks, word_bounds, word_hashes
 
 #: Documents that the scorer is fitted to at most, and hash buckets of its features.
 SAMPLE, BUCKETS = 6000, 1024
@@ -27,43 +27,81 @@ SAMPLE, BUCKETS = 6000, 1024
 BAD, GOOD = 1, 2
 
 
-def _vote(value: Column, bad: Column, good: Column) -> Column:
-    """0 where the labeller says nothing, and where it has no value."""
-    return F.when(value.isNull(), 0).when(bad, BAD).when(good, GOOD).otherwise(0).cast("int")
-
-
-def votes(text: Column) -> dict[str, Column]:
-    """The labellers. Each is a rule over the whole text; a null text is an empty one."""
-    t = F.coalesce(text, F.lit(""))
-    n = word_count(t)
-    some = F.when(n > 0, n)
-    chars = F.length(t)
-    count = lambda what: F.regexp_count(t, F.lit(what))
-    marks = count(r"[#$%&*!@^~_=+<>{}\\]") / some
-    letters = count(r"\p{L}")
-    capitals = count(r"\p{Lu}") / F.when(letters > 0, letters)
-    bars = count(r"\|") / some
-    words = F.split(F.lower(t), r"[\x20\x09-\x0D]+")
-    fresh = F.when(n >= 20, F.size(F.array_distinct(words)) / F.size(words))
-    lines = F.filter(F.split(t, "\n"), lambda x: x != "")
-    n_lines = F.size(lines)
-    again = F.when(n_lines >= 3, 1 - F.size(F.array_distinct(lines)) / n_lines)
-    ends = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"[.!?:\"')]\s*$")))) / F.when(n_lines > 0, n_lines)
-    long_words = chars / some
-    digits = count(r"[0-9]") / F.when(chars > 0, chars)
-    short = count(r"(?<![^\s])\p{L}{1,3}(?![^\s])") / some
-    return {
-        "length": _vote(n, n < 5, n >= 40),
-        "marks": _vote(marks, marks > 0.3, marks < 0.05),
-        "capitals": _vote(capitals, capitals > 0.4, capitals < 0.15),
-        "bars": _vote(bars, bars > 0.15, F.lit(False)),
-        "fresh": _vote(fresh, fresh < 0.25, fresh > 0.5),
-        "again": _vote(again, again > 0.3, again < 0.1),
-        "ends": _vote(ends, ends < 0.2, ends > 0.6),
-        "word_size": _vote(long_words, (long_words > 14) | (long_words < 3), (long_words > 4) & (long_words < 9)),
-        "digits": _vote(digits, digits > 0.15, F.lit(False)),
-        "short": _vote(short, short < 0.08, short > 0.15),
-    }
+LABELLERS = ("length", "marks", "capitals", "bars", "fresh", "again", "ends", "word_size", "digits", "short")
+
+
+def _table(chars: str) -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[[ord(c) for c in chars]] = True
+    return t
+
+
+_MARKS, _ENDS, _DIGITS = _table("#$%&*!@^~_=+<>{}\\"), _table(".!?:\"')"), _table("0123456789")
+_SMALL, _LARGE = _table("abcdefghijklmnopqrstuvwxyz"), _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _kinds(own: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """How many different codes each of n owners has."""
+    if not len(own):
+        return np.zeros(n, np.int64)
+    by = np.lexsort((codes, own))
+    o, c = own[by], codes[by]
+    return np.bincount(o[np.concatenate(([True], (o[1:] != o[:-1]) | (c[1:] != c[:-1])))], minlength=n)
+
+
+def votes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The labellers' votes on each text (text, labeller): 0 nothing, BAD or GOOD. A rule over the whole text each."""
+    n = len(offs) - 1
+    starts, ends, bounds = word_bounds(buf, offs)
+    words, own = np.diff(bounds), np.repeat(np.arange(n), np.diff(bounds))
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+        return total[offs[1:]] - total[offs[:-1]]
+
+    chars = count((buf & 0xC0) != 0x80)
+    accented = np.zeros(len(buf), bool)  # capitals of Latin-1
+    accented[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)
+    large = count(_LARGE[buf] | accented)
+    letters = count(_SMALL[buf] | _LARGE[buf] | (buf >= 0xC3))
+    breaks = np.flatnonzero(buf == 10)
+    a = np.sort(np.concatenate((offs[:-1], breaks + 1)), kind="stable")
+    b = np.append(a[1:], len(buf))
+    b -= (b > a) & (buf[np.maximum(b - 1, 0)] == 10) if len(buf) else 0
+    full = b > a
+    a, b = a[full], b[full]
+    line_of = np.searchsorted(offs, a, "right") - 1
+    lines = np.bincount(line_of, minlength=n)
+    closed = np.bincount(line_of, weights=_ENDS[buf[b - 1]] if len(a) else None, minlength=n)
+    fresh = _kinds(own, word_hashes(_LOWER[buf], starts, ends), n)
+    different = _kinds(line_of, word_hashes(buf, a, b), n)
+    short = np.bincount(own, weights=(ends - starts <= 3) & (_SMALL[buf[starts]] | _LARGE[buf[starts]] | (buf[starts] >= 0xC3)), minlength=n) if len(own) else np.zeros(n)
+    out = np.zeros((n, len(LABELLERS)), np.int8)
+
+    def say(k: int, value, of, bad, good) -> None:
+        """Nothing is said of texts where there is nothing to count in."""
+        known = of > 0
+        x = value / np.maximum(of, 1)
+        out[:, k] = np.where(known & bad(x), BAD, np.where(known & good(x), GOOD, 0))
+
+    never = lambda x: np.zeros(len(x), bool)
+    say(0, words, np.ones(n), lambda x: x < 5, lambda x: x >= 40)
+    say(1, count(_MARKS[buf]), words, lambda x: x > 0.3, lambda x: x < 0.05)
+    say(2, large, letters, lambda x: x > 0.4, lambda x: x < 0.15)
+    say(3, count(buf == ord("|")), words, lambda x: x > 0.15, never)
+    say(4, fresh, np.where(words >= 20, words, 0), lambda x: x < 0.25, lambda x: x > 0.5)
+    say(5, lines - different, np.where(lines >= 3, lines, 0), lambda x: x > 0.3, lambda x: x < 0.1)
+    say(6, closed, lines, lambda x: x < 0.2, lambda x: x > 0.6)
+    say(7, chars, words, lambda x: (x > 14) | (x < 3), lambda x: (x > 4) & (x < 9))
+    say(8, count(_DIGITS[buf]), chars, lambda x: x > 0.15, never)
+    say(9, short, words, lambda x: x < 0.08, lambda x: x > 0.15)
+    return out
+
+
+def pattern_of(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return votes(buf, offs).astype(np.int64) @ 3 ** np.arange(len(LABELLERS))
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
@@ -112,10 +150,10 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         a, b, _ = word_bounds(short, cuts)
         code = word_hashes(short, a, b)
         half = BUCKETS // 2
-        np.add.at(out, (own, (code % np.uint64(half)).astype(np.int64)), 1)
+        out[:, :half] = np.bincount(own * half + (code % np.uint64(half)).astype(np.int64), minlength=n * half).reshape(n, half)
         out[:, :half] /= np.maximum(words, 1)[:, None]
     whole = word_hashes(buf, starts, ends)
-    kinds = np.bincount(np.unique(np.stack((own, whole.view(np.int64)), axis=1), axis=0)[:, 0].astype(np.int64), minlength=n) if len(own) else np.zeros(n, int)
+    kinds = _kinds(own, whole, n)
     breaks = np.concatenate(([0], np.cumsum(buf == 10)))
     lines = breaks[offs[1:]] - breaks[offs[:-1]] + 1
     size = np.diff(offs)
@@ -154,34 +192,45 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     Columns named like the new ones are replaced, others stay. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    docs = docs.drop("weak_label", "score", "predicted", "_pattern")
-    labellers = votes(F.col("text"))
-    code = sum((v * 3**i for i, v in enumerate(labellers.values())), F.lit(0))
-    known = docs.withColumn("_pattern", code.cast("int"))
-    seen = known.groupBy("_pattern").count().collect()  # 3^10 rows at most
+    docs = docs.drop("weak_label", "score", "predicted")
+    text = docs.select("text")
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, buf, offs in text_blocks([], batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(pattern_of(buf, offs))], ["pattern"])
+
+    seen = text.mapInArrow(vote, "pattern bigint").groupBy("pattern").count().collect()  # 3^10 rows at most
     ids = np.array([r[0] for r in seen], np.int64)
-    patterns = ids[:, None] // 3 ** np.arange(len(labellers)) % 3
-    post, _, _ = fit_votes(patterns, np.array([r[1] for r in seen], float))
+    post, _, _ = fit_votes(ids[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, np.array([r[1] for r in seen], float))
     by_id = dict(zip(ids.tolist(), post.tolist()))
-    order = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
-    picked = known.select("doc_id", "text", "_pattern").select(*order[:1], "text", "_pattern", "doc_id").toDF("_h", "text", "_pattern", "doc_id")
-    sample = picked.orderBy("_h", "doc_id").limit(SAMPLE).select("text", "_pattern").collect()
+    # the sample: first the hashes alone, then the texts up to the last of them
+    mark = F.xxhash64("doc_id", "text")
+    last = docs.select(mark.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = docs.select(mark.alias("h"), "text").filter(F.col("h") <= F.lit(last)).orderBy("h").limit(SAMPLE).collect() if last is not None else []
     rows, target = [], []
-    for a in range(0, len(sample), 200):
-        raw = [(r["text"] or "").encode() for r in sample[a : a + 200]]
-        rows.append(features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)))
-        target += [by_id[r["_pattern"]] for r in sample[a : a + 200]]
+    for _, buf, offs in text_blocks([], pa.array([r["text"] for r in sample], pa.string())):
+        for cut_buf, cut_offs in _few(buf, offs):
+            rows.append(features(cut_buf, cut_offs))
+            target += [by_id[k] for k in pattern_of(cut_buf, cut_offs).tolist()]
     w, level = fit_scorer(np.concatenate(rows) if rows else np.zeros((0, BUCKETS), np.float32), np.array(target, np.float32))
     sent = spark.sparkContext.broadcast((w, level, by_id))
-    at, pat = known.columns.index("text"), known.columns.index("_pattern")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, level, by_id = sent.value
         for batch in batches:
             for columns, buf, offs in text_blocks(batch.columns, batch.column(at)):
-                score = np.concatenate([features(buf[offs[a] : offs[min(a + 500, len(offs) - 1)]], offs[a : a + 501] - offs[a]) @ w for a in range(0, len(offs) - 1, 500)])
-                weak = [by_id[k] for k in columns[pat].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(columns) if i != pat), pa.array(weak, pa.float64()), pa.array(1 / (1 + np.exp(-np.clip(score + level, -30, 30))), pa.float64())], [*(f for i, f in enumerate(batch.schema.names) if i != pat), "weak_label", "score"])
+                odds = np.concatenate([features(*part) @ w for part in _few(buf, offs)]) + level
+                weak = [by_id[k] for k in pattern_of(buf, offs).tolist()]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(weak, pa.float64()), pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))), pa.float64())], [*batch.schema.names, "weak_label", "score"])
 
     out = T.StructType([*docs.schema.fields, T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return known.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _few(buf: np.ndarray, offs: np.ndarray, n: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of a block of n texts at most: a row of features is wide."""
+    for a in range(0, len(offs) - 1, n):
+        part = offs[a : a + n + 1]
+        yield buf[part[0] : part[-1]], part - part[0]
