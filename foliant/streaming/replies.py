@@ -65,8 +65,8 @@ def _step(state: dict, seq: int, at: float, kind: str, delta: str | None, reason
     return None
 
 
-def assemble_stream(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The streaming form: a row when a request ends, or when its idle timer runs out. Events of a request arrive in order of seq within a batch."""
+def assemble_stream(events: DataFrame, limits: Limits = Limits(), late: str = "10 seconds") -> DataFrame:
+    """The streaming form: a row when a request ends, or when the watermark passes its idle timer. Timers go by event time, so a replay gives the same rows."""
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         row = dict(zip(("begin", "heard", "text", "reason", "over"), state.get)) if state.exists else {"begin": None, "heard": None, "text": "", "reason": None, "over": False}
@@ -82,14 +82,14 @@ def assemble_stream(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
                     text = lambda v: None if v is None or v != v else v
                     end = _step(row, e.seq, e.ts.timestamp(), e.kind, text(e.delta), text(e.finish_reason), limits)
             row["over"] |= end is not None
-            state.update((row["begin"], row["heard"], "" if row["over"] else row["text"], row["reason"], row["over"])) if not row["over"] else state.update((row["begin"], row["heard"], "", None, True))
-            state.setTimeoutDuration(limits.idle_s * 1000)
+            state.update((row["begin"], row["heard"], "" if row["over"] else row["text"], None if row["over"] else row["reason"], row["over"]))
+            state.setTimeoutTimestamp(max(int((row["heard"] + limits.idle_s) * 1000), state.getCurrentWatermarkMs() + 1))
         if end:
             status = end if end.endswith("timeout") or end in ("error", "incomplete") else "ok"
             good = status == "ok"
             yield pd.DataFrame({"request_id": [key[0]], "text": [row["text"] if good else None], "finish_reason": ["length" if end == "cap" else row["reason"] if good else None], "status": [status]})
 
-    return events.groupBy("request_id").applyInPandasWithState(run, OUT, "begin double, heard double, text string, reason string, over boolean", "append", "ProcessingTimeTimeout")
+    return events.withWatermark("ts", late).groupBy("request_id").applyInPandasWithState(run, OUT, "begin double, heard double, text string, reason string, over boolean", "append", "EventTimeTimeout")
 
 
 def idle_sessions(events: DataFrame, key: str, ts: str, gap_s: int = 120) -> DataFrame:
