@@ -72,7 +72,7 @@ def ensemble_calls(pages: DataFrame, models: DataFrame) -> DataFrame:
     """A row for each call: page x model (ord, model, repeat) x repetition, with its place."""
     calls = models.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.col("repeat"))))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord", "attempt"))  # a model list, few rows
-    return pages.crossJoin(F.broadcast(calls.withColumn("place", place).select("place", "model", "attempt")))
+    return pages.crossJoin(calls.withColumn("place", place).select("place", "model", "attempt"))
 
 
 def judge_outcome(replies: DataFrame, with_judge: bool = True) -> DataFrame:
@@ -174,7 +174,7 @@ def model_stats(results: DataFrame, model: str = "model", value: str = "value")
 
 def open_jobs(models: DataFrame, pages: DataFrame, done: DataFrame) -> DataFrame:
     """Every model and page without a successful result. models is a list of bounded size."""
-    jobs = pages.select("page").crossJoin(F.broadcast(models.select("model")))
+    jobs = pages.select("page").crossJoin(models.select("model"))
     return jobs.join(done.filter("ok").select("model", "page"), ["model", "page"], "left_anti")
 
 
