@@ -273,7 +273,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, max_bi
     keyed = docs.withColumns({"_row": row_key(doc_id, text)})
     prints = cut(fingerprints(keyed.select(F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col(text).alias("text")), width, seed))
     least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    first = _tied(least, max_bits, blocks).groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.row").alias("_first"))
+    return keep_first(docs, prints, _tied(least, max_bits, blocks), doc_id, text)
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, tied: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of `docs` that are the least of each root; prints: doc_id (null mark, id, row key) of every row, tied: root and least."""
+    keyed = docs.withColumns({"_row": row_key(doc_id, text)})
+    first = tied.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.row").alias("_first"))
     kept = keyed.join(first, (F.col("_row") == F.col("_first")) & F.col(doc_id).eqNullSafe(F.col("_id")))
     again = prints.groupBy("doc_id").count().filter("count > 1")
     if not again.isEmpty():
