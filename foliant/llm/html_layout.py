@@ -3,7 +3,8 @@
 A tolerant tree builder closes and opens implied tags; a renderer walks the tree and writes all visible text: blocks begin on lines of
 their own, paragraphs and headings are set off by an empty line, list items get markers and indents, preformatted text
 keeps its spaces, and table cells are padded to their columns. What a browser wouldn't show isn't written: scripts,
-styles, templates, heads, comments, elements hidden by attribute or by inline style, closed details and dialogs.
+styles, templates, heads, comments, elements hidden by attribute or by inline style, closed details and dialogs, what
+only defines or describes parts of a drawing or formula, and what stands for audio, video and canvas. Nothing is loaded, so an object shows its fallback.
 Neither step recurses, so nesting is bounded by memory alone.
 """
 
@@ -25,7 +26,13 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes".split())
 _TEXT_ONLY = frozenset("textarea title".split())
-_UNSEEN = frozenset("head title script style template iframe noembed noframes datalist audio video canvas object svg math".split())
+_UNSEEN = frozenset("head title script style template iframe noembed noframes datalist audio video canvas".split())
+#: What isn't shown inside drawings and formulas.
+_UNSEEN_IN = {
+    "svg": frozenset("desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+_FOREIGN = frozenset("svg math foreignobject annotation-xml".split())
 _IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure".split())
@@ -113,6 +120,9 @@ def parse(source: str) -> Node:
             attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         if stack[-1].tag == "head" and tag not in _IN_HEAD:
             stack.pop()
+        if m[4].endswith("/") and next((x.tag for x in reversed(stack) if x.tag in _FOREIGN), "") in ("svg", "math"):
+            stack[-1].kids.append(Node(tag, attrs))
+            continue
         if tag in _ENDS_P:
             close({"p"}, {"td", "th", "table", "button", "object", "template"})
         if tag in _IMPLIED:
@@ -159,32 +169,54 @@ class _Box:
         self.apart |= apart
 
 
+def _span(node: Node, name: str, least: int, most: int) -> int:
+    said = node.attrs.get(name, "1")
+    return min(max(int(said), least), most) if said.isascii() and said.isdigit() and len(said) < 6 else 1
+
+
 class _Table:
     def __init__(self):
-        self.rows = []
+        self.rows, self.groups = [], set()
+
+    def placed(self) -> list[list[tuple[int, list[str], int]]]:
+        """(column, lines, columns) of each row's cells; a cell that spans rows holds its columns until its row group ends."""
+        out, until = [], {}
+        for i, row in enumerate(self.rows):
+            if i in self.groups:
+                until = {}
+            at, cells = 0, []
+            for cell, span, down in row:
+                while until.get(at, 0) > i:
+                    at += 1
+                cells.append((at, cell, span))
+                if down != 1:
+                    until.update(dict.fromkeys(range(at, at + span), i + down if down else len(self.rows)))
+                at += span
+            out.append(cells)
+        return out
 
     def lines(self) -> list[str]:
         wide: list[int] = []
-        for row in self.rows:
-            at = 0
-            for cell, span in row:
+        rows = self.placed()
+        for row in rows:
+            for at, cell, span in row:
                 wide += [0] * (at + span - len(wide))
                 if span == 1:
                     wide[at] = min(max([wide[at], *map(len, cell)]), WIDEST)
-                at += span
         out = []
-        for row in self.rows:
-            at, parts = 0, []
-            for cell, span in row:
+        for row in rows:
+            end, parts = 0, []
+            for at, cell, span in row:
+                parts += [([], w) for w in wide[end:at]]
                 parts.append((cell, sum(wide[at : at + span]) + 2 * (span - 1)))
-                at += span
+                end = at + span
             for pieces in zip_longest(*(c for c, _ in parts), fillvalue=""):
                 out.append("  ".join(p.ljust(w) for p, (_, w) in zip(pieces, parts)).rstrip())
         return out
 
 
 def render(root: Node) -> str:
-    boxes, tables, lists, pre = [_Box()], [], [], 0
+    boxes, tables, lists, pre, foreign = [_Box()], [], [], 0, []
     stack: list = [(root, iter(root.kids))]
     while stack:
         node, kids = stack[-1]
@@ -192,6 +224,12 @@ def render(root: Node) -> str:
         tag = node.tag
         if kid is None:
             stack.pop()
+            if tag in _FOREIGN:
+                foreign.pop()
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].groups.add(len(tables[-1].rows))
+            elif tag == "text" and foreign and foreign[-1] == "svg":
+                box.run.append(" ")
             if tag == "pre":
                 pre -= 1
                 if line := "".join(box.run).rstrip():
@@ -200,10 +238,9 @@ def render(root: Node) -> str:
             if tag in ("td", "th") and len(boxes) > 1 and tables:
                 box.end_line()
                 boxes.pop()
-                span = node.attrs.get("colspan", "1")
                 if not tables[-1].rows:
                     tables[-1].rows.append([])
-                tables[-1].rows[-1].append((box.lines, min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() and len(span) < 5 else 1))
+                tables[-1].rows[-1].append((box.lines, _span(node, "colspan", 1, 1000), _span(node, "rowspan", 0, 65534)))
             elif tag == "table":
                 for line in tables.pop().lines():
                     box.put(line)
@@ -230,6 +267,14 @@ def render(root: Node) -> str:
         tag = kid.tag
         if not visible(kid):
             continue
+        if foreign and (tag in _UNSEEN_IN.get(foreign[-1], ()) or (foreign[-1] == "svg" and (kid.attrs.get("display") == "none" or kid.attrs.get("visibility") in ("hidden", "collapse")))):
+            continue
+        if tag in _FOREIGN:
+            foreign.append(tag)
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].groups.add(len(tables[-1].rows))
+        elif tag == "text" and foreign and foreign[-1] == "svg":
+            box.run.append(" ")
         if tag == "br":
             if box.run and "".join(box.run).strip():
                 box.end_line()
