@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,23 +30,72 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; a temporary one only where none is set."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a session on one machine (master local) gets a temporary one; on a cluster, where executors
+    would each write to a disk of their own, that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialises `df` in the shared checkpoint folder and drops its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_stored: list[str] = []
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Writes `df` as Parquet into the shared checkpoint folder and reads it back.
+
+    The table goes with the next `release` that covers it, and with the driver at the latest.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/foliant-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _stored.append(path)
+    return spark.read.parquet(path)
+
+
+def stored() -> list[str]:
+    """Paths of the tables that `store` wrote and `release` has not removed."""
+    return list(_stored)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for path in paths:
+        if path in _stored:
+            _stored.remove(path)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """64 bits that tell rows with one id apart; rows equal in both columns share it and are interchangeable."""
-    return F.xxhash64(F.col(text_col), F.col(id_col))
+    """Two 64-bit hashes (a, b) that tell rows with one id apart; rows equal in both columns share them and are interchangeable."""
+    return F.struct(F.xxhash64(F.col(text_col), F.col(id_col)).alias("a"), F.xxhash64(F.lit(29), F.col(id_col), F.col(text_col)).alias("b"))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Each name, or the first variant of it that no column has, as Spark compares names."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def text_blocks(ids: list[pa.Array], text: pa.Array) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
@@ -123,17 +173,3 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hash(_BYTE_CODES[buf], starts, ends)
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Writes `df` as Parquet into the shared checkpoint folder and reads it back; the table goes when the driver ends."""
-    import uuid
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/foliant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.parquet(path)

@@ -7,21 +7,22 @@ number of their scores, fitted to the training texts, gives the text's.
 
 Labels are of whole texts, so training chooses windows: first those whose words tell toxic from clean texts best, then, round by
 round, those that the network itself scores highest, which in clean texts are the hard ones. The training texts
-are a sample of at most `Plan.toxic` and `Plan.clean` labelled rows, in the order of a hash of their id.
-Scoring works on Arrow batches: words are hashed in blocks, each distinct one is looked up once a block.
+are a sample of at most `Plan.toxic` and `Plan.clean` labelled rows of `Plan.chars` characters each kind, in the order of a hash of their id.
+One task of an executor reads and learns from it; the driver only sees the weights. Scoring works on Arrow batches: words are hashed in blocks, each distinct one is looked up once a block.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, text_blocks, word_bounds, word_hashes
+from .common import mix64, store, text_blocks, word_bounds, word_hashes
 
 _U = np.uint64
 
@@ -34,8 +35,9 @@ class Plan:
     grams: int = 16384
     words: int = 2000  # of the vocabulary at most
     sure: float = 4.0  # standard errors by which toxic texts hold a word or run of characters more often, for it to be an input
-    toxic: int = 1000
-    clean: int = 2000
+    toxic: int = 2000  # rows of each kind in the sample at most
+    clean: int = 4000
+    chars: int = 20_000_000  # of each kind's texts in the sample at most
     rounds: int = 3
     steps: int = 60
     batch: int = 256
@@ -83,10 +85,9 @@ def read_words(buf: np.ndarray, offs: np.ndarray, grams: int) -> Words:
     return Words(hashes, gram.astype(np.int32), cuts, ids, bounds)
 
 
-def read_texts(texts: list[str], grams: int) -> Words:
-    """Many texts, a block at a time."""
-    parts = list(text_blocks([], pa.array([t or "" for t in texts], pa.string())))
-    read = [read_words(buf, offs, grams) for _, buf, offs in parts]
+def read_texts(parts: Iterator[tuple[np.ndarray, np.ndarray]], grams: int) -> Words:
+    """Many texts, in blocks of (bytes, offsets); of each block only what it holds of words stays."""
+    read = [read_words(buf, offs, grams) for buf, offs in parts]
     hashes, first, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r.hashes for r in read)]), return_index=True, return_inverse=True)
     at, words = 0, 0
     all_ids, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
@@ -246,10 +247,14 @@ class Network:
         return ids, mask
 
 
-def train(texts: list[str], labels: np.ndarray, plan: Plan = Plan()) -> Network:
-    """labels: 1 for toxic texts. Without texts of both kinds the network stays as it begins."""
-    w = read_texts(texts, plan.grams)
+def train(w: Words, labels: np.ndarray, plan: Plan = Plan()) -> Network:
+    """labels: 1 for toxic texts. Texts of one kind alone teach nothing: each text is scored as of that kind, and without any text as clean."""
     y = np.asarray(labels, np.float32)
+    if not y.any() or y.all():
+        net = Network(plan, np.zeros(0, np.uint64))
+        net.begin()
+        net.pool = np.array([0, 0, 0, 20.0 if y.any() else -20.0])
+        return net
     doc_of = np.repeat(np.arange(len(y)), np.diff(w.bounds))
     df, bad = _presence(doc_of, w.ids, y, len(w.hashes))
     spread = max(y.mean() * (1 - y.mean()), 1e-9)
@@ -259,8 +264,6 @@ def train(texts: list[str], labels: np.ndarray, plan: Plan = Plan()) -> Network:
     net = Network(plan, w.hashes[np.sort(telling[sure[telling] >= plan.sure])])
     net.begin()
     net.p["word"][-1] = 0
-    if not y.any() or y.all():
-        return net
     of_word = np.repeat(np.arange(len(w.hashes), dtype=np.int32), np.diff(w.cuts))
     by = np.argsort(w.ids, kind="stable")
     docs_of = np.split(doc_of[by], np.cumsum(np.bincount(w.ids, minlength=len(w.hashes)))[:-1])
@@ -345,14 +348,39 @@ def pooled(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.stack((np.log(top / (1 - top)), np.sqrt(np.add.reduceat(value.astype(np.float64), head)), np.log(many)), axis=1)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, plan: Plan, usable) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the sample. A document with several labels counts as toxic if one says so."""
-    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(usable)
+def training_sample(docs: DataFrame, labels: DataFrame, plan: Plan, usable) -> DataFrame:
+    """text, toxic (0 or 1) and at (an order) of the sample, a bounded table. A document with several labels counts as toxic if one says so; of several texts under one id the least counts."""
+    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic")).filter(usable)
     order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = marked.filter("toxic = 1").orderBy(*order).limit(plan.toxic).unionAll(marked.filter("toxic <> 1").orderBy(*order).limit(plan.clean))
-    one = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_d")), F.col("doc_id") == F.col("_d")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = sorted(one.collect(), key=lambda r: r["doc_id"])
-    return [r["text"] or "" for r in rows], np.array([int(r["toxic"] == 1) for r in rows])
+    chosen = marked.filter("toxic = 1").orderBy(*order).limit(plan.toxic).unionAll(marked.filter("toxic = 0").orderBy(*order).limit(plan.clean))
+    one = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(*order))
+    return one.withColumn("upto", upto).filter(F.col("upto") <= plan.chars).select("text", "toxic", F.col("doc_id").alias("at"))
+
+
+def _learn(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y: list[np.ndarray] = [np.zeros(0, np.int32)]
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                y.append(batch.column(1).to_numpy(zero_copy_only=False))
+                for _, buf, offs in text_blocks([], batch.column(0)):
+                    yield buf, offs
+
+        words = read_texts(parts(), plan.grams)
+        net = train(words, np.concatenate(y), plan)
+        learned = pickle.dumps((net.vocabulary, net.p, net.pool, net.shift, net.spread))
+        yield pa.RecordBatch.from_arrays([pa.array([learned], pa.binary())], ["learned"])
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> tuple:
+    """The weights, learned in one task from the sample and kept in the shared folder, so that a lost executor costs no second training."""
+    sample = training_sample(docs, labels, plan, ~held_out(F.col("doc_id")))
+    told = store(sample.repartition(1).sortWithinPartitions("at").select("text", "toxic").mapInArrow(_learn(plan), "learned binary"))
+    return pickle.loads(told.first()["learned"])  # one row of some MB, however many documents there are
 
 
 def held_out(doc_id) -> F.Column:
@@ -364,12 +392,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), thre
 
     Only the text goes into a score. Labels of held-out rows (crc32 of the id modulo 3 is 1) and null labels aren't learned from.
     Null and empty texts are scored as one empty window. Rows with a null id are scored, and not held out. Equal
-    texts have equal scores. Columns named like the three new ones are replaced, others stay.
+    texts have equal scores. Without labels of both kinds all scores are alike, near 0 (near 1 if only toxic ones are known).
+    Columns named like the three new ones are replaced, others stay. An empty table gives an empty one.
     """
-    texts, y = training_sample(docs, labels, plan, ~held_out(F.col("doc_id")))
-    net = train(texts, y, plan)
+    learned = learn(docs, labels, plan)
     docs = docs.drop("held_out", "score", "predicted")
-    sent = docs.sparkSession.sparkContext.broadcast((asdict(plan), net.vocabulary, net.p, net.pool, net.shift, net.spread))
+    sent = docs.sparkSession.sparkContext.broadcast((asdict(plan), *learned))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
