@@ -252,37 +252,41 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, max_bits: i
 
     Rows of one fingerprint are counted once before the join, so exact copies cost nothing there. Null, empty
     and wordless texts share fingerprint 0 and are one component. A null doc_id is larger than any other; a
-    component of only such rows has a null component_id. Repeated rows stay. Other columns are left out.
+    component of only such rows has a null component_id. Repeated rows stay. Other columns are left out. An empty table gives an empty one.
     """
     prints = cut(fingerprints(docs, width, seed, doc_id, text))
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    tied = _tied(least, max_bits, blocks)
-    classes = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = tied.join(classes, "root").select("fp", "component_id")
+    tied = _tied(prints, F.col("doc_id").isNull().alias("none"), max_bits, blocks)
+    named = tied.select("fp", F.col("least.id").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _tied(least: DataFrame, max_bits: int, blocks: int) -> DataFrame:
-    """least (one row a fingerprint, fp) with the root of its component."""
-    root = components(fingerprint_links(least, max_bits, blocks))
-    return least.join(root, least["fp"] == root["node"], "left").select(*least.columns, F.coalesce("root", "fp").alias("root"))
+def _tied(prints: DataFrame, none, max_bits: int, blocks: int) -> DataFrame:
+    """fp, least: the smallest (none, id) of the rows of every fingerprint that its component holds.
+
+    Nodes of the contraction are these smallest rows themselves, so the component's answer is its root: no component meets in one task.
+    """
+    least = cut(prints.groupBy("fp").agg(F.min(F.struct(none, F.col("doc_id").alias("id"), "fp")).alias("least")))
+    links = fingerprint_links(least, max_bits, blocks)
+    u, v = least.select("fp", F.col("least").alias("u")), least.select(F.col("fp").alias("to"), F.col("least").alias("v"))
+    root = components(links.join(u, "fp").join(v, "to"), "u", "v")
+    return least.join(root, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("root", "least").alias("least"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, max_bits: int = 4, blocks: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Whole rows, one of each component: the one of the smallest id (null last), then of the smallest hash of its text; of rows equal in both, one."""
-    keyed = docs.withColumns({"_row": row_key(doc_id, text)})
-    prints = cut(fingerprints(keyed.select(F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col(text).alias("text")), width, seed))
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return keep_first(docs, prints, _tied(least, max_bits, blocks), doc_id, text)
-
-
-def keep_first(docs: DataFrame, prints: DataFrame, tied: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of `docs` that are the least of each root; prints: doc_id (null mark, id, row key) of every row, tied: root and least."""
-    keyed = docs.withColumns({"_row": row_key(doc_id, text)})
-    first = tied.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.row").alias("_first"))
-    kept = keyed.join(first, (F.col("_row") == F.col("_first")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    again = prints.groupBy("doc_id").count().filter("count > 1")
-    if not again.isEmpty():
-        one_of = Window.partitionBy("_row", doc_id).orderBy(F.lit(0))
-        kept = kept.withColumn("_n", F.row_number().over(one_of)).filter("_n = 1")
-    return kept.select(*docs.columns)
+    """Whole rows, one of each component: the one of the smallest id (null last), then of the smallest hash of its text; of rows equal in both, the one of the smallest hash of all columns.
+
+    Null, empty and wordless texts are one component. Other columns stay, whatever their names. An empty table gives an empty one.
+    """
+    who = F.struct(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("row"))
+    prints = cut(fingerprints(docs.select(who.alias("doc_id"), F.col(text).alias("text")), width, seed))
+    tied = _tied(prints, F.col("doc_id.id").isNull().alias("none"), max_bits, blocks)
+    return keep_rows(docs, tied.select("least.id.id", "least.id.row").distinct(), doc_id, text)
+
+
+def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of `docs` that `chosen` (id, row key) names; of rows equal in id and text, the one of the smallest hash of all columns."""
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(F.struct(*docs.columns).alias("rest"), F.col(doc_id).alias("rest_id"), row_key(doc_id, text).alias("rest_row"), F.xxhash64(*hashed).alias("rest_hash"))
+    kept = keyed.join(chosen, (F.col("rest_row.a") == F.col("row.a")) & (F.col("rest_row.b") == F.col("row.b")) & F.col("rest_id").eqNullSafe(F.col("id")))
+    one_of = Window.partitionBy("row.a", "row.b", "id").orderBy("rest_hash")
+    return kept.withColumn("n", F.row_number().over(one_of)).filter("n = 1").select("rest.*")
