@@ -6,9 +6,6 @@ import numpy as np
 
 _U = np.uint64
 
-#: Patterns may be so long; suffixes are sorted by as many symbols.
-MAX_PATTERN = 64
-
 
 class BitVector:
     """64 bits a machine word, with the ones before each word."""
@@ -51,11 +48,11 @@ class WaveletMatrix:
         return self._down(c, i) - self.start[c]
 
 
-def suffix_order(seq: np.ndarray) -> np.ndarray:
-    """Suffixes by their first MAX_PATTERN symbols (prefix doubling)."""
+def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes by their first `depth` symbols or more (prefix doubling)."""
     rank, k = seq.astype(np.int64), 1
     order = np.argsort(rank, kind="stable")
-    while k < MAX_PATTERN:
+    while k < depth:
         nxt = np.zeros_like(rank)
         nxt[:-k] = rank[k:] + 1
         key = rank * (int(nxt.max()) + 1) + nxt
@@ -70,7 +67,7 @@ def suffix_order(seq: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Over the segments words[bounds[i]:bounds[i+1]], each counted weight[i] times."""
+    """Over the segments words[bounds[i]:bounds[i+1]], each counted weight[i] times. Patterns may be as long as the longest segment."""
 
     def __init__(self, words: np.ndarray, bounds: np.ndarray, weight: np.ndarray):
         size = np.diff(bounds)
@@ -82,7 +79,7 @@ class FMIndex:
         self.begin = bounds[:-1] + np.arange(len(size))
         self.size = size
         sigma = int(symbol.max(initial=-1)) + 2
-        order = suffix_order(self.seq)
+        order = suffix_order(self.seq, int(size.max(initial=1)))
         self.bwt = WaveletMatrix(self.seq[order - 1], sigma)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(self.seq, minlength=sigma))))
         each = np.zeros(n, np.int64)
@@ -108,24 +105,39 @@ class FMIndex:
             live, lo, hi = live[on], lo[on], hi[on]
         return matched
 
-    def repeated(self, window: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, offset) of every window of `window` symbols that occurs `least` times or more, by segment and offset."""
+    def matching_statistics(self, window: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, end, length), by segment and end: how many symbols before each end occur `least` times or more, as far as it matters.
+
+        A whole segment that repeats is one row. Elsewhere lengths are cut off at `window`, the threshold, and the ends that
+        a shorter match has shown to lie below it are left out.
+        """
         starts = self.size - window + 1
-        found = self.search(self.begin + self.size, self.size, least)
-        whole = np.flatnonzero((found == self.size) & (starts > 0))
-        seg = [np.repeat(whole, starts[whole])]
-        off = [np.arange(int(starts[whole].sum())) - np.repeat(np.cumsum(starts[whole]) - starts[whole], starts[whole])]
-        open_ = np.flatnonzero((found < self.size) & (starts > 0))
+        fits = np.flatnonzero(starts > 0)
+        whole = self.search((self.begin + self.size)[fits], self.size[fits], least)
+        full = whole == self.size[fits]
+        seg, end, length = [fits[full]], [self.size[fits[full]]], [whole[full]]
+        open_ = fits[~full]
         at = np.zeros(len(open_), np.int64)
         while len(open_):
             m = self.search(self.begin[open_] + at + window, np.full(len(open_), window), least)
-            hit = m == window
-            seg.append(open_[hit])
-            off.append(at[hit])
-            # what failed is no part of any repeat: the next window begins behind its first symbol
-            at = at + np.where(hit, 1, window - m)
+            seg.append(open_)
+            end.append(at + window)
+            length.append(m)
+            # the symbol before a match ends every longer one: the next window begins behind it
+            at = at + np.where(m == window, 1, window - m)
             go = at < starts[open_]
             open_, at = open_[go], at[go]
-        seg, off = np.concatenate(seg), np.concatenate(off)
-        by = np.lexsort((off, seg))
-        return seg[by], off[by]
+        seg, end, length = np.concatenate(seg), np.concatenate(end), np.concatenate(length)
+        by = np.lexsort((end, seg))
+        return seg[by], end[by], length[by]
+
+    def repeated(self, window: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, from, to) of the longest stretches whose matching statistics reach `window`; stretches that touch are one."""
+        seg, end, length = self.matching_statistics(window, least)
+        long = length >= window
+        seg, a, b = seg[long], (end - length)[long], end[long]
+        apart = np.ones(len(seg), bool)
+        apart[1:] = (seg[1:] != seg[:-1]) | (a[1:] > b[:-1])
+        head = np.flatnonzero(apart)
+        tail = np.append(head[1:], len(seg))[: len(head)] - 1
+        return seg[head], a[head], b[tail]

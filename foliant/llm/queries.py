@@ -105,4 +105,19 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op2_chat": _OP2, "op5_url_filter": _OP5, "op7_top_k": _OP7}
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+starts AS (
+  SELECT r, i, string_agg(word, ' ') OVER next AS k, count(*) OVER next AS n FROM words
+  WINDOW next AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+repeated AS (SELECT k FROM starts WHERE n = 35 GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM starts WHERE n = 35 AND k IN (SELECT k FROM repeated)),
+marked AS (
+  SELECT r, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (gone.i IS NULL) AS kept
+  FROM words LEFT JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN marked USING (r)
+"""
+
+ORACLE_SQL = {"op2_chat": _OP2, "op5_url_filter": _OP5, "op7_top_k": _OP7, "op8_substring_dedup": _OP8}

@@ -1,17 +1,22 @@
-"""Substring dedup: compressed FM-indexes, one a shard, tell the intervals of a document that repeat.
+"""Substring dedup: compressed FM-indexes, one a shard, give the matching statistics of what is streamed through them.
 
 Equal windows of words have equal contents, so they can be brought together by content and not by document: the
-smallest hash of a six-word run in a window is its anchor, and the anchor with the fourteen words before or behind it,
-whichever the window holds, is its key. Neighbouring windows of one key form a segment. Only keys that turn up twice
+smallest hash of a six-word run in a window is its anchor, and the anchor with the words before or behind it that
+the window holds for sure is its key. Neighbouring windows of one key form a segment of the document. Only keys that turn up twice
 matter; their distinct segments, each with its number of copies, are fetched from the texts and dealt to shards
-by key. A shard is an FM-index over its segments; the segments are streamed through it by backward search on its
-wavelet matrix, and the windows matched twice or more are reported as intervals, for every copy of the segment.
+by key. A shard is an FM-index over its segments. They are streamed through it: backward search on the
+wavelet matrix gives matching statistics, and the stretches where these reach the window are reported as intervals, for every copy of the segment.
+
+A key of very many distinct segments would make one shard large. Its segments are cut again: the known words are
+continued to the side where a window still has more of its own, so that each window goes to one of two
+longer keys, and again, until keys are small or hold whole windows, of which all segments are equal.
 The work grows with the words, not with shards times documents, and a shard's memory is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +28,10 @@ from .common import row_key, span_hash, store, text_blocks, word_bounds, word_ha
 from .fm_index import FMIndex
 
 _U = np.uint64
+#: Words of an anchor at most.
 _RUN = 6
-#: Words of the segments in one index, about; a single key's segments are never parted.
-SHARD_WORDS = 600_000
+#: Words of the segments in one index, about, and distinct segments of a key before it is continued.
+SHARD_WORDS, KEY_SEGMENTS = 600_000, 512
 
 
 def _leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -40,16 +46,19 @@ def _leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """hashes of the words of several documents, parted at bounds: (document, start, length, key, content, step, times) of each segment, or run of equal ones."""
-    n = len(hashes)
+    """hashes of the words of several documents, parted at bounds: (document, start, length, block, key, content, step, times) of each segment, or run of equal ones.
+
+    The words of the key begin at `block` within the segment.
+    """
+    n, width = len(hashes), min(_RUN, window)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
-    side = window - _RUN - (window - _RUN) // 2  # so many words of a window lie before its anchor, or else behind it
-    reach = (window - _RUN) // 2
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
+    side = window - width - (window - width) // 2  # so many words of a window lie before its anchor, or else behind it
+    reach = (window - width) // 2
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    run = span_hash(hashes, np.arange(n - _RUN + 1), np.arange(_RUN, n + 1))
-    anchor = _leftmost_min(run, window - _RUN + 1)[: n - window + 1]
+    run = span_hash(hashes, np.arange(n - width + 1), np.arange(width, n + 1))
+    anchor = _leftmost_min(run, window - width + 1)[: n - window + 1]
     inside = doc[: n - window + 1] == doc[window - 1 :]
     before = anchor - np.arange(len(anchor)) >= side
     new = np.ones(len(anchor), bool)
@@ -58,7 +67,7 @@ def segments(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nd
     ends = np.append(np.flatnonzero(new | ~inside), len(anchor))
     last = ends[np.searchsorted(ends, first, "right")] - 1
     a = np.where(before[first], anchor[first] - reach, anchor[first])
-    key = span_hash(hashes, a, a + _RUN + reach) ^ np.where(before[first], _U(0x5851F42D4C957F2D), _U(0))
+    key = span_hash(hashes, a, a + width + reach) ^ np.where(before[first], _U(0x5851F42D4C957F2D), _U(0))
     length = last - first + window
     content = span_hash(hashes, first, first + length)
     # in periodic text one segment follows another of its kind at an even step: such a run is one row
@@ -70,21 +79,68 @@ def segments(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nd
     head = np.flatnonzero(~run_on)
     times = np.diff(np.append(head, len(first)))
     step = np.append(step, 0)[np.minimum(head + 1, len(first))] * (times > 1)
-    return doc[first[head]], first[head] - bounds[doc[first[head]]], length[head], key[head], content[head], step, times
+    return doc[first[head]], first[head] - bounds[doc[first[head]]], length[head], (a - first)[head], key[head], content[head], step, times
 
 
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+_SEGMENT = "key bigint, content bigint, row struct<a:bigint,b:bigint>, place bigint, shape bigint, times bigint"
+
+
+def _segment_batch(key, content, row: pa.Array, start, step, length, block, times) -> pa.RecordBatch:
+    """place: start and step, shape: length and block, 32 bits each; a text of 2**31 words would not fit one row."""
+    columns = [_i64(key), _i64(content), row, _i64(start << 32 | step), _i64(length << 32 | block), _i64(times)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "content", "row", "place", "shape", "times"])
+
+
 def _cut_segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (rows,), buf, offs in text_blocks([batch.column(0)], batch.column(1)):
                 starts, ends, bounds = word_bounds(buf, offs)
-                doc, at, length, key, content, step, times = segments(word_hashes(buf, starts, ends), bounds, window)
-                row = rows.to_numpy(zero_copy_only=False)[doc]
-                yield pa.RecordBatch.from_arrays([_i64(key), _i64(content), _i64(row), _i64(at << 32 | length << 8 | step), pa.array(times, pa.int32())], ["key", "content", "row", "place", "times"])
+                doc, at, length, block, key, content, step, times = segments(word_hashes(buf, starts, ends), bounds, window)
+                yield _segment_batch(key, content, rows.take(pa.array(doc)), at, step, length, block, times)
+
+    return run
+
+
+def _flat(lists: pa.Array, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    flat = lists.flatten()
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), [flat.field(i).to_numpy(zero_copy_only=False) for i in range(n)]
+
+
+def _continue(window: int):
+    """Texts with segments (place, shape, times, known) to the two segments that each falls into under longer keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (rows, lists), buf, offs in text_blocks([batch.column(0), batch.column(1)], batch.column(2)):
+                starts, ends, bounds = word_bounds(buf, offs)
+                hashes = word_hashes(buf, starts, ends)
+                doc, (place, shape, times, known) = _flat(lists, 4)
+                start, step, length, block = place >> 32, place & 0xFFFFFFFF, shape >> 32, shape & 0xFFFFFFFF
+                rest = window - known
+                more = rest - rest // 2
+                last = length - window  # of the windows' starts
+                turn = np.minimum(block - more, last)  # windows that begin here or earlier hold `more` words before the key's
+                for before in (True, False):
+                    a = np.zeros(len(doc), np.int64) if before else np.maximum(block - more + 1, 0)
+                    b = turn if before else last
+                    keep = np.flatnonzero((b >= a) & (rest > 0))
+                    if not len(keep):
+                        continue
+                    own = doc[keep]
+                    at = start[keep] + a[keep]
+                    size = b[keep] - a[keep] + window
+                    to = (block[keep] - more[keep] if before else block[keep]) - a[keep]
+                    words = np.minimum(known[keep] + (more[keep] if before else rest[keep] - more[keep] + 1), window)
+                    first = bounds[own] + at
+                    key = span_hash(hashes, first + to, first + to + words) ^ np.where(before, _U(0x2545F4914F6CDD1D), _U(0)) * words.astype(np.uint64)
+                    content = span_hash(hashes, first, first + size)
+                    out = _segment_batch(key, content, rows.take(pa.array(own)), at, step[keep], size, to, times[keep])
+                    yield out.append_column("known", _i64(words))
 
     return run
 
@@ -95,30 +151,31 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lists,), buf, offs in text_blocks([batch.column(0)], batch.column(1)):
             starts, ends, bounds = word_bounds(buf, offs)
             hashes = word_hashes(buf, starts, ends)
-            flat = lists.flatten()
-            key, content, place, copies = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            a, size = bounds[doc] + (place >> 32), place >> 8 & 255
-            to = np.concatenate(([0], np.cumsum(size)))
-            take = np.arange(to[-1]) - np.repeat(to[:-1] - a, size)
-            words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((to * 8).astype(np.int32).tobytes()), pa.py_buffer(hashes[take].tobytes())])
-            yield pa.RecordBatch.from_arrays([_i64(key), _i64(content), _i64(copies), words], ["key", "content", "copies", "words"])
+            doc, (key, content, place, shape, copies) = _flat(lists, 5)
+            first, size = bounds[doc] + (place >> 32), shape >> 32
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // _FETCHED, prepend=-1))  # some segments at a time
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(size)]):
+                to = np.concatenate(([0], np.cumsum(size[a:b])))
+                take = np.arange(to[-1]) - np.repeat(to[:-1] - first[a:b], size[a:b])
+                words = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((to * 8).astype(np.int32).tobytes()), pa.py_buffer(hashes[take].tobytes())])
+                yield pa.RecordBatch.from_arrays([_i64(key[a:b]), _i64(content[a:b]), _i64(copies[a:b]), words], ["key", "content", "copies", "words"])
+
 
+#: Words that are fetched into one batch, about.
+_FETCHED = 1 << 19
 
-def _search(window: int):
+
+def _search(window: int, shard_words: int):
     def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
+        if not len(t):
+            return pa.RecordBatch.from_arrays([_i64(np.zeros(0, np.int64))] * 4, ["key", "content", "a", "b"])
         key, content, copies = (t.column(i).to_numpy() for i in range(3))
         words = t.column(3).combine_chunks()
         offs = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1 + words.offset)[words.offset :] // 8
         data = np.frombuffer(words.buffers()[2], np.uint64)[offs[0] : offs[-1]]
-        seg, off = FMIndex(data, (offs - offs[0]).astype(np.int64), copies).repeated(window)
-        # neighbouring windows of a segment cover one interval
-        joined = np.zeros(len(seg), bool)
-        joined[1:] = (seg[1:] == seg[:-1]) & (off[1:] - off[:-1] <= window)
-        head = np.flatnonzero(~joined)
-        tail = np.append(head[1:], len(seg))[: len(head)] - 1
-        return pa.RecordBatch.from_arrays([_i64(key[seg[head]]), _i64(content[seg[head]]), _i64(off[head]), _i64(off[tail] + window)], ["key", "content", "a", "b"])
+        seg, a, b = FMIndex(data, (offs - offs[0]).astype(np.int64), copies).repeated(window)
+        return pa.RecordBatch.from_arrays([_i64(key[seg]), _i64(content[seg]), _i64(a), _i64(b)], ["key", "content", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, last = [], 0, (None, None)
@@ -134,7 +191,7 @@ def _search(window: int):
             at = 0
             for i in new_key.tolist():
                 words = int(words_to[i] - words_to[at])
-                if n + words >= SHARD_WORDS:
+                if n + words >= shard_words and (held or i > at):
                     held.append(batch.slice(at, i - at).filter(pa.array(fresh[at:i])))
                     yield shard(held)
                     held, n, at = [], 0, i
@@ -174,27 +231,46 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row doc_id, n_words, n_removed, kept (the words outside, joined by one space), spans (removed word ranges).
 
-    A word is removed if a window of `window` words that holds it begins at two places or more, in one document or
-    several. Null texts have no words. Rows are told apart by a 64-bit hash of id and text: rows equal in both are
+    A word is removed if a window of `window` words (1 or more) that holds it begins at two places or more, in one document or
+    several. Null texts have no words. Rows are told apart by 128 bits of hashes of id and text: rows equal in both are
     copies of each other like any others, and null ids are allowed. Words are compared by 64-bit hashes.
-    Other columns are left out.
+    Other columns are left out. An empty table gives an empty one.
     """
     return _windows(docs, window, doc_id, text, F.struct(F.col(doc_id).alias("doc_id"))).select("rest.*", "n_words", "n_removed", "kept", "spans")
 
 
+def _twice(cut: DataFrame) -> DataFrame:
+    """Segments of the keys that turn up twice. Counted before they are dealt, and joined: a hot key is summed where it is read, and its rows can be split."""
+    often = cut.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key")
+    return cut.join(often, "key")
+
+
+def _small_keys(keyed: DataFrame, seen: DataFrame, window: int) -> DataFrame:
+    """`seen` with the segments of large keys cut again under longer ones, as often as it takes; keys of whole windows can't be large."""
+    width, parts = min(_RUN, window), []
+    while True:
+        kinds = seen.groupBy("key", "content").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("n"))
+        large = store(kinds.filter(F.col("n") > KEY_SEGMENTS).select("key"))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*parts, seen.drop("known")])
+        parts.append(seen.join(large, "key", "left_anti").drop("known"))
+        again = seen.join(large, "key", "left_semi")
+        known = F.col("known") if "known" in seen.columns else F.lit(width + (window - width) // 2).cast("long")
+        lists = again.groupBy("row").agg(F.collect_list(F.struct("place", "shape", "times", known.alias("known"))).alias("list"))
+        longer = keyed.select("row", "text").join(lists, "row").select("row", "list", "text").mapInArrow(_continue(window), _SEGMENT + ", known bigint")
+        seen = store(_twice(longer))
+
+
 def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column) -> DataFrame:
     keyed = docs.select(row_key(doc_id, text).alias("row"), rest.alias("rest"), F.col(text).alias("text"))
-    cut = keyed.select("row", "text").mapInArrow(_cut_segments(window), "key bigint, content bigint, row bigint, place bigint, times int")
-    # counted before they are dealt, and joined: a hot key is summed where it is read, and its rows can be split
-    often = cut.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key")
-    seen = store(cut.join(often, "key"))
-    distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place")).alias("one"))
-    lists = distinct.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("key", "content", F.col("one.place").alias("place"), "copies")).alias("list"))
-    with_lists = keyed.join(lists, "row").select("list", "text", "rest")
-    fetched = with_lists.mapInArrow(_fetch, "key bigint, content bigint, copies bigint, words binary")
-    found = fetched.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_search(window), "key bigint, content bigint, a bigint, b bigint")
+    seen = store(_twice(keyed.select("row", "text").mapInArrow(_cut_segments(window), _SEGMENT)))
+    seen = _small_keys(keyed, seen, window)
+    distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place", "shape")).alias("one"))
+    lists = distinct.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("key", "content", F.col("one.place").alias("place"), F.col("one.shape").alias("shape"), "copies")).alias("list"))
+    fetched = keyed.select("row", "text").join(lists, "row").select("list", "text").mapInArrow(_fetch, "key bigint, content bigint, copies bigint, words binary")
+    found = fetched.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_search(window, SHARD_WORDS), "key bigint, content bigint, a bigint, b bigint")
     at = F.shiftright("place", 32)
-    more = F.col("place").bitwiseAND(F.lit(255)) * (F.col("times") - 1)
+    more = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) * (F.col("times") - 1)
     spans = seen.join(found, ["key", "content"]).select("row", F.struct((at + F.col("a")).alias("a"), (at + more + F.col("b")).alias("b")).alias("s"))
     gone = spans.groupBy("row").agg(F.collect_set("s").alias("gone"))
     out = T.StructType([keyed.schema["rest"], *T._parse_datatype_string("n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>").fields])
@@ -202,7 +278,11 @@ def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column)
 
 
 def drop_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Whole rows without the repeated words; a text that loses none stays as it is, and null stays null."""
+    """Whole rows without the repeated words; a text that loses none stays as it is, and null stays null.
+
+    Repeated rows are copies of each other, so their common windows go from all of them; every row stays, if without words.
+    Other columns stay, whatever their names. An empty table gives an empty one.
+    """
     found = _windows(docs, window, doc_id, text, F.struct(*docs.columns))
     left = F.when(F.col("n_removed") == 0, F.col("rest")[text]).otherwise(F.col("kept"))
     return found.select(*(left.alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns))

@@ -98,25 +98,60 @@ def test_substring(spark):
     assert len(text) and {r["text"] for r in cleaned.collect()} == {t if n == 0 else k for t, n, k in text.values()}
 
 
+def _same_as_plain(spark, rows, window=35):
+    got = substring.repeated_windows(_docs(spark, rows), window).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == sorted(brute.substrings(rows, window), key=str)
+
+
 def test_small_shards_give_the_same(spark, monkeypatch):
-    rows = _corpus(6, 40)
     monkeypatch.setattr(substring, "SHARD_WORDS", 50)
-    got = substring.repeated_windows(_docs(spark, rows)).collect()
-    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == sorted(brute.substrings(rows), key=str)
+    _same_as_plain(spark, _corpus(6, 40))
+
+
+@pytest.mark.parametrize("window", [1, 3, 6, 7, 64, 200, 400])
+def test_other_windows(spark, window):
+    rng = random.Random(window)
+    passage = ["p%d" % rng.randrange(90) for _ in range(700)]
+    rows = [(i, t) for i, t in _corpus(window, 20)]
+    for i in range(6):
+        a, b = sorted((rng.randrange(150), rng.randrange(400, 700)))
+        rows.append((100 + i, " ".join(["x%d" % i, *passage[a:b], "y%d" % i])))
+    rows += [(200, "a b c " * 400), (201, "a b c " * 150 + "z")]
+    _same_as_plain(spark, rows, window)
+
+
+@pytest.mark.parametrize("window,most", [(35, 1), (35, 4), (20, 2)])
+def test_large_keys_are_continued(spark, monkeypatch, window, most):
+    """A passage shorter than a window, in many surroundings, some of which repeat; and one that is periodic."""
+    monkeypatch.setattr(substring, "KEY_SEGMENTS", most)
+    rng = random.Random(most)
+    passage = ["p%d" % i for i in range(window - 6)]
+    sides = [["s%d" % rng.randrange(40) for _ in range(12)] for _ in range(8)]
+    rows = []
+    for i in range(60):
+        before, behind = rng.choice(sides), rng.choice(sides)
+        w = [f"u{i}"] + before[rng.randint(0, 11) :] + passage + behind[: rng.randint(0, 11)] + [f"v{i}"]
+        rows.append((i, " ".join(w)))
+    rows += [(70, "a b " * 90), (71, "c a b " * 30), (72, "a b " * 20 + "d"), (73, None)]
+    _same_as_plain(spark, rows, window)
 
 
-def test_fm_index():
+def test_matching_statistics():
     rng = np.random.default_rng(3)
     for _ in range(25):
         segs = [rng.integers(0, 4, rng.integers(1, 20)) for _ in range(rng.integers(1, 40))]
         weight = rng.integers(1, 3, len(segs))
         seen = {}
         for s, m in zip(segs, weight):
-            for i in range(len(s) - 4):
-                seen[tuple(s[i : i + 5])] = seen.get(tuple(s[i : i + 5]), 0) + m
+            for i in range(len(s)):
+                for n in range(1, len(s) - i + 1):
+                    seen[tuple(s[i : i + n])] = seen.get(tuple(s[i : i + n]), 0) + m
         index = FMIndex(np.concatenate(segs).astype(np.uint64), np.concatenate(([0], np.cumsum([len(s) for s in segs]))), weight)
-        a, b = index.repeated(5)
-        assert list(zip(a.tolist(), b.tolist())) == [(k, i) for k, s in enumerate(segs) for i in range(len(s) - 4) if seen[tuple(s[i : i + 5])] > 1]
+        for k, end, n in zip(*index.matching_statistics(5)):
+            longest = max((x for x in range(1, end + 1) if seen[tuple(segs[k][end - x : end])] > 1), default=0)
+            assert n == (longest if n > 5 else min(longest, 5))
+        covered = {(k, i) for k, a, b in zip(*index.repeated(5)) for i in range(a, b)}
+        assert covered == {(k, j) for k, s in enumerate(segs) for i in range(len(s) - 4) if seen[tuple(s[i : i + 5])] > 1 for j in range(i, i + 5)}
 
 
 def test_decontaminate(spark):
