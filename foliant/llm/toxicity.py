@@ -358,6 +358,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, plan: Plan, usable) -> D
     return one.withColumn("upto", upto).filter(F.col("upto") <= plan.chars).select("text", "toxic", F.col("doc_id").alias("at"))
 
 
+def _weights(net: Network) -> tuple:
+    return net.vocabulary, net.p, net.pool, net.shift, net.spread
+
+
 def _learn(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y: list[np.ndarray] = [np.zeros(0, np.int32)]
@@ -369,8 +373,7 @@ def _learn(plan: Plan):
                     yield buf, offs
 
         words = read_texts(parts(), plan.grams)
-        net = train(words, np.concatenate(y), plan)
-        learned = pickle.dumps((net.vocabulary, net.p, net.pool, net.shift, net.spread))
+        learned = pickle.dumps(_weights(train(words, np.concatenate(y), plan)))
         yield pa.RecordBatch.from_arrays([pa.array([learned], pa.binary())], ["learned"])
 
     return run
@@ -380,7 +383,8 @@ def learn(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> tuple:
     """The weights, learned in one task from the sample and kept in the shared folder, so that a lost executor costs no second training."""
     sample = training_sample(docs, labels, plan, ~held_out(F.col("doc_id")))
     told = store(sample.repartition(1).sortWithinPartitions("at").select("text", "toxic").mapInArrow(_learn(plan), "learned binary"))
-    return pickle.loads(told.first()["learned"])  # one row of some MB, however many documents there are
+    row = told.first()  # some MB, however many documents there are; no row if there is no labelled text
+    return pickle.loads(row["learned"]) if row else _weights(train(read_texts(iter(()), plan.grams), np.zeros(0), plan))
 
 
 def held_out(doc_id) -> F.Column:
