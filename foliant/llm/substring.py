@@ -267,7 +267,8 @@ def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column)
     seen = _small_keys(keyed, seen, window)
     distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place", "shape")).alias("one"))
     lists = distinct.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("key", "content", F.col("one.place").alias("place"), F.col("one.shape").alias("shape"), "copies")).alias("list"))
-    fetched = keyed.select("row", "text").join(lists, "row").select("list", "text").mapInArrow(_fetch, "key bigint, content bigint, copies bigint, words binary")
+    # with `rest`, which it doesn't need: so the texts are dealt once for both joins
+    fetched = keyed.join(lists, "row").select("list", "text", "rest").mapInArrow(_fetch, "key bigint, content bigint, copies bigint, words binary")
     found = fetched.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_search(window, SHARD_WORDS), "key bigint, content bigint, a bigint, b bigint")
     at = F.shiftright("place", 32)
     more = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) * (F.col("times") - 1)
