@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -87,6 +88,22 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.struct(F.xxhash64(F.col(text_col), F.col(id_col)).alias("a"), F.xxhash64(F.lit(29), F.col(id_col), F.col(text_col)).alias("b"))
 
 
+def tidied(run):
+    """`run`, which turns batches into batches; at its end the memory that it let go is given back.
+
+    Python workers are kept for later tasks, and C's allocator and Arrow's keep what was freed, beside an executor that wants it.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Each name, or the first variant of it that no column has, as Spark compares names."""
     taken, found = {c.lower() for c in columns}, []

@@ -2,12 +2,17 @@
 
 An item of m characters that occurs in a text with at most k edits shares at least m - q + 1 - k * q of its q-grams with
 it, all within k diagonals (place in the text less place in the item). Every q-gram of every text is looked up
-in an index of the items' q-grams; what it hits is counted by text, item and diagonal band. Bands are 2k wide and overlap by
+in an index of the items' q-grams; the places that hit are counted by text, item and diagonal band. Bands are 2k wide and overlap by
 half, so that one holds all the diagonals of an occurrence. Bands that reach the bound are verified by
 alignment: edit distance of the whole item against the text, free at both ends of the text, within the band.
 
+Short items, of which an occurrence need not share a run of `q` characters, have shorter grams: of m // (k + 1), which it must share.
+Of the places of one gram in an item, only those are kept that reach every band the others reach (a place between two
+that lie no further apart than a band is wide reaches none of its own), so a periodic item costs no more than another; hits are spread out a bounded number
+at a time, and very long texts are read in pieces that overlap by an occurrence. So memory depends neither on a text's length nor on its contents.
+
 The filter is exact in one direction: no occurrence within the budget is missed. The items are broadcast, in
-blocks of at most `BLOCK_CHARS` characters; a larger benchmark takes one pass over the texts a block.
+blocks of at most `BLOCK_CHARS` characters; a larger benchmark takes one pass over the texts a block, and each block goes before the next comes.
 """
 
 from __future__ import annotations
@@ -17,16 +22,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mix64, powers, text_blocks
+from .common import mix64, powers, store, text_blocks, tidied
 
 _U = np.uint64
 #: Characters of the items that are broadcast at a time.
 BLOCK_CHARS = 2_000_000
 _BINS, _FILTER = 1 << 20, 1 << 22
+#: Hits that are spread out at a time, diagonals that are aligned at a time, and bytes of a piece of a long text.
+_SPREAD, _LANES, PIECE = 1 << 20, 1 << 14, 1 << 21
 
 # Letters A-Z and Latin-1 capitals become small, ASCII whitespace and no-break space become a space; one character stays one.
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -52,103 +60,200 @@ def gram_hashes(cp: np.ndarray, q: int) -> np.ndarray:
     return mix64((total[q:] - total[:-q]) * powers(n, inverse=True)[: n - q + 1])
 
 
-def banded(item: np.ndarray, text: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
-    """For each band of diagonals low .. low + width - 1: the fewest edits that turn the item into a part of the text.
+def banded(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int]:
+    """Over the diagonals low .. low + width - 1: the fewest edits that turn the item into a part of the text, and on which diagonal it ends.
 
     Row i of the recurrence has, for every diagonal d, the edits of item[:i] against a part that ends before text[d + i].
     """
-    lane = np.arange(width)
-    d = np.zeros((len(low), width), np.int32)
-    padded = np.concatenate((np.full(1, 1 << 30, np.int64), text.astype(np.int64), np.full(1, 1 << 30, np.int64)))
-    at = low[:, None] + lane + 1
-    for i, c in enumerate(item):
-        step = d + (padded[np.clip(at + i, 0, len(padded) - 1)] != c)
-        step[:, :-1] = np.minimum(step[:, :-1], d[:, 1:] + 1)
-        d = np.minimum.accumulate(step - lane, axis=1) + lane
-    return d.min(1)
+    lane = np.arange(width, dtype=np.int32)
+    d = np.zeros(width, np.int32)
+    m = len(item)
+    padded = np.full(width + m, -1, np.int64)  # text[low : low + width + m], with what no item holds beyond its ends
+    a, b = max(low, 0), min(low + width + m, len(text))
+    if b > a:
+        padded[a - low : b - low] = text[a:b]
+    for i, c in enumerate(item.tolist()):
+        step = d + (padded[i : i + width] != c)
+        step[:-1] = np.minimum(step[:-1], d[1:] + 1)
+        d = np.minimum.accumulate(step - lane) + lane
+    return int(d.min()), int(d.argmin())
 
 
-class ItemIndex:
-    def __init__(self, items: list[tuple[object, np.ndarray]], q: int, rate: float):
-        self.items, self.q = [(i, t) for i, t in items if len(t)], q
-        self.size = np.array([len(t) for _, t in self.items], np.int64)
-        # the budget, smaller where the lemma would leave no shared q-gram to ask for
-        self.k = np.maximum(np.minimum((self.size * rate).astype(np.int64), (self.size - q) // q), 0)
-        self.least = self.size - q + 1 - self.k * q
-        self.band = np.maximum(self.k, 1)
-        self.short = [n for n, m in enumerate(self.size) if m < q]
-        grams = [gram_hashes(t, q) for _, t in self.items]
-        own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        h = np.concatenate([np.zeros(0, np.uint64), *grams])
-        by = np.argsort(h, kind="stable")
+def gram_length(size: int, edits: int, q: int) -> int:
+    """The longest gram, up to q, of which an occurrence with so many edits shares one at least."""
+    return max(1, min(q, size // (edits + 1)))
+
+
+class Grams:
+    """The index of the items of one gram length."""
+
+    def __init__(self, items: list[np.ndarray], numbers: list[int], budget: np.ndarray, q: int):
+        self.q, own, at, hashes = q, [], [], []
+        for n in numbers:
+            h = gram_hashes(items[n], q)
+            keep = _reaching(h, max(int(budget[n]), 1))
+            hashes.append(h[keep])
+            at.append(keep)
+            own.append(np.full(len(keep), n))
+        h = np.concatenate(hashes)
+        by = np.argsort(h, kind="stable")  # of one gram: by item, then by place
         self.grams, first = np.unique(h[by], return_index=True)
         self.first = np.append(first, len(h))
-        self.own = own[by]
-        self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])[by]
+        self.own, self.at = np.concatenate(own)[by].astype(np.int32), np.concatenate(at)[by].astype(np.int32)
         self.filter = np.zeros(_FILTER, bool)
         self.filter[self.grams & _U(_FILTER - 1)] = True
 
-    def matches(self, cp: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item place in self.items, edits, about where it begins), for every band that holds an occurrence."""
-        found = []
-        for n in self.short:  # shorter than a q-gram: the item itself
-            for doc in range(len(offs) - 1):
-                at = cp[offs[doc] : offs[doc + 1]].tobytes().find(self.items[n][1].tobytes())
-                while at >= 0 and at % 4:
-                    at = cp[offs[doc] : offs[doc + 1]].tobytes().find(self.items[n][1].tobytes(), at + 1)
-                if at >= 0:
-                    found.append((doc, n, 0, at // 4))
+    def hits(self, cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, place in it, gram) of every run of q characters that some item holds."""
         h = gram_hashes(cp, self.q)
         place = np.flatnonzero(self.filter[h & _U(_FILTER - 1)])
-        if not len(place) or not len(self.grams):
-            return found
         g = np.minimum(np.searchsorted(self.grams, h[place]), len(self.grams) - 1)
         doc = np.searchsorted(offs, place, "right") - 1
         good = (self.grams[g] == h[place]) & (place + self.q <= offs[doc + 1])
-        place, g, doc = place[good] - offs[doc[good]], g[good], doc[good]
+        place, doc = place[good], doc[good]
+        return doc, place - offs[doc], g[good]
+
+    def spread(self, doc: np.ndarray, place: np.ndarray, g: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(hit, document, item, diagonal) of the hits against each of their places in items, about `most` at a time."""
         count = self.first[g + 1] - self.first[g]
-        entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.first[g], count)
-        item, in_item = self.own[entry], self.at[entry]
-        doc, diag = np.repeat(doc, count), np.repeat(place, count) - in_item
+        cuts = np.flatnonzero(np.diff((np.cumsum(count) - count) // most, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(g)]):
+            n = count[a:b]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[g[a:b]], n)
+            yield np.repeat(np.arange(a, b), n), np.repeat(doc[a:b], n), self.own[entry], np.repeat(place[a:b], n) - self.at[entry]
+
+
+def _reaching(h: np.ndarray, band: int) -> np.ndarray:
+    """Places in an item that reach all the bands which its grams h reach."""
+    if not len(h) or np.unique(h, return_counts=True)[1].max() < 3:
+        return np.arange(len(h))
+    by = np.argsort(h, kind="stable")
+    keep, same = [], np.append(h[by][1:] == h[by][:-1], False)
+    last = None
+    for i, p in enumerate(by.tolist()):
+        # `last` is the last kept place of this gram; p can go if the next one lies within a band of it
+        if last is not None and same[i] and by[i + 1] - last <= band:
+            continue
+        keep.append(p)
+        last = p if same[i] else None
+    return np.sort(np.array(keep, np.int64))
+
+
+def _sums(pair: np.ndarray, band: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    by = np.lexsort((band, pair))
+    pair, band, n = pair[by], band[by], n[by]
+    head = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1]))[: len(pair)])
+    return pair[head], band[head], np.add.reduceat(n, head) if len(head) else n
+
+
+class ItemIndex:
+    def __init__(self, items: list[tuple[object, np.ndarray]], q: int, rate: float):
+        self.items = [(i, t) for i, t in items if len(t)]
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.k = np.floor(self.size * rate + 1e-9).astype(np.int64)
+        self.band = np.maximum(self.k, 1)
+        self.reach = int((self.size + self.k).max(initial=0))
+        own_q = np.array([gram_length(m, k, q) for m, k in zip(self.size.tolist(), self.k.tolist())], np.int64)
+        self.least = self.size - own_q + 1 - self.k * own_q
+        texts = [t for _, t in self.items]
+        self.grams = [Grams(texts, np.flatnonzero(own_q == x).tolist(), self.k, x) for x in np.unique(own_q).tolist()]
+        self.whole = (self.k == 0) & (self.size == own_q)  # a hit is an occurrence
+
+    def matches(self, cp: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item place in self.items, edits, about where it begins), the best of every document and item that has an occurrence."""
+        return [found for grams in self.grams for found in self._matches(grams, cp, offs)]
+
+    def _matches(self, grams: Grams, cp: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        hits, many = grams.hits(cp, offs), len(self.items)
+        if not len(hits[0]):
+            return
+        bins, kept = np.zeros(_BINS, np.int64), []
+        parts = [(np.zeros(0, np.int64),) * 3]
+        exact: dict[int, int] = {}
+        for _, pair, band, n, code in self._bands(grams, hits, exact):
+            bins += np.bincount(code, minlength=_BINS)
+            kept.append((pair, band, n, code))
+            if sum(len(x[0]) for x in kept) > _SPREAD:
+                kept = None
+                break
+        if kept is None:  # more than is held at once: counted first, then spread out again
+            bins[:] = 0
+            for *_, code in self._bands(grams, hits, {}):
+                bins += np.bincount(code, minlength=_BINS)
+            again = (x[1:] for x in self._bands(grams, hits, exact))
+        else:
+            again = iter(kept)
+        for pair, band, n, code in again:
+            full = bins[code] >= self.least[n]
+            parts.append(_sums(pair[full], band[full], np.ones(int(full.sum()), np.int64)))
+        pair, band, count = _sums(*map(np.concatenate, zip(*parts)))
+        good = count >= self.least[pair % many]
+        pair, band = pair[good], band[good]
+        for p, at in exact.items():
+            yield p // many, p % many, 0, at
+        head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(pair)]):
+            doc, n = divmod(int(pair[a]), many)
+            if best := self._align(cp[offs[doc] : offs[doc + 1]], n, band[a:b]):
+                yield doc, n, *best
+
+    def _bands(self, grams: Grams, hits: tuple, exact: dict[int, int]):
+        """(place, document and item, band, item, bin) of all hits, each band once a place; items that a gram holds whole go to `exact` with their first place."""
         many = len(self.items)
-        pair, band = doc * many + item, diag // self.band[item]
-        parts = []
-        for shift in (0, 1):  # a diagonal lies in two bands: the one that begins with its stripe, and the one before
-            code = mix64(pair.astype(np.uint64) * _U(0x9E3779B97F4A7C15) ^ (band - shift).astype(np.uint64)) & _U(_BINS - 1)
-            full = np.bincount(code.astype(np.int64), minlength=_BINS)[code] >= self.least[item]
-            parts.append(np.stack((pair[full], (band - shift)[full], in_item[full], diag[full])))
-        pair, band, in_item, diag = np.concatenate(parts, axis=1)
-        if not len(pair):
-            return found
-        by = np.lexsort((in_item, band, pair))
-        pair, band, in_item, diag = pair[by], band[by], in_item[by], diag[by]
-        group = np.concatenate(([True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])))
-        once = group | np.concatenate(([True], in_item[1:] != in_item[:-1]))
-        head = np.flatnonzero(group)
-        hits = np.add.reduceat(once.astype(np.int64), head)
-        kept = head[hits >= self.least[pair[head] % many]]
-        for p in np.unique(pair[kept]):
-            rows, (doc, n) = kept[pair[kept] == p], divmod(int(p), many)
-            text, item, k, width = cp[offs[doc] : offs[doc + 1]], self.items[n][1], int(self.k[n]), int(self.band[n])
-            low = band[rows] * width
-            for a in range(0, len(rows), 256):
-                edits = banded(item, text, low[a : a + 256] - k, 2 * width + 2 * k)
-                found += [(doc, n, int(e), max(int(x), 0)) for e, x in zip(edits, np.array([np.median(diag[r : r + 1]) for r in rows[a : a + 256]])) if e <= k]
-        return found
+        for hit, doc, item, diag in grams.spread(*hits, _SPREAD):
+            pair = doc * many + item
+            if self.whole[item].any():
+                full = np.flatnonzero(self.whole[item])
+                found, first = np.unique(pair[full], return_index=True)
+                for p, at in zip(found.tolist(), diag[full[first]].tolist()):
+                    exact[p] = min(exact.get(p, at), at)
+                rest = ~self.whole[item]
+                hit, pair, item, diag = hit[rest], pair[rest], item[rest], diag[rest]
+            band = diag // self.band[item]
+            # of one hit and item diagonals fall, so equal bands are neighbours
+            new = np.ones(len(band), bool)
+            new[1:] = (band[1:] != band[:-1]) | (pair[1:] != pair[:-1]) | (hit[1:] != hit[:-1])
+            hit, pair, item, band = hit[new], pair[new], item[new], band[new]
+            # a diagonal lies in two bands: the one that begins with its stripe, and the one before
+            before = np.ones(len(band), bool)
+            before[:-1] = (band[1:] != band[:-1] - 1) | (pair[1:] != pair[:-1]) | (hit[1:] != hit[:-1])
+            hit, pair, item, band = (np.concatenate((x, y[before])) for x, y in ((hit, hit), (pair, pair), (item, item), (band, band - 1)))
+            code = (mix64(pair.astype(np.uint64) * _U(0x9E3779B97F4A7C15) ^ band.astype(np.uint64)) & _U(_BINS - 1)).astype(np.int64)
+            yield hit, pair, band, item, code
+
+    def _align(self, text: np.ndarray, n: int, bands: np.ndarray) -> tuple[int, int] | None:
+        """(fewest edits, about where), over the bands; neighbouring ones are aligned as one."""
+        item, k, width = self.items[n][1], int(self.k[n]), int(self.band[n])
+        best: tuple[int, int] | None = None
+        apart = np.flatnonzero(np.append(True, (np.diff(bands) > 1) | (np.diff(bands // (_LANES // width + 1)) > 0)))
+        for a, b in zip(apart.tolist(), [*apart[1:].tolist(), len(bands)]):
+            low = int(bands[a]) * width - k
+            edits, lane = banded(item, text, low, int(bands[b - 1] - bands[a] + 2) * width + 2 * k)
+            if edits <= k and (best is None or edits < best[0]):
+                best = edits, max(low + lane, 0)
+            if best and not best[0]:
+                break
+        return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 7, rate: float = 0.1, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, edits, place: every item that occurs in a document with at most `rate` edits a character; the fewest edits, and about where.
+    """doc_id, item_id, edits, place: every item that occurs in a document with at most `rate` edits a character (rounded down); the fewest edits, and about where.
 
-    Case of Latin letters and kinds of ASCII whitespace don't count. The budget of a short item is smaller, so that an occurrence
-    must share a q-gram; items shorter than q must occur exactly; null and empty items occur nowhere, null and
+    Case of Latin letters and kinds of ASCII whitespace don't count. Null and empty items occur nowhere, null and
     empty texts hold nothing. Repeated rows, of either table, give rows of their own; null ids are allowed. Other columns are left out.
+    Empty tables give an empty one.
     """
+    if not 0 <= rate < 0.5:
+        raise ValueError(f"rate: {rate!r} is not below a half")
     kinds = [docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
-    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    parts = []
-    for sent in _sent_blocks(benchmark, item_id, text):
+    return _over_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, q, rate, item_id, text, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, place bigint", to_arrow_type(benchmark.schema[item_id].dataType))
+
+
+def _over_blocks(rows: DataFrame, benchmark: DataFrame, q: int, rate: float, item_id: str, text: str, kind: str, item_type) -> DataFrame:
+    """rows (an id, text) to what `contaminated` tells of them. One block of items is looked for as the rows are read; of several, each one's hits are stored and its broadcast goes."""
+    parts, items, blocks = [], *_item_blocks(benchmark, item_id, text)
+    for block in range(blocks):
+        sent = _sent(items, block, blocks)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(sent.value, q, rate)
@@ -159,44 +264,84 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 7, rate: float
                     columns = [ids.take(pa.array([doc for doc, _ in best], pa.int64())), item, pa.array([e for e, _ in best.values()], pa.int32()), pa.array([a for _, a in best.values()], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "edits", "place"])
 
-        parts.append(texts.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, place bigint"))
+        found = rows.mapInArrow(tidied(run), kind)
+        if blocks > 1:
+            found = store(found)
+            sent.destroy()
+        parts.append(found)
     return reduce(DataFrame.unionAll, parts)
 
 
-def _sent_blocks(benchmark: DataFrame, item_id: str, text: str) -> list:
-    """Broadcasts of (item, folded text), each of a bounded number of characters."""
+def _item_blocks(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, int]:
     items = benchmark.filter(F.length(text) > 0).select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 if chars <= BLOCK_CHARS else 2 * (chars // BLOCK_CHARS) + 1
-    found = []
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = sorted(mine.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        found.append(benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], fold(r["text"].encode())) for r in rows]))
-    return found
+    return items, 1 if chars <= BLOCK_CHARS else 2 * (chars // BLOCK_CHARS) + 1
+
+
+def _sent(items: DataFrame, block: int, blocks: int) -> Broadcast:
+    """A broadcast of (item, folded text): of all items, or of those whose hash falls to the block."""
+    mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    rows = sorted(mine.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+    return items.sparkSession.sparkContext.broadcast([(r["item_id"], fold(r["text"].encode())) for r in rows])
+
+
+def _pieces(buf: np.ndarray, offs: np.ndarray, overlap: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, folded characters, where each begins, characters of it before) of a block; a long document comes in pieces that share `overlap` characters."""
+    step = max(PIECE, 8 * overlap)
+    if len(offs) > 2 or offs[-1] <= 2 * step:
+        before = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+        yield list(range(len(offs) - 1)), fold(buf.tobytes()), before[offs], np.zeros(len(offs) - 1, np.int64)
+        return
+    at, chars = 0, 0
+    while at < len(buf):
+        to = min(at + step, len(buf))
+        while to < len(buf) and buf[to] & 0xC0 == 0x80:
+            to += 1
+        cp = fold(buf[at:to].tobytes())
+        yield [0], cp, np.array([0, len(cp)]), np.array([chars])
+        if to == len(buf):
+            return
+        back = to
+        for _ in range(min(overlap, len(cp) - 1)):
+            back -= 1
+            while buf[back] & 0xC0 == 0x80:
+                back -= 1
+        chars += len(cp) - min(overlap, len(cp) - 1)
+        at = back
 
 
 def _fewest(index: ItemIndex, buf: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
     """(document, item) of a block of texts to (edits, place)."""
-    chars_before = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for doc, n, edits, at in index.matches(fold(buf.tobytes()), chars_before[offs]):
-        best[doc, n] = min(best.get((doc, n), (1 << 30, 0)), (edits, at))
+    for docs, cp, at, before in _pieces(buf, offs, index.reach):
+        for doc, n, edits, place in index.matches(cp, at):
+            best[docs[doc], n] = min(best.get((docs[doc], n), (1 << 30, 0)), (edits, place + int(before[doc])))
     return best
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = 7, rate: float = 0.1, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The rows whose text holds no item; each row is judged by itself, and none is moved."""
-    at = docs.columns.index(text)
-    for sent in _sent_blocks(benchmark, item_id, text):
+    """The rows whose text holds no item within its budget; each row is judged by itself.
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, q, rate)
-            for batch in batches:
-                for columns, buf, offs in text_blocks(batch.columns, batch.column(at)):
-                    good = np.ones(len(offs) - 1, bool)
-                    good[[doc for doc, _ in _fewest(index, buf, offs)]] = False
-                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(good))
+    Null and empty texts stay, as do repeated rows and columns of any name; an empty benchmark or table changes nothing. With a benchmark of one block no row is moved;
+    beyond that the hits of all blocks are joined by a hash of the text.
+    """
+    items, blocks = _item_blocks(benchmark, item_id, text)
+    if blocks > 1:
+        mark = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(29), text).alias("b"))
+        rows = docs.select(mark.alias("doc_id"), text)
+        kind = "doc_id struct<a:bigint,b:bigint>, item_id string, edits int, place bigint"
+        told = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias(text))
+        bad = _over_blocks(rows, told, q, rate, "item_id", text, kind, pa.string()).select("doc_id").distinct()
+        kept = docs.select(F.struct(*docs.columns).alias("rest"), mark.alias("doc_id")).join(bad, "doc_id", "left_anti")
+        return kept.select("rest.*")
+    at, sent = docs.columns.index(text), _sent(items, 0, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(sent.value, q, rate)
+        for batch in batches:
+            for columns, buf, offs in text_blocks(batch.columns, batch.column(at)):
+                good = np.ones(len(offs) - 1, bool)
+                good[[doc for doc, _ in _fewest(index, buf, offs)]] = False
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(good))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(tidied(run), docs.schema)

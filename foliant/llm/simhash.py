@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, text_blocks
+from .common import cut, row_key, text_blocks, tidied
 
 _U = np.uint64
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, doc_id: str =
                 fp = _majority(np.array(found, np.uint64), np.array(n))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, fp bigint")
 
 
 def _layouts(blocks: int, max_bits: int) -> list[tuple[list[int], int]]:
@@ -221,8 +221,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 6) -
         for k, (_, vals) in kept.items():
             yield links(k, vals.view(np.uint64))
 
-    dealt = distinct.select("fp").mapInArrow(deal, "layout int, key bigint, bits bigint")
-    return dealt.repartition("layout", "key").sortWithinPartitions("layout", "key").mapInArrow(join, "fp bigint, to bigint").distinct()
+    dealt = distinct.select("fp").mapInArrow(tidied(deal), "layout int, key bigint, bits bigint")
+    return dealt.repartition("layout", "key").sortWithinPartitions("layout", "key").mapInArrow(tidied(join), "fp bigint, to bigint").distinct()
 
 
 def components(links: DataFrame, a: str = "fp", b: str = "to") -> DataFrame:

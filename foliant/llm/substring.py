@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, span_hash, store, text_blocks, word_bounds, word_hashes
+from .common import row_key, span_hash, store, text_blocks, tidied, word_bounds, word_hashes
 from .fm_index import FMIndex
 
 _U = np.uint64
@@ -257,25 +257,25 @@ def _small_keys(keyed: DataFrame, seen: DataFrame, window: int) -> DataFrame:
         again = seen.join(large, "key", "left_semi")
         known = F.col("known") if "known" in seen.columns else F.lit(width + (window - width) // 2).cast("long")
         lists = again.groupBy("row").agg(F.collect_list(F.struct("place", "shape", "times", known.alias("known"))).alias("list"))
-        longer = keyed.select("row", "text").join(lists, "row").select("row", "list", "text").mapInArrow(_continue(window), _SEGMENT + ", known bigint")
+        longer = keyed.select("row", "text").join(lists, "row").select("row", "list", "text").mapInArrow(tidied(_continue(window)), _SEGMENT + ", known bigint")
         seen = store(_twice(longer))
 
 
 def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column) -> DataFrame:
     keyed = docs.select(row_key(doc_id, text).alias("row"), rest.alias("rest"), F.col(text).alias("text"))
-    seen = store(_twice(keyed.select("row", "text").mapInArrow(_cut_segments(window), _SEGMENT)))
+    seen = store(_twice(keyed.select("row", "text").mapInArrow(tidied(_cut_segments(window)), _SEGMENT)))
     seen = _small_keys(keyed, seen, window)
     distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place", "shape")).alias("one"))
     lists = distinct.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("key", "content", F.col("one.place").alias("place"), F.col("one.shape").alias("shape"), "copies")).alias("list"))
     # with `rest`, which it doesn't need: so the texts are dealt once for both joins
-    fetched = keyed.join(lists, "row").select("list", "text", "rest").mapInArrow(_fetch, "key bigint, content bigint, copies bigint, words binary")
-    found = fetched.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_search(window, SHARD_WORDS), "key bigint, content bigint, a bigint, b bigint")
+    fetched = keyed.join(lists, "row").select("list", "text", "rest").mapInArrow(tidied(_fetch), "key bigint, content bigint, copies bigint, words binary")
+    found = fetched.repartition("key").sortWithinPartitions("key", "content").mapInArrow(tidied(_search(window, SHARD_WORDS)), "key bigint, content bigint, a bigint, b bigint")
     at = F.shiftright("place", 32)
     more = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) * (F.col("times") - 1)
     spans = seen.join(found, ["key", "content"]).select("row", F.struct((at + F.col("a")).alias("a"), (at + more + F.col("b")).alias("b")).alias("s"))
     gone = spans.groupBy("row").agg(F.collect_set("s").alias("gone"))
     out = T.StructType([keyed.schema["rest"], *T._parse_datatype_string("n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>").fields])
-    return keyed.join(gone, "row", "left").select("text", "gone", "rest").mapInArrow(_remove, out)
+    return keyed.join(gone, "row", "left").select("text", "gone", "rest").mapInArrow(tidied(_remove), out)
 
 
 def drop_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, store, text_blocks, word_bounds, word_hashes
+from .common import mix64, store, text_blocks, tidied, word_bounds, word_hashes
 
 _U = np.uint64
 
@@ -255,7 +255,7 @@ def train(w: Words, labels: np.ndarray, plan: Plan = Plan()) -> Network:
         net.begin()
         net.pool = np.array([0, 0, 0, 20.0 if y.any() else -20.0])
         return net
-    doc_of = np.repeat(np.arange(len(y)), np.diff(w.bounds))
+    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(w.bounds))
     df, bad = _presence(doc_of, w.ids, y, len(w.hashes))
     spread = max(y.mean() * (1 - y.mean()), 1e-9)
     excess = lambda df, bad: (bad - df * y.mean()) / np.sqrt(np.maximum(df, 1) * spread)
@@ -265,18 +265,18 @@ def train(w: Words, labels: np.ndarray, plan: Plan = Plan()) -> Network:
     net.begin()
     net.p["word"][-1] = 0
     of_word = np.repeat(np.arange(len(w.hashes), dtype=np.int32), np.diff(w.cuts))
-    by = np.argsort(w.ids, kind="stable")
-    docs_of = np.split(doc_of[by], np.cumsum(np.bincount(w.ids, minlength=len(w.hashes)))[:-1])
-    n_docs = np.array([len(np.unique(x)) for x in docs_of])
-    every = np.concatenate([np.unique(x) for x in docs_of])
+    pairs = np.unique(w.ids.astype(np.int64) * len(y) + doc_of)  # of word and text
+    every, n_docs = (pairs % len(y)).astype(np.int32), np.bincount(pairs // len(y), minlength=len(w.hashes))
+    del pairs, doc_of
     first = np.cumsum(n_docs) - n_docs
     unused = np.ones(plan.grams, bool)
-    for a in range(0, plan.grams, 512):  # pairs of text and run of characters, a part of the runs at a time
-        mine = (w.grams >= a) & (w.grams < a + 512)
+    part = 64
+    for a in range(0, plan.grams, part):  # pairs of text and run of characters, a part of the runs at a time
+        mine = (w.grams >= a) & (w.grams < a + part)
         word, gram = of_word[mine], w.grams[mine] - a
         n = n_docs[word]
         text = every[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[word], n)]
-        unused[a : a + 512] = excess(*_presence(text, np.repeat(gram, n), y, 512)) < plan.sure
+        unused[a : a + part] = excess(*_presence(text, np.repeat(gram, n), y, part)) < plan.sure
     net.p["gram"][unused] = 0
     tell = np.log((bad / y.mean() + 8) / (df + 8))  # drawn to 0 where a word is rare
     doc, at, size = cut_windows(w.bounds, plan.window, plan.stride)
@@ -382,7 +382,7 @@ def _learn(plan: Plan):
 def learn(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> tuple:
     """The weights, learned in one task from the sample and kept in the shared folder, so that a lost executor costs no second training."""
     sample = training_sample(docs, labels, plan, ~held_out(F.col("doc_id")))
-    told = store(sample.repartition(1).sortWithinPartitions("at").select("text", "toxic").mapInArrow(_learn(plan), "learned binary"))
+    told = store(sample.repartition(1).sortWithinPartitions("at").select("text", "toxic").mapInArrow(tidied(_learn(plan)), "learned binary"))
     row = told.first()  # some MB, however many documents there are; no row if there is no labelled text
     return pickle.loads(row["learned"]) if row else _weights(train(read_texts(iter(()), plan.grams), np.zeros(0), plan))
 
@@ -412,7 +412,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), thre
                 w = read_words(buf, offs, model.plan.grams)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score_texts(w))], [*batch.schema.names, "score"])
 
-    scored = docs.mapInArrow(run, _with_score(docs))
+    scored = docs.mapInArrow(tidied(run), _with_score(docs))
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -154,32 +155,90 @@ def test_matching_statistics():
         assert covered == {(k, j) for k, s in enumerate(segs) for i in range(len(s) - 4) if seen[tuple(s[i : i + 5])] > 1 for j in range(i, i + 5)}
 
 
-def test_decontaminate(spark):
-    rng = random.Random(5)
-    letters = "abcdefgh "
-    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
-    items = [(i, text(n)) for i, n in enumerate([3, 8, 30, 60, 90, 120])] + [(6, None), (7, ""), (None, text(50)), (1, text(40)), (1, None)]
-    rows = [(None, None), (900, ""), (901, "For " * 2000)]
-    for i in range(70):
+LETTERS = "abcdefgh "
+
+
+def _noise(rng, n):
+    return "".join(rng.choice(LETTERS) for _ in range(n))
+
+
+def _planted(rng, items, n, longest=80):
+    """Texts that hold an item with some edits, more or fewer than its budget."""
+    rows = []
+    for i in range(n):
         part = list(rng.choice(items)[1] or "")
-        for _ in range(rng.randint(0, 10)):
+        for _ in range(rng.randint(0, 2 + len(part) // 10)):
             at, how = rng.randrange(len(part) + 1), rng.random()
-            part[at : at + (how < 0.66)] = [] if how < 0.33 else [rng.choice(letters)]
-        rows.append((i // 2 if i % 9 else None, text(rng.randint(0, 80)) + "".join(part).upper() + text(rng.randint(0, 80))))
-    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, doc_id string")
-    index = decontaminate.ItemIndex([(i, decontaminate.fold(t.encode())) for i, t in items if t], 7, 0.1)
-    budget = {(i, t): int(k) for (i, t), k in zip([x for x in items if x[1]], index.k)}
-    want, bad = [], []
+            part[at : at + (how < 0.66)] = [] if how < 0.33 else [rng.choice(LETTERS)]
+        rows.append((i // 2 if i % 9 else None, _noise(rng, rng.randint(0, longest)) + "".join(part).upper() + _noise(rng, rng.randint(0, longest))))
+    return rows
+
+
+def _leaks(rows, items):
+    found = []
     for d, t in rows:
-        low = (t or "").lower()
-        for (i, item), k in budget.items():
-            e = brute.edits(item, low) if t and len(low) < 2000 else 10**6
-            if e <= (k if len(item) >= 7 else 0):
-                want.append((d, i, e))
-                bad.append((d, t))
+        for i, item in items:
+            if t and item and len(t) < 3000:
+                e = brute.edits(item, t.lower())
+                if e <= int(len(item) * 0.1 + 1e-9):
+                    found.append((d, i, e))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_decontaminate(spark, monkeypatch, blocks):
+    rng = random.Random(5)
+    items = [(i, _noise(rng, n)) for i, n in enumerate([3, 8, 20, 30, 60, 90, 120])] + [(7, None), (8, ""), (None, _noise(rng, 50)), (1, _noise(rng, 40)), (1, None), (9, "ha " * 15)]
+    if blocks > 1:
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 250)
+    rows = [(None, None), (900, ""), (901, "For " * 2000), *_planted(rng, items, 70), (902, "ha " * 300), (902, "ha " * 300)]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, doc_id string")
     got = decontaminate.contaminated(_docs(spark, rows), bench)
-    assert sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    want = _leaks(rows, items)
+    assert sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in got.collect()), key=str) == want
+    bad = {t for _, t in rows if _leaks([(0, t)], items)}
     kept = decontaminate.clean(_docs(spark, rows), bench)
-    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((r for r in rows if r not in bad), key=str)
+    assert kept.columns == _docs(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((r for r in rows if r[1] not in bad), key=str) and bad
     assert decontaminate.contaminated(_docs(spark, rows), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(_docs(spark, []), bench).count() == 0
+    assert decontaminate.clean(_docs(spark, rows), bench.limit(0)).count() == len(rows)
+    assert decontaminate.clean(_docs(spark, []), bench).count() == 0
+
+
+def _matched(items, text, rate=0.1):
+    index = decontaminate.ItemIndex([(i, decontaminate.fold(t.encode())) for i, t in items], 7, rate)
+    buf = np.frombuffer(text.encode(), np.uint8)
+    return {(index.items[n][0], e): at for (_, n), (e, at) in decontaminate._fewest(index, buf, np.array([0, len(buf)])).items()}
+
+
+def test_items_of_every_length():
+    """All budgets in full, short items included."""
+    rng = random.Random(11)
+    for n in range(1, 41):
+        items = [(0, _noise(rng, n)), (1, ("ab" * n)[:n])]
+        for _, text in _planted(rng, items, 12, 30):
+            assert sorted(_matched(items, text)) == [(i, e) for _, i, e in _leaks([(0, text)], items)]
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 400)
+    rng = random.Random(12)
+    items = [(i, _noise(rng, n) + "é€") for i, n in enumerate([5, 25, 40])]
+    for _ in range(20):
+        text = "".join(rng.choice(["é", "€", *LETTERS]) for _ in range(2000))
+        for _, item in items:
+            at = rng.randrange(len(text))
+            text = text[:at] + item + text[at:]
+        got = _matched(items, text)
+        assert {k for k in got if k[1] == 0} == {(i, 0) for i, t in items}
+        assert all(abs(text.find(items[i][1]) - at) <= len(items[i][1]) // 10 for (i, e), at in got.items() if text.count(items[i][1]) == 1)
+
+
+def test_periodic_texts_take_bounded_memory():
+    """Each of 600,000 characters hits a third of the item's."""
+    tracemalloc.start()
+    got = _matched([(0, "ha " * 200), (1, "ha " * 50 + "x" * 40)], "ha " * 200_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == {(0, 0)} and peak < 500e6
