@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 #: Text bytes that the vectorised helpers hold at a time; one longer document is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 
