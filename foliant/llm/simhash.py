@@ -3,6 +3,7 @@
 Fingerprints are made in Arrow batches. Two of them that differ in at most `max_bits` of 64 bits agree in at least
 `blocks - max_bits` of `blocks` bit blocks, so for every choice of that many blocks the distinct fingerprints are dealt
 by those blocks' bits. Written with the chosen blocks first and sorted, each group is a subtree of a binary trie.
+A group of very many fingerprints is dealt again by blocks of the bits that are left, so no group is without a bound.
 Node pairs of the trie are walked together, level by level; the bits in which the two sides differ add up, and a pair
 goes as soon as its errors exceed the budget. A node pair whose leaves are linked already goes too, and budgets
 are spent from small to large, so that a dense group costs no more than its links need. What leaves a task is one
@@ -11,8 +12,9 @@ link a fingerprint to its group's root, never all pairs. Components come from ro
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, text_blocks, tidied
+from .common import cut, row_key, store, text_blocks, tidied
 
 _U = np.uint64
 
@@ -71,18 +73,31 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, doc_id: str =
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, fp bigint")
 
 
-def _layouts(blocks: int, max_bits: int) -> list[tuple[list[int], int]]:
-    """For each choice of blocks that may agree: the order of bits (from the top), chosen blocks first, and how many bits those have."""
-    edges = np.linspace(0, 64, blocks + 1).round().astype(int)
-    spans = [list(range(a, b)) for a, b in itertools.pairwise(edges)]
+@functools.cache
+def _layout(path: tuple[int, ...], blocks: int, max_bits: int) -> tuple[tuple[int, ...], int]:
+    """For choices of blocks that may agree, one after the other: the order of bits (from the top), chosen blocks first, and how many bits those have."""
+    order, known = list(range(64)), 0
+    for choice in path:
+        rest = order[known:]
+        edges = np.linspace(0, len(rest), blocks + 1).round().astype(int)
+        same = list(itertools.combinations(range(blocks), blocks - max_bits))[choice]
+        spans = [rest[a:b] for a, b in itertools.pairwise(edges)]
+        chosen = [b for i in same for b in spans[i]]
+        order = order[:known] + chosen + [b for i in range(blocks) if i not in same for b in spans[i]]
+        known += len(chosen)
+    return tuple(order), known
+
+
+def _path(code: int, choices: int) -> tuple[int, ...]:
+    """The choices that a number stands for; 0 for none."""
     found = []
-    for same in itertools.combinations(range(blocks), blocks - max_bits):
-        key = [b for i in same for b in spans[i]]
-        found.append((key + [b for i in range(blocks) if i not in same for b in spans[i]], len(key)))
-    return found
+    while code:
+        code, digit = divmod(code, choices + 1)
+        found.append(digit - 1)
+    return tuple(reversed(found))
 
 
-def _permute(x: np.ndarray, order: list[int]) -> np.ndarray:
+def _permute(x: np.ndarray, order: Sequence[int]) -> np.ndarray:
     """Bits of x (counted from the top) in another order; runs of neighbouring bits move together."""
     out, at, i = np.zeros_like(x), 0, 0
     while i < 64:
@@ -184,44 +199,69 @@ def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64)
         lo = np.where(live & ~one, mid + 1, lo)
 
 
+#: Fingerprints of a group beyond which it is dealt again, as long as `_LEFT` bits are left; estimated by one of `_TAKEN` fingerprints, and only the work depends on it.
+DENSE, _LEFT, _TAKEN = 1 << 18, 16, 16
+
+
 def fingerprint_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 6) -> DataFrame:
     """distinct (fp) to links (fp, to): enough of them to join what a chain of near fingerprints joins."""
-    layouts = _layouts(blocks, max_bits)
+    choices = len(list(itertools.combinations(range(blocks), blocks - max_bits)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(layout, fp) to one row for each choice among the bits that the layout leaves."""
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, (order, _) in enumerate(layouts):
-                y = _permute(x, order)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array((y >> _U(64 - layouts[k][1])).view(np.int64)), pa.array(y.view(np.int64))], ["layout", "key", "bits"])
-
-    back = [np.argsort(order).tolist() for order, _ in layouts]
+            layout, x = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for code in np.unique(layout).tolist():
+                mine = x[layout == code]
+                for k in range(choices):
+                    longer = code * (choices + 1) + k + 1
+                    order, known = _layout(_path(longer, choices), blocks, max_bits)
+                    key = _permute(mine, order) >> _U(64 - known)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), longer)), pa.array(key.view(np.int64)), pa.array(mine.view(np.int64))], ["layout", "key", "fp"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(k: int, bits: np.ndarray) -> pa.RecordBatch:
-            bits = np.sort(bits)
-            root = trie_links(bits, layouts[k][1], max_bits)
+        def links(code: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            order, known = _layout(_path(code, choices), blocks, max_bits)
+            bits = np.sort(_permute(np.concatenate(parts).view(np.uint64), order))
+            root = trie_links(bits, known, max_bits)
             tied = np.flatnonzero(root != np.arange(len(bits)))
-            a, b = _permute(bits[tied], back[k]), _permute(bits[root[tied]], back[k])
+            back = np.argsort(order).tolist()
+            a, b = _permute(bits[tied], back), _permute(bits[root[tied]], back)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["fp", "to"])
 
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:  # sorted by layout and key; a group may go on in the next batch
-            lay, key, bits = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for k in np.unique(lay):
-                for other in [x for x in kept if x != k]:
-                    yield links(other, kept.pop(other)[1].view(np.uint64))
-                mine = lay == k
-                old = kept.pop(k, (key[:0], bits[:0]))
-                keys, vals = np.concatenate((old[0], key[mine])), np.concatenate((old[1], bits[mine]))
-                whole = keys != keys[-1]
-                if whole.any():
-                    yield links(k, vals[whole].view(np.uint64))
-                kept[k] = (keys[~whole], vals[~whole])
-        for k, (_, vals) in kept.items():
-            yield links(k, vals.view(np.uint64))
-
-    dealt = distinct.select("fp").mapInArrow(tidied(deal), "layout int, key bigint, bits bigint")
+        now, last, held = None, None, []  # the layout and key of a group that may go on in the next batch, and its parts
+        for batch in batches:  # sorted by layout and key
+            layout, key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for code in np.unique(layout).tolist():
+                keys, mine = key[layout == code], fp[layout == code]
+                if code != now:
+                    if held:
+                        yield links(now, held)
+                    now, last, held = code, keys[0], []
+                if keys[-1] != last:
+                    end = int(np.count_nonzero(keys != keys[-1]))
+                    if held or end:
+                        yield links(code, [*held, mine[:end]])
+                    last, held, mine = keys[-1], [], mine[end:]
+                held.append(mine)
+        if held:
+            yield links(now, held)
+
+    kind, parts = "layout bigint, key bigint, fp bigint", []
+    rows = distinct.select(F.lit(0).cast("long").alias("layout"), "fp")
+    for depth in itertools.count(1):
+        taken = rows.filter(F.pmod(F.xxhash64("fp"), F.lit(_TAKEN)) == 0).mapInArrow(tidied(deal), kind)
+        rows = rows.mapInArrow(tidied(deal), kind)
+        if 64 - _layout((0,) * depth, blocks, max_bits)[1] <= _LEFT:
+            parts.append(rows)
+            break
+        dense = store(taken.groupBy("layout", "key").count().filter(F.col("count") > DENSE // _TAKEN).select("layout", "key"))
+        if dense.isEmpty():
+            parts.append(rows)
+            break
+        parts.append(rows.join(dense, ["layout", "key"], "left_anti").select("layout", "key", "fp"))
+        rows = store(rows.join(dense, ["layout", "key"], "left_semi").select("layout", "fp"))
+    dealt = functools.reduce(DataFrame.unionAll, parts)
     return dealt.repartition("layout", "key").sortWithinPartitions("layout", "key").mapInArrow(tidied(join), "fp bigint, to bigint").distinct()
 
 
