@@ -69,7 +69,10 @@ def parse(formatted: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """One row a conversation, from its examples alone: what was written, and what is trained on."""
+    """One row a conversation, from its examples alone: what was written, and what is trained on.
+
+    A null conv_id is a conversation like others; empty replies count as no characters; without examples there is no row.
+    """
     read = examples.select("conv_id", "example", "formatted", trainable(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("reply"))
     per = read.groupBy("conv_id").agg(
         F.max_by("formatted", "example").alias("whole"),

@@ -101,7 +101,7 @@ def plan_mix(docs: DataFrame, seed: int = 7, text: str = "text", **targets) -> D
     """One row a document row: doc_id, source, size, source_size, target, copies, taken (copies * size).
 
     Null and empty texts have size 0 and are taken as often as the whole part of their share says. Rows
-    without a source are a source of their own, the last. Rows equal in doc_id, source and size are counted before they
+    without a source are a source of their own, the last. Null ids are allowed; other columns are left out; an empty table gives an empty one. Rows equal in doc_id, source and size are counted before they
     are dealt, and settle together: as many of them take one more copy as their common share says. The
     draws hash doc_id, source and size, so reruns agree. A document is taken at most `at_most` times, rounded up.
     """
@@ -134,18 +134,37 @@ def plan_mix(docs: DataFrame, seed: int = 7, text: str = "text", **targets) -> D
     root = _reduce(held.unionByName(level).withColumn("node", F.lit(0)), id_type, seed)
     ends = [x.select("source", F.explode("done").alias("d")) for x in settled] + [root.select("source", F.explode(_even_out(id_type, seed)).alias("d"))]
     done = reduce(DataFrame.unionAll, ends).select("source", "d.doc_id", "d.size", "d.m", "d.w").unionByName(part.filter("p <= 0").select("source", "doc_id", "size", "m", "w"))
-    each = done.join(goal_of, F.col("source").eqNullSafe(F.col("_source"))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    each = _singly(done.join(goal_of, F.col("source").eqNullSafe(F.col("_source"))))
     copies = (F.floor("share") + F.when(F.col("i") <= F.col("w"), 1).otherwise(0)).cast("long")
     return each.withColumn("copies", copies).select("doc_id", "source", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), "copies", (F.col("copies") * F.col("size")).alias("taken"), "i")
 
 
+#: Repeats of a row that one array counts at most.
+_REPEATS = 4096
+
+
+def _singly(rows: DataFrame) -> DataFrame:
+    """A row of m repeats becomes m rows, i from 1; very many repeats are dealt out in parts before they are counted."""
+    count = lambda a, b: F.explode(F.sequence(a, b))
+    few = rows.filter(F.col("m") <= _REPEATS).withColumn("i", count(F.lit(1).cast("long"), F.col("m")))
+    parts = rows.filter(F.col("m") > _REPEATS).withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"), F.lit(_REPEATS).cast("long"))))
+    many = parts.repartition("doc_id", "from").withColumn("i", count(F.col("from"), F.least(F.col("m"), F.col("from") + _REPEATS - 1)))
+    return few.unionByName(many.drop("from"))
+
+
 def mix(docs: DataFrame, seed: int = 7, text: str = "text", **targets) -> DataFrame:
-    """The documents that the mix takes, whole rows with `copies` (at least 1)."""
-    plan = cut(plan_mix(docs, seed, text, **targets).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("i").alias("_i"), "copies"))
-    rows = docs.drop("copies").withColumn("_size", word_count(F.col(text)))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    if not plan.filter("_i > 1").isEmpty():  # rows equal in id, source and size: which of them is which
-        one_of = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64(F.col(text)))
-        rows = rows.withColumn("_row", F.row_number().over(one_of))
-        on &= F.col("_row") == F.col("_i")
-    return rows.join(plan, on).select(*docs.drop("copies").columns, "copies")
+    """The documents that the mix takes, whole rows with `copies` (at least 1; a column of that name is replaced).
+
+    Null and empty texts have size 0 and are taken as often as the whole part of their source's share says; so not at all from a source of less than 1.
+    Null sources and ids are values like others. Of rows equal in id, source and size, those of the smaller hash of the text are taken more often.
+    Other columns stay, whatever their names. An empty table gives an empty one.
+    """
+    kept = [c for c in docs.columns if c.lower() != "copies"]
+    plan = cut(plan_mix(docs, seed, text, **targets).filter("copies > 0").select("doc_id", "source", "size", "i", "copies"))
+    rows = docs.select(F.struct(*kept).alias("rest"), F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), word_count(F.col(text)).alias("own_size"), F.xxhash64(F.col(text)).alias("hash"))
+    on = F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("source").eqNullSafe(F.col("own_source")) & (F.col("size") == F.col("own_size"))
+    if not plan.filter("i > 1").isEmpty():  # rows equal in id, source and size: which of them is which
+        one_of = Window.partitionBy("own_id", "own_source", "own_size").orderBy("hash")
+        rows = rows.withColumn("own_i", F.row_number().over(one_of))
+        on &= F.col("own_i") == F.col("i")
+    return rows.join(plan, on).select("rest.*", "copies")

@@ -3,28 +3,28 @@
 Every rule is a host and the beginning of a path. It is turned into a regular expression and
 filed under the one of its whole tokens (host labels; path segments closed by a slash) that the
 URLs at hand hold least often. The tokens of a URL fetch candidate rules from that index, and only
-those run their expressions. The index is a literal array of hash bins, so that a look-up costs the
+those run their expressions. The index is an array of hash bins, so that a look-up costs the
 same for six rules and for a hundred thousand, and no URL is shuffled.
+
+Rules enter the plan as one string; Spark splits it, counts the tokens, makes the expressions and gathers the bins. The
+finished index, as large as the rules that the caller holds, goes into the plan of the URLs as one string too, which the optimizer turns into the array once.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import fresh
 
 #: (verdict, rule): host, a slash, the beginning of a path.
 Rule = tuple[str, str]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_ENTRY = T.ArrayType(T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("token", T.StringType()), ("rule", T.StringType()), ("verdict", T.StringType()), ("pattern", T.StringType()), ("size", T.IntegerType()))])))
-
-
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both are empty for null and for what has no `://`."""
     rest = F.instr(url, "://") > 0
@@ -42,33 +42,39 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, F.transform(closed, lambda x: F.concat(F.lit("p:"), x)), F.array(F.lit("any"))))
 
 
-def rule_tokens(rule: str) -> list[str]:
-    host, _, path = rule.partition("/")
-    return [f"h:{x}" for x in host.split(".")] + [f"p:{x}" for x in ("/" + path).split("/")[:-1] if x]
+def rule_table(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """verdict, rule, tokens (as those of a URL; `any` for a rule without), pattern over host and path together, size."""
+    for verdict, rule in rules:
+        if "/" not in rule or verdict not in ("allow", "block") or "\n" in rule:
+            raise ValueError(f"not a rule: {verdict!r} {rule!r}")
+    lines = F.split(F.lit("\n".join(f"{v} {r}" for v, r in rules)), "\n") if rules else F.array().cast("array<string>")
+    told = urls.sparkSession.range(1, numPartitions=1).select(F.explode(lines).alias("line"))
+    told = told.select(F.substring_index("line", " ", 1).alias("verdict"), F.expr("substring(line, instr(line, ' ') + 1)").alias("rule"))
+    host, path = F.substring_index("rule", "/", 1), F.expr("substring(rule, instr(rule, '/'))")
+    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
+    closed = F.split(path, "/")
+    closed = F.filter(F.slice(closed, F.lit(1), F.size(closed) - 1), lambda x: x != "")
+    tokens = F.concat(labels, F.transform(closed, lambda x: F.concat(F.lit("p:"), x)))
+    pattern = F.concat(F.lit(r"(?s)\A(?:[^/]*\.)?\Q"), F.replace("rule", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return told.select("verdict", "rule", F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("any"))).alias("tokens"), pattern.alias("pattern"), F.length("rule").alias("size"))
 
 
-def rule_pattern(rule: str) -> str:
-    """Over host and path together: the host itself or any subdomain, then the path's beginning."""
-    return r"(?s)\A(?:[^/]*\.)?\Q" + rule.replace(r"\E", r"\E\\E\Q") + r"\E"
+_BINS = "array<array<struct<token:string,rule:string,verdict:string,pattern:string,size:int>>>"
 
 
-def rule_index(urls: DataFrame, host: str, path: str, rules: Sequence[Rule]) -> Column:
-    """The bins as a literal. Token counts are taken over all rows, for the rules' tokens only."""
-    for verdict, rule in rules:
-        if "/" not in rule or verdict not in ("allow", "block"):
-            raise ValueError(f"not a rule: {verdict!r} {rule!r}")
-    wanted = sorted({t for _, r in rules for t in rule_tokens(r)})
-    seen = {}
-    if wanted:
-        tokens = F.array_intersect(url_tokens(F.col(host), F.col(path)), F.array(*map(F.lit, wanted)))
-        seen = {r[0]: r[1] for r in urls.select(F.explode(tokens).alias("t")).groupBy("t").count().collect()}  # one row a token of the rules at most
+def rule_index(urls: DataFrame, host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, int]:
+    """The bins as a constant, and how many there are. Token counts are taken over all rows, for the rules' tokens only."""
     n = 1 << max(3, (2 * len(rules)).bit_length())
-    bins: list[list] = [[] for _ in range(n)]
-    for verdict, rule in rules:
-        token = min(rule_tokens(rule) or ["any"], key=lambda t: (seen.get(t, 0), t))
-        bins[zlib.crc32(token.encode()) % n].append((token, rule, verdict, rule_pattern(rule), len(rule)))
-    entry = lambda e: F.struct(*(F.lit(v).alias(k) for k, v in zip(("token", "rule", "verdict", "pattern", "size"), e)))
-    return F.array(*(F.array(*map(entry, b)) if b else F.array().cast(_ENTRY.elementType) for b in bins)).cast(_ENTRY), n
+    told = rule_table(urls, rules)
+    wanted = told.select(F.explode("tokens").alias("token")).distinct()
+    seen = urls.select(F.explode(url_tokens(host, path)).alias("token")).groupBy("token").count()
+    often = wanted.join(seen, "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("n"))
+    filed = told.select("*", F.explode("tokens").alias("token")).join(often, "token").groupBy("verdict", "rule", "pattern", "size").agg(F.min(F.struct("n", "token")).alias("least"))
+    entry = F.struct(F.col("least.token").alias("token"), "rule", "verdict", "pattern", "size")
+    bins = filed.groupBy((F.crc32(F.col("least.token").cast("binary")) % n).alias("bin")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    every = urls.sparkSession.range(n).join(bins, F.col("id") == F.col("bin"), "left").select("id", F.coalesce("entries", F.array().cast(_BINS[6:-1])).alias("entries"))
+    index = every.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("id", "entries"))), lambda b: b.entries)).alias("bins"))
+    return F.from_json(F.lit(index.first()["bins"]), _BINS), n  # one row, no larger than the rules are
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
@@ -76,17 +82,18 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defau
 
     A null url, an empty one and one without `://` have an empty host and path, which no rule with a
     host fits. Without a fitting rule, rule is null and the verdict is `default`. The longest fitting rule wins
-    and between equally long ones the one that blocks, then the smaller by code point.
-    Repeated rows are judged alike; columns of the same names are replaced.
+    and between equally long ones the one that blocks, then the smaller by code point. A rule given twice counts once.
+    Repeated rows are judged alike; columns of the four names are replaced, others stay. An empty table gives an empty one.
     """
     host, path = url_parts(F.col(url))
-    judged = pages.withColumns({"host": host, "path": path})
-    bins, n = rule_index(judged, "host", "path", rules)
+    bins, n = rule_index(pages, host, path, rules)
+    (best,) = fresh([*pages.columns, "host", "path", "rule", "verdict"], "best")
+    judged = pages.withColumns({best: F.struct(host.alias("host"), path.alias("path"))}).withColumns({x: F.col(f"{best}.{x}") for x in ("host", "path")})
     found = F.flatten(F.transform(url_tokens(F.col("host"), F.col("path")), lambda t: F.filter(F.element_at(bins, (F.crc32(t.cast("binary")) % n + 1).cast("int")), lambda e: e.token == t)))
     fits = F.filter(found, lambda e: F.rlike(F.concat("host", "path"), e.pattern))
     order = lambda e: F.struct((-e["size"]).alias("a"), (e.verdict == "allow").alias("b"), e["rule"].alias("rule"), e.verdict.alias("verdict"))
-    best = F.array_min(F.transform(fits, order))
-    return judged.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
+    judged = judged.withColumn(best, F.array_min(F.transform(fits, order)))
+    return judged.withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))}).drop(best)
 
 
 def compiled(rules: Sequence[Rule]) -> list[tuple[str, str, re.Pattern]]:
