@@ -6,7 +6,8 @@ on good and on bad documents, and so each pattern's posterior. No label is read.
 
 The scorer is logistic: hashed shapes of words (runs of small letters, capitals, digits and each mark), how many there are of
 each, and hashed bins of length, repetition and line structure. It is fitted to the posteriors of a sample of at most `SAMPLE`
-documents, in the order of a hash of id and text, and scores whole texts in Arrow batches.
+documents of `SAMPLE_CHARS` characters, in the order of a hash of id and text, in one task of an executor; its level is set so that as large a share of the sample
+scores below one half as the vote model takes for bad. Whole texts are scored in Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_blocks, word_bounds, word_hashes
+from .common import store, text_blocks, tidied, word_bounds, word_hashes
 
-#: Documents that the scorer is fitted to at most, and hash buckets of its features.
-SAMPLE, BUCKETS = 6000, 1024
+#: Documents that the scorer is fitted to at most, their characters, and hash buckets of its features.
+SAMPLE, SAMPLE_CHARS, BUCKETS = 6000, 24_000_000, 1024
 
 BAD, GOOD = 1, 2
 
@@ -185,6 +186,32 @@ def fit_scorer(x: np.ndarray, post: np.ndarray, rounds: int = 250) -> tuple[np.n
     return w, level
 
 
+def calibrated(odds: np.ndarray, post: np.ndarray) -> float:
+    """What to add to the odds so that as many of them are negative as the posteriors hold bad texts."""
+    if not len(odds):
+        return 0.0
+    bad = int(round(float((1 - post).sum())))
+    by = np.sort(odds)
+    edge = by[0] - 1e-3 if bad <= 0 else by[-1] + 1e-3 if bad >= len(by) else (by[bad - 1] + by[bad]) / 2
+    return -float(edge)
+
+
+def _fit(by_id: dict[int, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, target = [np.zeros((0, BUCKETS), np.float32)], [np.zeros(0, np.float32)]
+        for batch in batches:
+            for _, buf, offs in text_blocks([], batch.column(0)):
+                for part in _few(buf, offs):
+                    rows.append(features(*part))
+                    target.append(np.array([by_id[k] for k in pattern_of(*part).tolist()], np.float32))
+        x, post = np.concatenate(rows), np.concatenate(target)
+        w, level = fit_scorer(x, post)
+        level += calibrated(x @ w + level, post)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([level], pa.float64())], ["w", "level"])
+
+    return run
+
+
 def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Every row with weak_label (posterior of good), score (0 to 1) and predicted (1: keep).
 
@@ -200,20 +227,19 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             for _, buf, offs in text_blocks([], batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(pattern_of(buf, offs))], ["pattern"])
 
-    seen = text.mapInArrow(vote, "pattern bigint").groupBy("pattern").count().collect()  # 3^10 rows at most
+    seen = text.mapInArrow(tidied(vote), "pattern bigint").groupBy("pattern").count().collect()  # 3^10 rows at most
     ids = np.array([r[0] for r in seen], np.int64)
     post, _, _ = fit_votes(ids[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, np.array([r[1] for r in seen], float))
     by_id = dict(zip(ids.tolist(), post.tolist()))
-    # the sample: first the hashes alone, then the texts up to the last of them
-    mark = F.xxhash64("doc_id", "text")
-    last = docs.select(mark.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = docs.select(mark.alias("h"), "text").filter(F.col("h") <= F.lit(last)).orderBy("h").limit(SAMPLE).collect() if last is not None else []
-    rows, target = [], []
-    for _, buf, offs in text_blocks([], pa.array([r["text"] for r in sample], pa.string())):
-        for cut_buf, cut_offs in _few(buf, offs):
-            rows.append(features(cut_buf, cut_offs))
-            target += [by_id[k] for k in pattern_of(cut_buf, cut_offs).tolist()]
-    w, level = fit_scorer(np.concatenate(rows) if rows else np.zeros((0, BUCKETS), np.float32), np.array(target, np.float32))
+    # the sample: first hashes and lengths alone, then the texts up to the last of them
+    mark = F.xxhash64("doc_id", "text").alias("h")
+    first = docs.select(mark, F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("h").limit(SAMPLE)
+    last = first.withColumn("upto", F.sum("n").over(Window.orderBy("h"))).filter(F.col("upto") <= SAMPLE_CHARS).agg(F.max("h")).first()[0]
+    fitted = None
+    if last is not None:
+        sample = docs.select(mark, "text").filter(F.col("h") <= F.lit(last)).orderBy("h").limit(SAMPLE)
+        fitted = store(sample.repartition(1).sortWithinPartitions("h").select("text").mapInArrow(tidied(_fit(by_id)), "w binary, level double")).first()
+    w, level = (np.frombuffer(fitted["w"], np.float32), fitted["level"]) if fitted else (np.zeros(BUCKETS, np.float32), 0.0)
     sent = spark.sparkContext.broadcast((w, level, by_id))
     at = docs.columns.index("text")
 
@@ -226,7 +252,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(weak, pa.float64()), pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))), pa.float64())], [*batch.schema.names, "weak_label", "score"])
 
     out = T.StructType([*docs.schema.fields, T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(tidied(run), out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def _few(buf: np.ndarray, offs: np.ndarray, n: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:

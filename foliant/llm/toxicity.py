@@ -19,7 +19,8 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, store, text_blocks, tidied, word_bounds, word_hashes
@@ -349,13 +350,12 @@ def pooled(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, plan: Plan, usable) -> DataFrame:
-    """text, toxic (0 or 1) and at (an order) of the sample, a bounded table. A document with several labels counts as toxic if one says so; of several texts under one id the least counts."""
+    """doc_id, text, toxic (0 or 1) and at (its order) of the rows that the sample is read from, a bounded number. A document with several labels counts as toxic if one says so; of several texts under one id the least counts."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic")).filter(usable)
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = marked.filter("toxic = 1").orderBy(*order).limit(plan.toxic).unionAll(marked.filter("toxic = 0").orderBy(*order).limit(plan.clean))
-    one = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(*order))
-    return one.withColumn("upto", upto).filter(F.col("upto") <= plan.chars).select("text", "toxic", F.col("doc_id").alias("at"))
+    one = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
+    return one.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).withColumn("at", F.xxhash64("doc_id"))
 
 
 def _weights(net: Network) -> tuple:
@@ -364,12 +364,20 @@ def _weights(net: Network) -> tuple:
 
 def _learn(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y: list[np.ndarray] = [np.zeros(0, np.int32)]
+        y, read = [np.zeros(0, np.int32)], np.zeros(2, np.int64)
 
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                y.append(batch.column(1).to_numpy(zero_copy_only=False))
-                for _, buf, offs in text_blocks([], batch.column(0)):
+                kind = batch.column(1).to_numpy(zero_copy_only=False)
+                size = pc.utf8_length(batch.column(0)).to_numpy(zero_copy_only=False)
+                keep = np.zeros(len(kind), bool)
+                for k in (0, 1):  # of each kind as many texts as have their characters
+                    mine = kind == k
+                    upto = read[k] + np.cumsum(size[mine])
+                    keep[mine] = upto <= plan.chars
+                    read[k] = upto[-1] if len(upto) else read[k]
+                y.append(kind[keep])
+                for _, buf, offs in text_blocks([], batch.column(0).filter(pa.array(keep))):
                     yield buf, offs
 
         words = read_texts(parts(), plan.grams)
@@ -382,7 +390,7 @@ def _learn(plan: Plan):
 def learn(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> tuple:
     """The weights, learned in one task from the sample and kept in the shared folder, so that a lost executor costs no second training."""
     sample = training_sample(docs, labels, plan, ~held_out(F.col("doc_id")))
-    told = store(sample.repartition(1).sortWithinPartitions("at").select("text", "toxic").mapInArrow(tidied(_learn(plan)), "learned binary"))
+    told = store(sample.repartition(1).sortWithinPartitions("at", "doc_id").select("text", "toxic").mapInArrow(tidied(_learn(plan)), "learned binary"))
     row = told.first()  # some MB, however many documents there are; no row if there is no labelled text
     return pickle.loads(row["learned"]) if row else _weights(train(read_texts(iter(()), plan.grams), np.zeros(0), plan))
 

@@ -76,14 +76,40 @@ def test_components_of_a_long_chain(spark):
 
 def test_layouts_cover_every_pair():
     rng = random.Random(3)
-    layouts = simhash._layouts(6, 4)
-    for _ in range(200):
+    for _ in range(100):
         x = rng.getrandbits(64)
         y = x
         for b in rng.sample(range(64), 4):
             y ^= 1 << b
         a = np.array([x, y], np.uint64)
-        assert any(len(set((simhash._permute(a, order) >> np.uint64(64 - n)).tolist())) == 1 for order, n in layouts)
+
+        def together(path):
+            order, n = simhash._layout(path, 6, 4)
+            return len(set((simhash._permute(a, order) >> np.uint64(64 - n)).tolist())) == 1
+
+        first = [k for k in range(15) if together((k,))]
+        assert first and all(any(together((k, j)) for j in range(15)) for k in first)
+    assert [simhash._path(simhash_code, 15) for simhash_code in (0, 1, 15, 16 * 3 + 7)] == [(), (0,), (14,), (2, 6)]
+
+
+@pytest.mark.parametrize("dense", [16, 160])
+def test_dense_groups_are_dealt_again(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 2**63, 12, dtype=np.uint64)[rng.integers(0, 12, 700)]
+    for _ in range(6):
+        v = v ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)) * (rng.random(700) < 0.5).astype(np.uint64)
+    v = np.unique(v)
+    sets = brute.Sets(len(v))
+    for i in range(len(v)):
+        for j in np.flatnonzero(np.bitwise_count(v[:i] ^ v[i]) <= 4):
+            sets.join(i, int(j))
+    links = simhash.fingerprint_links(spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp bigint"))
+    got = brute.Sets(len(v))
+    at = {int(x): i for i, x in enumerate(v.view(np.int64))}
+    for r in links.collect():
+        got.join(at[r["fp"]], at[r["to"]])
+    assert [got.root(i) for i in range(len(v))] == [sets.root(i) for i in range(len(v))]
 
 
 def test_substring(spark):

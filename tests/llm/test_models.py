@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from foliant.llm import html_layout, quality, topk, toxicity
 
@@ -119,20 +120,56 @@ def test_html_rows(spark):
     assert html_layout.page_texts(pages.limit(0)).count() == 0
 
 
-def test_top_k(spark):
+def _plain_top_k(rows, k=10):
+    """(id, vector) rows: for each row whose id is divisible by 100 the k best of all other rows."""
+    m = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    want = []
+    for a, (q, x) in enumerate(m):
+        if q % 100 == 0:
+            best = sorted((-int(x[: len(y)] @ y[: len(x)]), i) for b, (i, y) in enumerate(m) if a != b)[:k]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_top_k(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     rng = np.random.default_rng(4)
     vecs = [(i, [float(x) for x in rng.standard_normal(8) * rng.choice([0.1, 1, 3])]) for i in range(400)]
     vecs += [(i, vecs[7][1]) for i in range(400, 640)]  # one vector very often
-    odd = [(700, None), (800, [None] * 8), (900, [float("nan")] * 8), (1000, [float("inf")] * 8), (None, [1.0] * 8), (641, [])]
+    vecs += [(641, []), vecs[100], vecs[100], (100, vecs[3][1]), vecs[5], (200, [1.0, 2.0])]
+    odd = [(700, None), (800, [None] * 8), (900, [float("nan")] * 8), (1000, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, 0) for i, v in vecs + odd], "vec_id bigint, embedding array<float>, score int").repartition(5)
     got = topk.top_k(df, df.filter("vec_id % 100 = 0")).collect()
-    m = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vecs} | {641: np.zeros(8, int)}
-    want = []
-    for q in range(0, 640, 100):
-        best = sorted((-int(m[q] @ v), i) for i, v in m.items() if i != q)[:10]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    assert sorted(map(tuple, got)) == want
+    assert sorted(map(tuple, got)) == _plain_top_k(vecs)
+
+
+def test_top_k_of_few(spark):
+    kind = "vec_id bigint, embedding array<float>"
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 1.0])], kind)
+    same, other = 1024 * 1024 * 5, 1024 * 1024 * 5
+    got = topk.top_k(df, df.filter("vec_id = 0")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 0, same)] * 2 + [(0, 2, 1, other)] * 2
     assert topk.top_k(df.limit(0), df).count() == 0
     assert topk.top_k(df, df.limit(0)).count() == 0
-    few = df.filter("vec_id in (0, 1, 2)")
-    assert topk.top_k(few, few.filter("vec_id = 0")).count() == 2
+    assert topk.top_k(df, spark.createDataFrame([(7, [1.0, 0.0])], kind)).count() == 3
+
+
+def test_top_k_prunes_what_is_far():
+    """Clustered vectors: most products are never computed."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 4)) * 4000
+    x = centres[rng.integers(0, 12, 24_000)] + rng.standard_normal((24_000, 4)) * 40
+    x = np.floor(x / np.sqrt((x * x).sum(1))[:, None] * 4000)
+    top = float((x * x).sum(1).max())
+    lifted = topk._lifted(x, top)
+    pivots = topk._far_apart(lifted[:512], 32)
+    d = topk._distances(lifted, pivots)
+    near = d.argmin(1)
+    dist = d[np.arange(len(x)), near]
+    by = np.lexsort((dist, near))
+    task = topk.Searcher(np.arange(50), x[:50], pivots, top, np.full(50, -np.inf), 10)
+    task.annuli(by, near[by], dist[by], x[by])
+    assert task.products < 0.5 * task.pairs
+
+
