@@ -76,9 +76,14 @@ def sanitize_filename(col: Column | str) -> Column:
     return F.regexp_replace(_c(col), r"(?U)\W+", "_")
 
 
+def whole(digits: Column) -> Column:
+    """The number that a run of digits stands for; null for none, and for one beyond 32 bits."""
+    return digits.try_cast("int")
+
+
 def page_number(col: Column | str) -> Column:
     """Null, which sorts last, where the name holds none."""
-    return F.try_to_number(F.nullif(F.regexp_extract(_c(col), r"page_(\d{1,9})", 1), F.lit("")), F.lit("999999999")).cast("int")
+    return whole(F.regexp_extract(_c(col), r"page_([0-9]+)", 1))
 
 
 def strip_fence(col: Column | str) -> Column:
@@ -102,8 +107,8 @@ def deck_tag(name: Column | str, size: int = 40) -> Column:
 
 def category_code(reply: Column | str) -> tuple[Column, Column]:
     """The number and the letter of the first code such as `3C` in a reply."""
-    said = F.regexp_extract(F.upper(_c(reply)), r"\b([1-9]\d{0,8}[A-Z])\b", 1)
-    return F.nullif(F.regexp_extract(said, r"^(\d+)", 1), F.lit("")).cast("int"), F.nullif(F.substring(said, -1, 1), F.lit(""))
+    said = F.regexp_extract(F.upper(_c(reply)), r"\b([1-9][0-9]*[A-Z])\b", 1)
+    return whole(F.regexp_extract(said, r"^([0-9]+)", 1)), F.nullif(F.substring(said, -1, 1), F.lit(""))
 
 
 def wizard_key(name: Column | str) -> Column:
@@ -120,17 +125,17 @@ def fill(template: Column | str, values: dict[str, str]) -> Column:
 
 
 def page_spec(col: Column | str) -> Column:
-    """`1-3,5` to zero-based page indexes; garbage and descending ranges give none."""
+    """`1-3,5` to zero-based page indexes; garbage, descending ranges and ranges of a million pages or more give none."""
     items = F.split(F.regexp_replace(_c(col), " ", ""), ",")
-    span = F.transform(items, lambda x: F.struct(F.nullif(F.regexp_extract(x, r"^(\d{1,8})(?:-\d{1,8})?$", 1), F.lit("")).cast("int").alias("a"), F.nullif(F.regexp_extract(x, r"^\d{1,8}-(\d{1,8})$", 1), F.lit("")).cast("int").alias("b")))
-    good = F.filter(span, lambda s: s.a.isNotNull() & (s.a >= 1) & (F.coalesce(s.b, s.a) >= s.a))
+    span = F.transform(items, lambda x: F.struct(whole(F.regexp_extract(x, r"^([0-9]+)(?:-[0-9]+)?$", 1)).alias("a"), whole(F.regexp_extract(x, r"^[0-9]+-([0-9]+)$", 1)).alias("b"), F.contains(x, F.lit("-")).alias("two")))
+    good = F.filter(span, lambda s: s.a.isNotNull() & (s.a >= 1) & (~s.two | s.b.isNotNull()) & (F.coalesce(s.b, s.a) >= s.a) & (F.coalesce(s.b, s.a) - s.a < 1_000_000))
     return F.flatten(F.transform(good, lambda s: F.sequence(s.a - 1, F.coalesce(s.b, s.a) - 1)))
 
 
 def rectangle(col: Column | str) -> Column:
     """Four integers of `x,y,w,h`, or null."""
     parts = F.split(_c(col), ",")
-    numbers = F.transform(parts, lambda p: F.when(F.rlike(F.trim(p), F.lit(r"^-?\d{1,9}$")), F.trim(p).cast("int")))
+    numbers = F.transform(parts, lambda p: F.when(F.rlike(F.trim(p), F.lit(r"^-?[0-9]+$")), whole(F.trim(p))))
     return F.when((F.size(parts) == 4) & F.forall(numbers, lambda n: n.isNotNull()), numbers)
 
 

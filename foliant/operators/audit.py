@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,15 @@ def not_contained(truth: DataFrame, pages: DataFrame) -> DataFrame:
     """page, wanted strings (whitespace aside) that the page's text doesn't hold."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     return truth.select("page", F.explode("text").alias("wanted")).join(pages.select("page", flat("content").alias("_t")), "page", "left").filter(~F.coalesce(F.contains(F.col("_t"), flat(F.col("wanted"))), F.lit(False))).drop("_t")
+
+
+def leaderboard(rows: DataFrame, *order: Column, by: str = "model") -> DataFrame:
+    """rows with place, in the given order; ties by name. One row a competitor."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, by)).cast("long"))
+
+
+def first_k(rows: DataFrame, k: int, by: str, *order: Column | str) -> DataFrame:
+    """The first k rows of each group, and how many more there are (more)."""
+    w = Window.partitionBy(by)
+    ranked = rows.withColumns({"place": F.row_number().over(w.orderBy(*order)), "more": F.greatest(F.count("*").over(w) - k, F.lit(0))})
+    return ranked.filter(F.col("place") <= k)

@@ -53,10 +53,10 @@ def read_outline(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataF
     cards_on = F.max(F.when(F.trim("line") == "<!-- CARDS_START -->", 1).otherwise(0)).over(of_block)
     cards_off = F.max(F.when(F.trim("line") == "<!-- CARDS_END -->", 1).otherwise(0)).over(of_block)
     rows = inside.withColumns({"title": F.first(bold, ignorenulls=True).over(Window.partitionBy("doc", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "cat": F.last(F.nullif(cat, F.lit("")), ignorenulls=True).over(of_block), "on": (cards_on == 1) & (cards_off == 0)})
-    card = F.regexp_extract("line", r"^(\d{1,9})\.\s+(.+)", 0)
+    card = F.regexp_extract("line", r"^([0-9]+)\.\s+(.+)", 0)
     letter = F.coalesce(F.nullif(F.regexp_extract("cat", r"^\*\*([A-Z])", 1), F.lit("")), F.lit("Z"))
     named = F.regexp_extract("cat", r"^\*\*[A-Z]\.\s+([^*]+)\*\*$", 1)
-    number = F.regexp_extract("line", r"^(\d{1,9})\.", 1).cast("int")
+    number = T.whole(F.regexp_extract("line", r"^([0-9]+)\.", 1))
     return (
         rows.filter(F.col("on") & (card != ""))
         .withColumns({"collection_no": F.col("block").cast("int"), "letter": letter, "number": number})
@@ -67,7 +67,7 @@ def read_outline(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataF
             "letter",
             F.when(F.col("cat").isNull(), "unbekannt").otherwise(T.category_key(F.lower("letter"), named)).alias("category"),
             "number",
-            F.trim(F.regexp_extract("line", r"^\d{1,9}\.\s+(.+)", 1)).alias("front"),
+            F.trim(F.regexp_extract("line", r"^[0-9]+\.\s+(.+)", 1)).alias("front"),
             T.sort_key("collection_no", F.col("letter"), F.col("number")).alias("sort_key"),
             F.col("line_no").cast("long").alias("pos"),
         )
@@ -77,7 +77,7 @@ def read_outline(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataF
 def collection_order(key: Column) -> list[Column]:
     """Numbered keys by number, then the others by name."""
     n = F.try_element_at(F.split(key, "_"), F.lit(2))
-    n = F.when(F.rlike(n, F.lit(r"^\d{1,9}$")), n.cast("int"))
+    n = F.when(F.rlike(n, F.lit("^[0-9]+$")), n.try_cast("decimal(38,0)"))
     return [n.isNull().asc(), F.coalesce(n, F.lit(0)).asc(), key.asc()]
 
 

@@ -25,25 +25,74 @@ def usable(df: DataFrame, front: str = "front", back: str = "back") -> DataFrame
     return df.filter(full(front) & full(back) & ~T.has_mojibake(front, back))
 
 
+def digest(col: Column | str) -> Column:
+    """256 bits of a text: what long texts are dealt and compared by."""
+    return F.unhex(F.sha2(F.col(col) if isinstance(col, str) else col, 256))
+
+
+def first_by_text(df: DataFrame, text: str, order: str = "pos") -> DataFrame:
+    """The first row of each text. Texts meet by their digests, and a digest's rows are reduced where they are read, so neither long nor frequent texts are dealt."""
+    row = F.struct(*df.columns)
+    return df.groupBy(digest(text)).agg(F.min_by(row, F.col(order)).alias("row")).select("row.*")
+
+
 def novel(existing: DataFrame, incoming: DataFrame, front: str = "front", order: str = "pos") -> DataFrame:
     """Incoming rows whose normal front is new, the first of each; adds norm_front."""
-    known = existing.select(T.normalize_text(front).alias("norm_front"))
-    fresh = incoming.withColumn("norm_front", T.normalize_text(front)).join(known, "norm_front", "left_anti")
-    return first_of(fresh, "norm_front", order=order)
+    known = existing.select(digest(T.normalize_text(front)).alias("known"))
+    named = incoming.withColumn("norm_front", T.normalize_text(front))
+    fresh = named.join(known, digest("norm_front") == F.col("known"), "left_anti")
+    return first_by_text(fresh, "norm_front", order)
+
+
+def find_by_front(cards: DataFrame, asked: DataFrame, front: str = "front", order: str = "pos") -> DataFrame:
+    """asked (front) with pos and guid of the first card of the same normal front; null where there is none."""
+    have = cards.groupBy(digest(T.normalize_text(front)).alias("k")).agg(F.min(F.col(order)).alias("pos"), F.min_by("guid", order).alias("guid"))
+    return asked.withColumn("k", digest(T.normalize_text(front))).join(have, "k", "left").drop("k")
+
+
+def iso(ts: Column) -> Column:
+    """A time as ISO 8601 writes it: microseconds only where there are any."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(ts, "SSSSSS") != "000000", F.date_format(ts, ".SSSSSS")).otherwise(""))
+
+
+def to_json_rows(cards: DataFrame, times: tuple[str, ...] = ("created_at", "updated_at")) -> DataFrame:
+    """pos, json: each card as a JSON object with all its fields, null ones too, and its times in ISO form."""
+    fields = [iso(F.col(c)).alias(c) if c in times else F.col(c) for c in cards.columns if c != "pos"]
+    return cards.select("pos", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def category_codes(structure: DataFrame, collection_rank) -> DataFrame:
+    """code, collection, category: collections numbered in order, their categories lettered; what a reply such as `3C` is read by. `collection_rank` orders keys."""
+    kinds = structure.filter((F.coalesce("collection", F.lit("")) != "") & (F.coalesce("category", F.lit("")) != "")).select("collection", "category").distinct()
+    one = Window.partitionBy(F.lit(0))  # a row a category of a configured outline
+    n = F.dense_rank().over(one.orderBy(*collection_rank(F.col("collection"))))
+    letter = F.row_number().over(Window.partitionBy("collection").orderBy("category"))
+    return kinds.select(n.alias("n"), letter.alias("at"), "collection", "category").filter("at <= 26").select(F.concat(F.col("n").cast("string"), F.char(F.col("at") + 64)).alias("code"), "collection", "category")
+
+
+def decode_categories(replies: DataFrame, codes: DataFrame, reply: str = "reply") -> DataFrame:
+    """replies with collection and category of the first code in them; null where there is none, or none of the outline's."""
+    number, letter = T.category_code(reply)
+    return replies.withColumn("code", F.concat(number.cast("string"), letter)).join(codes, "code", "left")
+
+
+def append(cards: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows of both; a column that one side lacks is null there."""
+    return cards.unionByName(more, allowMissingColumns=True)
 
 
 def next_number(df: DataFrame, key: str = "collection") -> DataFrame:
     """One row, next_number: one more than the largest number of a `name_N_rest` key, 0 without any."""
     second = F.try_element_at(F.split(key, "_"), F.lit(2))
-    number = F.when(F.rlike(second, F.lit(r"^\d{1,9}$")), second.cast("int"))
+    number = F.when(F.rlike(second, F.lit(r"^[0-9]+$")), second.try_cast("decimal(38,0)"))
     return df.agg((F.coalesce(F.max(number), F.lit(-1)) + 1).cast("long").alias("next_number"))
 
 
 def route(df: DataFrame, dimension: DataFrame, fallback: str, category: str = "a_Unsortiert") -> DataFrame:
     """Unknown collections go to `fallback`, missing categories to `category`; adds ord (of the dimension, else one more than its largest)."""
     dim = dimension.select(F.col("key").alias("collection"), "ord")
-    after = F.lit((dim.agg(F.max("ord")).first()[0] or 0) + 1)
-    known = df.join(F.broadcast(dim) if dim.count() <= 10_000 else dim, "collection", "left")
+    after = dim.agg(F.coalesce(F.max("ord"), F.lit(0)) + 1).scalar()
+    known = df.join(dim, "collection", "left")  # adaptive execution broadcasts it where it is small
     return known.withColumns(
         {
             "collection": F.when(F.col("ord").isNull(), fallback).otherwise(F.col("collection")),

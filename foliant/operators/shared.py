@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to spark.checkpoint.dir and read back; a temporary folder serves only where none is set, as in tests."""
+    """Written to spark.checkpoint.dir and read back.
+
+    Where none is named, a session on one machine (master local) gets a temporary folder; on a cluster, where executors would
+    each write to a disk of their own, that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-"))
     return df.checkpoint(eager=True)

@@ -187,9 +187,12 @@ def settings_precedence(spark, d):
     return runs.settings([c.select("label", F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("value")), c.select("label", F.when(F.col("c_nationkey") > 10, "nation").alias("value")), c.select("label", F.lit("default").alias("value"))])
 
 
-@query("SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN starts_with(ltrim(text), '[ERROR:') THEN 'error' WHEN starts_with(ltrim(text), '[INFO:') THEN 'info' ELSE 'success' END AS class, count(*) AS n FROM documents GROUP BY 1")
+@query("""WITH t AS (SELECT CASE doc_id % 4 WHEN 0 THEN ' [ERROR: x] ' || text WHEN 1 THEN chr(10) || '[INFO: none]' WHEN 2 THEN '  ' ELSE text END AS text FROM documents)
+  SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN starts_with(ltrim(regexp_replace(text, '^\\s+', '')), '[ERROR:') THEN 'error' WHEN starts_with(regexp_replace(text, '^\\s+', ''), '[INFO:') THEN 'info' ELSE 'success' END AS class, count(*) AS n FROM t GROUP BY 1""")
 def ocr_classes(spark, d):
-    return table(spark, d, "documents").groupBy(T.ocr_class("text").alias("class")).agg(F.count("*").alias("n"))
+    n = F.col("doc_id") % 4
+    text = F.when(n == 0, F.concat(F.lit(" [ERROR: x] "), "text")).when(n == 1, "\n[INFO: none]").when(n == 2, "  ").otherwise(F.col("text"))
+    return table(spark, d, "documents").groupBy(T.ocr_class(text).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(round_even(l_quantity / 50 * 24, 0) AS INTEGER) AS filled FROM lineitem")

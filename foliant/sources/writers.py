@@ -14,7 +14,10 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_table(df: DataFrame, path: str, keep_backup: bool = False, fmt: str = "parquet") -> str | None:
-    """Writes beside `path` and then takes its place; the former table stays as a backup if asked for. A failed write leaves it as it was."""
+    """Writes beside `path` and then takes its place; the former table stays as a backup if asked for. A failed write leaves it as it was.
+
+    The exchange is two renames: a reader may find no table for the moment between them, and a driver lost there leaves the former one as `.bak-*`.
+    """
     spark = df.sparkSession
     stage, old = f"{path}.stage-{uuid.uuid4().hex}", f"{path}.bak-{uuid.uuid4().hex}"
     df.write.format(fmt).save(stage)
@@ -69,11 +72,51 @@ def template(cards: DataFrame) -> DataFrame:
     return rows.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list("b"))).alias("subcategories_reference"), F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("a.collection", F.to_json("a.m").alias("m")))), lambda s: F.struct(s.collection, s.m))).alias("generated_cards"))).alias("json"))
 
 
+def worth_logging(observations: DataFrame, least: int = 5) -> DataFrame:
+    """Observations of few new pages say little, unless the run was paused."""
+    return observations.filter((F.col("pages_completed") >= least) | F.coalesce("paused", F.lit(False)))
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Rows as JSON lines behind those that are there."""
     df.write.mode("append").json(path)
 
 
+def write_candidates(cards: DataFrame, path: str) -> None:
+    """One file, {"new_cards": [...]} in order of pos: what a batch of new cards is exchanged as, a bounded table. Null fields are left out."""
+    row = F.struct("pos", F.struct(*(c for c in cards.columns if c != "pos")).alias("c"))
+    whole = F.transform(F.array_sort(F.collect_list(row)), lambda r: r.c)
+    cards.agg(F.to_json(F.struct(whole.alias("new_cards"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def mark_processed(spark: SparkSession, path: str, at: str) -> str:
+    """What was read in moves aside under the time `at`, so that it isn't read again."""
+    done = f"{path}.processed_{at}"
+    source, fs = _fs(spark, path)
+    if not fs.rename(source, _fs(spark, done)[0]):
+        raise OSError(f"{path} can't be moved")
+    return done
+
+
+def flush_trace(runs: DataFrame, path: str) -> None:
+    """The runs so far, as a table that takes its predecessor's place; called after each phase."""
+    replace_table(runs, path, fmt="json")
+
+
+def read_trace(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Runs of a trace; one that is no JSON (a line that can't be read) is set aside as `.bak`, and a new one begins."""
+    target, fs = _fs(spark, path)
+    if not fs.exists(target):
+        return spark.createDataFrame([], schema)
+    broken = spark.read.text(path).filter((F.trim("value") != "") & ~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("OBJECT")), F.lit(False)))
+    if not broken.isEmpty():
+        aside = _fs(spark, f"{path}.bak")[0]
+        fs.delete(aside, True)
+        fs.rename(target, aside)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)
+
+
 class Stages:
     """Named stages as Parquet tables: a stage from `from_stage` on is computed, an earlier one is read."""
 
