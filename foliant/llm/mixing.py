@@ -8,7 +8,7 @@ target by no more than the last document that is left over.
 
 Documents are dealt to nodes of a bounded number of documents, by source, size class and hash. Each node is
 reduced within one row; what is left over of some dozens of nodes meets in a node of the next level. One node of
-every size class is held back for the root, which works from large documents to small ones: the last one left is small.
+every size class is held back for the root, which works from large documents to small ones: the last one left is small. There draws are turned round, and a pair exchanged, where that brings the source nearer to its target.
 A hot source only has more nodes; no task ever holds a source.
 """
 
@@ -80,21 +80,36 @@ def _reduce(df: DataFrame, id_type: str, seed: int) -> DataFrame:
     return nodes.select("source", "node", F.aggregate(F.slice("items", F.lit(2), F.size("items")), start, step).alias("r")).select("source", "node", "r.left", "r.done")
 
 
-def _even_out(id_type: str, seed: int) -> Column:
-    """The root's documents, all settled: the last one is drawn, and then, from large to small, a document's draw is turned round wherever that brings the source's words nearer to the target."""
+def _even_out(root: DataFrame, id_type: str, seed: int) -> DataFrame:
+    """source, d: the root's documents, all settled.
+
+    The last one is drawn, and then, from large to small, a document's draw is turned round wherever that brings the source's words nearer to
+    the target; at the end the one pair of a taken and another document is exchanged that brings them nearest, if any does.
+    """
     done, last = _DONE.format(id=id_type), F.col("left")
     drawn = F.when(_uniform(last.h, F.lit(seed)) < last.p, 1).otherwise(0)
     end = F.struct(last.doc_id, last["size"], last.m, last.w + drawn, drawn).cast(done)
 
-    def step(acc: Column, x: Column) -> Column:
+    def turned(x: Column) -> Column:
         turn = 1 - 2 * x.took
-        off = acc["off"] + turn * x["size"]
-        turned = F.struct(x.doc_id, x["size"], x.m, x.w + turn, x.took + turn).cast(done)
+        return F.struct(x.doc_id, x["size"], x.m, x.w + turn, x.took + turn).cast(done)
+
+    def step(acc: Column, x: Column) -> Column:
+        off = acc["off"] + (1 - 2 * x.took) * x["size"]
         better = F.abs(off) < F.abs(acc["off"])
-        return F.struct(F.when(better, off).otherwise(acc["off"]).alias("off"), F.concat(acc["done"], F.array(F.when(better, turned).otherwise(x))).alias("done"))
+        return F.struct(F.when(better, off).otherwise(acc["off"]).alias("off"), F.concat(acc["done"], F.array(F.when(better, turned(x)).otherwise(x))).alias("done"))
 
-    by_size = F.transform(F.array_sort(F.transform("done", lambda x: F.struct((-x["size"]).alias("a"), x.alias("x")))), lambda s: s.x)
-    return F.aggregate(by_size, F.struct(((drawn - last.p) * last["size"]).alias("off"), F.array(end).alias("done")), step)["done"]
+    by_size = F.transform(F.array_sort(F.transform(F.concat("done", F.array(end)), lambda x: F.struct((-x["size"]).alias("a"), x.alias("x")))), lambda s: s.x)
+    state = F.aggregate(by_size, F.struct(((drawn - last.p) * last["size"]).alias("off"), F.array().cast(f"array<{done}>").alias("done")), step)
+    rows = root.select("source", state.alias("s")).select("source", "s.off", "s.done")
+    places = F.sequence(F.lit(0), F.size("done") - 1)
+    of = lambda took: F.filter(places, lambda i: F.get("done", i).took == took)
+    size = lambda i: F.get("done", i)["size"]
+    pairs = F.transform(F.col("taken"), lambda i: F.array_min(F.transform(F.col("others"), lambda j: F.struct(F.abs(F.col("off") + size(j) - size(i)).alias("off"), i.alias("i"), j.alias("j")))))
+    rows = rows.withColumns({"taken": of(1), "others": of(0)}).withColumn("best", F.array_min(pairs))
+    swap = F.coalesce(F.col("best.off") < F.abs("off"), F.lit(False))
+    settled = F.transform("done", lambda x, n: F.when(swap & ((n == F.col("best.i")) | (n == F.col("best.j"))), turned(x)).otherwise(x))
+    return rows.select("source", F.explode(settled).alias("d"))
 
 
 def plan_mix(docs: DataFrame, seed: int = 7, text: str = "text", **targets) -> DataFrame:
@@ -132,7 +147,7 @@ def plan_mix(docs: DataFrame, seed: int = 7, text: str = "text", **targets) -> D
         if most <= FANOUT:
             break
     root = _reduce(held.unionByName(level).withColumn("node", F.lit(0)), id_type, seed)
-    ends = [x.select("source", F.explode("done").alias("d")) for x in settled] + [root.select("source", F.explode(_even_out(id_type, seed)).alias("d"))]
+    ends = [x.select("source", F.explode("done").alias("d")) for x in settled] + [_even_out(root, id_type, seed)]
     done = reduce(DataFrame.unionAll, ends).select("source", "d.doc_id", "d.size", "d.m", "d.w").unionByName(part.filter("p <= 0").select("source", "doc_id", "size", "m", "w"))
     each = _singly(done.join(goal_of, F.col("source").eqNullSafe(F.col("_source"))))
     copies = (F.floor("share") + F.when(F.col("i") <= F.col("w"), 1).otherwise(0)).cast("long")
