@@ -32,9 +32,9 @@ from .common import mix64, powers, store, text_blocks, tidied
 _U = np.uint64
 #: Characters of the items that are broadcast at a time.
 BLOCK_CHARS = 2_000_000
-_BINS, _FILTER = 1 << 20, 1 << 22
+_BINS, _FILTER = 1 << 18, 1 << 22
 #: Hits that are spread out at a time, diagonals that are aligned at a time, and bytes of a piece of a long text.
-_SPREAD, _LANES, PIECE = 1 << 20, 1 << 14, 1 << 21
+_SPREAD, _LANES, PIECE = 1 << 19, 1 << 14, 1 << 21
 
 # Letters A-Z and Latin-1 capitals become small, ASCII whitespace and no-break space become a space; one character stays one.
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -164,27 +164,37 @@ class ItemIndex:
         return [found for grams in self.grams for found in self._matches(grams, cp, offs)]
 
     def _matches(self, grams: Grams, cp: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        hits, many = grams.hits(cp, offs), len(self.items)
-        if not len(hits[0]):
+        """Some documents at a time, as many as have about _SPREAD hits."""
+        doc, place, g = grams.hits(cp, offs)
+        if not len(doc):
             return
-        bins, kept = np.zeros(_BINS, np.int64), []
-        parts = [(np.zeros(0, np.int64),) * 3]
+        count = grams.first[g + 1] - grams.first[g]
+        heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        cuts = heads[np.flatnonzero(np.diff((np.cumsum(count) - count)[heads] // _SPREAD, prepend=-1))]
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)]):
+            yield from self._of_documents(grams, (doc[a:b], place[a:b], g[a:b]), cp, offs)
+
+    def _of_documents(self, grams: Grams, hits: tuple, cp: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        many, base = len(self.items), int(hits[0][0])
+        entries = int((grams.first[hits[2] + 1] - grams.first[hits[2]]).sum())
+        held = list(grams.spread(*hits, _SPREAD)) if entries <= 3 * _SPREAD else None  # a document of very many hits is spread out once more for each pass
+        spread = lambda: held if held is not None else grams.spread(*hits, _SPREAD)
+        # first whole documents: what holds too few places of an item's grams holds no occurrence
+        space = min((int(hits[0][-1]) - base + 1) * many, _BINS)
+        seen = np.zeros(space, np.int64)
+        for _, doc, item, _ in spread():
+            seen += np.bincount(((doc - base) * many + item) % space, minlength=space)
+        bins = np.zeros(_BINS, np.int64)
         exact: dict[int, int] = {}
-        for _, pair, band, n, code in self._bands(grams, hits, exact):
+        kept, n = [], 0
+        for part in spread():
+            pair, band, item, code = self._bands(part, seen, base, exact)
             bins += np.bincount(code, minlength=_BINS)
-            kept.append((pair, band, n, code))
-            if sum(len(x[0]) for x in kept) > _SPREAD:
-                kept = None
-                break
-        if kept is None:  # more than is held at once: counted first, then spread out again
-            bins[:] = 0
-            for *_, code in self._bands(grams, hits, {}):
-                bins += np.bincount(code, minlength=_BINS)
-            again = (x[1:] for x in self._bands(grams, hits, exact))
-        else:
-            again = iter(kept)
-        for pair, band, n, code in again:
-            full = bins[code] >= self.least[n]
+            n += len(pair)
+            kept = [*kept, (pair, band, item, code)] if n <= 4 * _SPREAD else []
+        parts = [(np.zeros(0, np.int64),) * 3]
+        for pair, band, item, code in kept if n <= 4 * _SPREAD else (self._bands(part, seen, base, exact) for part in spread()):
+            full = bins[code] >= self.least[item]
             parts.append(_sums(pair[full], band[full], np.ones(int(full.sum()), np.int64)))
         pair, band, count = _sums(*map(np.concatenate, zip(*parts)))
         good = count >= self.least[pair % many]
@@ -197,29 +207,30 @@ class ItemIndex:
             if best := self._align(cp[offs[doc] : offs[doc + 1]], n, band[a:b]):
                 yield doc, n, *best
 
-    def _bands(self, grams: Grams, hits: tuple, exact: dict[int, int]):
-        """(place, document and item, band, item, bin) of all hits, each band once a place; items that a gram holds whole go to `exact` with their first place."""
+    def _bands(self, part: tuple, seen: np.ndarray, base: int, exact: dict[int, int]) -> tuple[np.ndarray, ...]:
+        """(document and item, band, item, bin) of hits that `seen` lets pass, each band once a place; items that a gram holds whole go to `exact` with their first place."""
         many = len(self.items)
-        for hit, doc, item, diag in grams.spread(*hits, _SPREAD):
-            pair = doc * many + item
-            if self.whole[item].any():
-                full = np.flatnonzero(self.whole[item])
-                found, first = np.unique(pair[full], return_index=True)
-                for p, at in zip(found.tolist(), diag[full[first]].tolist()):
-                    exact[p] = min(exact.get(p, at), at)
-                rest = ~self.whole[item]
-                hit, pair, item, diag = hit[rest], pair[rest], item[rest], diag[rest]
-            band = diag // self.band[item]
-            # of one hit and item diagonals fall, so equal bands are neighbours
-            new = np.ones(len(band), bool)
-            new[1:] = (band[1:] != band[:-1]) | (pair[1:] != pair[:-1]) | (hit[1:] != hit[:-1])
-            hit, pair, item, band = hit[new], pair[new], item[new], band[new]
-            # a diagonal lies in two bands: the one that begins with its stripe, and the one before
-            before = np.ones(len(band), bool)
-            before[:-1] = (band[1:] != band[:-1] - 1) | (pair[1:] != pair[:-1]) | (hit[1:] != hit[:-1])
-            hit, pair, item, band = (np.concatenate((x, y[before])) for x, y in ((hit, hit), (pair, pair), (item, item), (band, band - 1)))
-            code = (mix64(pair.astype(np.uint64) * _U(0x9E3779B97F4A7C15) ^ band.astype(np.uint64)) & _U(_BINS - 1)).astype(np.int64)
-            yield hit, pair, band, item, code
+        hit, doc, item, diag = part
+        near = np.flatnonzero(seen[((doc - base) * many + item) % len(seen)] >= self.least[item])
+        hit, item, diag, pair = hit[near], item[near], diag[near], doc[near] * many + item[near]
+        if self.whole[item].any():
+            full = np.flatnonzero(self.whole[item])
+            found, first = np.unique(pair[full], return_index=True)
+            for p, at in zip(found.tolist(), diag[full[first]].tolist()):
+                exact[p] = min(exact.get(p, at), at)
+            rest = ~self.whole[item]
+            hit, pair, item, diag = hit[rest], pair[rest], item[rest], diag[rest]
+        band = diag // self.band[item]
+        # of one hit and item diagonals fall, so equal bands are neighbours
+        new = np.ones(len(band), bool)
+        new[1:] = (band[1:] != band[:-1]) | (pair[1:] != pair[:-1]) | (hit[1:] != hit[:-1])
+        hit, pair, item, band = hit[new], pair[new], item[new], band[new]
+        # a diagonal lies in two bands: the one that begins with its stripe, and the one before
+        before = np.ones(len(band), bool)
+        before[:-1] = (band[1:] != band[:-1] - 1) | (pair[1:] != pair[:-1]) | (hit[1:] != hit[:-1])
+        pair, item, band = (np.concatenate((x, y[before])) for x, y in ((pair, pair), (item, item), (band, band - 1)))
+        code = (mix64(pair.astype(np.uint64) * _U(0x9E3779B97F4A7C15) ^ band.astype(np.uint64)) & _U(_BINS - 1)).astype(np.int64)
+        return pair, band, item, code
 
     def _align(self, text: np.ndarray, n: int, bands: np.ndarray) -> tuple[int, int] | None:
         """(fewest edits, about where), over the bands; neighbouring ones are aligned as one."""
