@@ -7,16 +7,14 @@ matter; their distinct segments, each with its number of copies, are fetched fro
 by key. A shard is an FM-index over its segments. They are streamed through it: backward search on the
 wavelet matrix gives matching statistics, and the stretches where these reach the window are reported as intervals, for every copy of the segment.
 
-A key of very many distinct segments would make one shard large. Its segments are cut again: the known words are
-continued to the side where a window still has more of its own, so that each window goes to one of two
-longer keys, and again, until keys are small or hold whole windows, of which all segments are equal.
+A key of very many distinct segments would make one shard large. Its segments are cut again: the key is continued by all
+the words that its windows have besides, so that every window is a segment and a key of its own, equal ones are one, and what a shard finds goes back to the segments they came from.
 The work grows with the words, not with shards times documents, and a shard's memory is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, span_hash, store, text_blocks, tidied, word_bounds, word_hashes
+from .common import mix64, row_key, span_hash, store, text_blocks, tidied, word_bounds, word_hashes
 from .fm_index import FMIndex
 
 _U = np.uint64
 #: Words of an anchor at most.
 _RUN = 6
-#: Words of the segments in one index, about, and distinct segments of a key before it is continued.
+#: Words of the segments in one index, about, and distinct segments of a key beyond which it is continued.
 SHARD_WORDS, KEY_SEGMENTS = 600_000, 512
 
 
@@ -46,14 +44,11 @@ def _leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """hashes of the words of several documents, parted at bounds: (document, start, length, block, key, content, step, times) of each segment, or run of equal ones.
-
-    The words of the key begin at `block` within the segment.
-    """
+    """hashes of the words of several documents, parted at bounds: (document, start, length, key, content, step, times) of each segment, or run of equal ones."""
     n, width = len(hashes), min(_RUN, window)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
     side = window - width - (window - width) // 2  # so many words of a window lie before its anchor, or else behind it
     reach = (window - width) // 2
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -79,29 +74,27 @@ def segments(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nd
     head = np.flatnonzero(~run_on)
     times = np.diff(np.append(head, len(first)))
     step = np.append(step, 0)[np.minimum(head + 1, len(first))] * (times > 1)
-    return doc[first[head]], first[head] - bounds[doc[first[head]]], length[head], (a - first)[head], key[head], content[head], step, times
+    return doc[first[head]], first[head] - bounds[doc[first[head]]], length[head], key[head], content[head], step, times
 
 
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-_SEGMENT = "key bigint, content bigint, row struct<a:bigint,b:bigint>, place bigint, shape bigint, times bigint"
-
-
-def _segment_batch(key, content, row: pa.Array, start, step, length, block, times) -> pa.RecordBatch:
-    """place: start and step, shape: length and block, 32 bits each; a text of 2**31 words would not fit one row."""
-    columns = [_i64(key), _i64(content), row, _i64(start << 32 | step), _i64(length << 32 | block), _i64(times)]
-    return pa.RecordBatch.from_arrays(columns, ["key", "content", "row", "place", "shape", "times"])
+_WORDS = "key bigint, content bigint, copies bigint, words binary"
+_SEGMENT = "key bigint, content bigint, row struct<a:bigint,b:bigint>, place bigint, length bigint, times bigint"
 
 
 def _cut_segments(window: int):
+    """place: start and step, 32 bits each; a text of 2**31 words would not fit one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (rows,), buf, offs in text_blocks([batch.column(0)], batch.column(1)):
                 starts, ends, bounds = word_bounds(buf, offs)
-                doc, at, length, block, key, content, step, times = segments(word_hashes(buf, starts, ends), bounds, window)
-                yield _segment_batch(key, content, rows.take(pa.array(doc)), at, step, length, block, times)
+                doc, at, length, key, content, step, times = segments(word_hashes(buf, starts, ends), bounds, window)
+                columns = [_i64(key), _i64(content), rows.take(pa.array(doc)), _i64(at << 32 | step), _i64(length), _i64(times)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "content", "row", "place", "length", "times"])
 
     return run
 
@@ -111,54 +104,51 @@ def _flat(lists: pa.Array, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), [flat.field(i).to_numpy(zero_copy_only=False) for i in range(n)]
 
 
-def _continue(window: int):
-    """Texts with segments (place, shape, times, known) to the two segments that each falls into under longer keys."""
+def _windows_of(window: int):
+    """Texts with the places of segments to all the windows of these, with the segment that each came from and its place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (rows, lists), buf, offs in text_blocks([batch.column(0), batch.column(1)], batch.column(2)):
+            for (lists,), buf, offs in text_blocks([batch.column(0)], batch.column(1)):
                 starts, ends, bounds = word_bounds(buf, offs)
                 hashes = word_hashes(buf, starts, ends)
-                doc, (place, shape, times, known) = _flat(lists, 4)
-                start, step, length, block = place >> 32, place & 0xFFFFFFFF, shape >> 32, shape & 0xFFFFFFFF
-                rest = window - known
-                more = rest - rest // 2
-                last = length - window  # of the windows' starts
-                turn = np.minimum(block - more, last)  # windows that begin here or earlier hold `more` words before the key's
-                for before in (True, False):
-                    a = np.zeros(len(doc), np.int64) if before else np.maximum(block - more + 1, 0)
-                    b = turn if before else last
-                    keep = np.flatnonzero((b >= a) & (rest > 0))
-                    if not len(keep):
-                        continue
-                    own = doc[keep]
-                    at = start[keep] + a[keep]
-                    size = b[keep] - a[keep] + window
-                    to = (block[keep] - more[keep] if before else block[keep]) - a[keep]
-                    words = np.minimum(known[keep] + (more[keep] if before else rest[keep] - more[keep] + 1), window)
-                    first = bounds[own] + at
-                    key = span_hash(hashes, first + to, first + to + words) ^ np.where(before, _U(0x2545F4914F6CDD1D), _U(0)) * words.astype(np.uint64)
-                    content = span_hash(hashes, first, first + size)
-                    out = _segment_batch(key, content, rows.take(pa.array(own)), at, step[keep], size, to, times[keep])
-                    yield out.append_column("known", _i64(words))
+                doc, (key, content, place, length, copies) = _flat(lists, 5)
+                again = mix64(hashes ^ _U(0xA24BAED4963EE407))
+                many = length - window + 1
+                for a, b in _parts(many * window):
+                    n = many[a:b]
+                    of = np.repeat(np.arange(a, b), n)
+                    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                    first = bounds[doc[of]] + (place[of] >> 32) + at
+                    own = [span_hash(x, first, first + window) for x in (hashes, again)]
+                    words = _words(hashes, first, np.full(len(first), window))
+                    yield pa.RecordBatch.from_arrays([_i64(own[0]), _i64(own[1]), _i64(copies[of]), words, _i64(key[of]), _i64(content[of]), _i64(at)], ["key", "content", "copies", "words", "of_key", "of_content", "at"])
 
     return run
 
 
+def _parts(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes add up to _FETCHED about."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _FETCHED, prepend=-1)).tolist()
+    yield from zip(cuts, [*cuts[1:], len(size)])
+
+
+def _words(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    to = np.concatenate(([0], np.cumsum(size)))
+    take = np.arange(to[-1]) - np.repeat(to[:-1] - first, size)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((to * 8).astype(np.int32).tobytes()), pa.py_buffer(hashes[take].tobytes())])
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the places of their segments to the segments' words, 64 bits each."""
     for batch in batches:
         for (lists,), buf, offs in text_blocks([batch.column(0)], batch.column(1)):
             starts, ends, bounds = word_bounds(buf, offs)
             hashes = word_hashes(buf, starts, ends)
-            doc, (key, content, place, shape, copies) = _flat(lists, 5)
-            first, size = bounds[doc] + (place >> 32), shape >> 32
-            cuts = np.flatnonzero(np.diff(np.cumsum(size) // _FETCHED, prepend=-1))  # some segments at a time
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(size)]):
-                to = np.concatenate(([0], np.cumsum(size[a:b])))
-                take = np.arange(to[-1]) - np.repeat(to[:-1] - first[a:b], size[a:b])
-                words = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((to * 8).astype(np.int32).tobytes()), pa.py_buffer(hashes[take].tobytes())])
-                yield pa.RecordBatch.from_arrays([_i64(key[a:b]), _i64(content[a:b]), _i64(copies[a:b]), words], ["key", "content", "copies", "words"])
+            doc, (key, content, place, size, copies) = _flat(lists, 5)
+            first = bounds[doc] + (place >> 32)
+            for a, b in _parts(size):
+                yield pa.RecordBatch.from_arrays([_i64(key[a:b]), _i64(content[a:b]), _i64(copies[a:b]), _words(hashes, first[a:b], size[a:b])], ["key", "content", "copies", "words"])
 
 
 #: Words that are fetched into one batch, about.
@@ -245,31 +235,44 @@ def _twice(cut: DataFrame) -> DataFrame:
     return cut.join(often, "key")
 
 
-def _small_keys(keyed: DataFrame, seen: DataFrame, window: int) -> DataFrame:
-    """`seen` with the segments of large keys cut again under longer ones, as often as it takes; keys of whole windows can't be large."""
-    width, parts = min(_RUN, window), []
-    while True:
-        kinds = seen.groupBy("key", "content").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("n"))
-        large = store(kinds.filter(F.col("n") > KEY_SEGMENTS).select("key"))
-        if large.isEmpty():
-            return reduce(DataFrame.unionByName, [*parts, seen.drop("known")])
-        parts.append(seen.join(large, "key", "left_anti").drop("known"))
-        again = seen.join(large, "key", "left_semi")
-        known = F.col("known") if "known" in seen.columns else F.lit(width + (window - width) // 2).cast("long")
-        lists = again.groupBy("row").agg(F.collect_list(F.struct("place", "shape", "times", known.alias("known"))).alias("list"))
-        longer = keyed.select("row", "text").join(lists, "row").select("row", "list", "text").mapInArrow(tidied(_continue(window)), _SEGMENT + ", known bigint")
-        seen = store(_twice(longer))
+def _lists(distinct: DataFrame) -> DataFrame:
+    """The segments that are fetched from each row, as a list."""
+    one = F.struct("key", "content", F.col("one.place").alias("place"), F.col("one.length").alias("length"), "copies")
+    return distinct.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(one).alias("list"))
+
+
+def _searched(fetched: DataFrame, window: int) -> DataFrame:
+    """key, content, a, b: the intervals of distinct segments (key, content, copies, words) that repeat."""
+    dealt = fetched.select("key", "content", "copies", "words").repartition("key").sortWithinPartitions("key", "content")
+    return dealt.mapInArrow(tidied(_search(window, SHARD_WORDS)), "key bigint, content bigint, a bigint, b bigint")
+
+
+def _merged(spans):
+    """Sorted (a, b) without those that touch."""
+    join = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1).b >= x.a), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).a.alias("a"), F.greatest(F.element_at(acc, -1).b, x.b).alias("b"))))).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<a:bigint,b:bigint>>"), join)
 
 
 def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column) -> DataFrame:
     keyed = docs.select(row_key(doc_id, text).alias("row"), rest.alias("rest"), F.col(text).alias("text"))
     seen = store(_twice(keyed.select("row", "text").mapInArrow(tidied(_cut_segments(window)), _SEGMENT)))
-    seen = _small_keys(keyed, seen, window)
-    distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place", "shape")).alias("one"))
-    lists = distinct.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("key", "content", F.col("one.place").alias("place"), F.col("one.shape").alias("shape"), "copies")).alias("list"))
-    # with `rest`, which it doesn't need: so the texts are dealt once for both joins
-    fetched = keyed.join(lists, "row").select("list", "text", "rest").mapInArrow(tidied(_fetch), "key bigint, content bigint, copies bigint, words binary")
-    found = fetched.repartition("key").sortWithinPartitions("key", "content").mapInArrow(tidied(_search(window, SHARD_WORDS)), "key bigint, content bigint, a bigint, b bigint")
+    distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place", "length")).alias("one"))
+    kinds = seen.groupBy("key", "content").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("n"))
+    large = store(kinds.filter(F.col("n") > KEY_SEGMENTS).select("key"))
+
+    def of_texts(lists: DataFrame) -> DataFrame:
+        # with `rest`, which isn't needed: so the texts are dealt once for all the joins
+        return keyed.join(lists, "row").select("list", "text", "rest")
+
+    if large.isEmpty():
+        found = _searched(of_texts(_lists(distinct)).mapInArrow(tidied(_fetch), _WORDS), window)
+    else:
+        found = _searched(of_texts(_lists(distinct.join(large, "key", "left_anti"))).mapInArrow(tidied(_fetch), _WORDS), window)
+        pieces = of_texts(_lists(distinct.join(large, "key", "left_semi"))).mapInArrow(tidied(_windows_of(window)), _WORDS + ", of_key bigint, of_content bigint, at bigint")
+        kinds = pieces.groupBy("key", "content").agg(F.sum("copies").alias("copies"), F.first("words").alias("words")).filter("copies > 1")
+        hits = pieces.select("key", "content", "of_key", "of_content", "at").join(_searched(kinds, window), ["key", "content"])
+        spans = hits.groupBy(F.col("of_key").alias("key"), F.col("of_content").alias("content")).agg(_merged(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")))).alias("spans"))
+        found = found.unionByName(spans.select("key", "content", F.explode("spans").alias("s")).select("key", "content", "s.a", "s.b"))
     at = F.shiftright("place", 32)
     more = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) * (F.col("times") - 1)
     spans = seen.join(found, ["key", "content"]).select("row", F.struct((at + F.col("a")).alias("a"), (at + more + F.col("b")).alias("b")).alias("s"))
