@@ -182,6 +182,17 @@ def valid_candidate(col: Column) -> Column:
     return ~F.startswith(x, F.lit("[ERROR:")) & ~F.startswith(x, F.lit(EMPTY_NOTICE))
 
 
+def flag(col: Column | str) -> Column:
+    """Whether a setting from outside says yes."""
+    return F.coalesce(F.trim(_c(col)).isin("1", "true", "True"), F.lit(False))
+
+
+def clamped(col: Column | str, default: int, least: int, most: int) -> Column:
+    """A whole number from outside within bounds; the default where it says none."""
+    number = F.trim(_c(col)).try_cast("int")
+    return F.when(number.isNull(), F.lit(default)).otherwise(F.least(F.greatest(number, F.lit(least)), F.lit(most)))
+
+
 def any_of(names: Sequence[str], path: Column | str) -> Column:
     """Whether a path has one of the names among its folders."""
     return F.arrays_overlap(F.split(_c(path), "/"), F.array(*map(F.lit, names)))

@@ -27,12 +27,13 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def compare_files(expected: DataFrame, live: DataFrame, marker: str = "<!-- ANKI_CARD_LIST_START -->") -> DataFrame:
-    """filename, status (same, differs, missing, extra). Line ends don't count; of markdown only what follows the marker."""
+    """filename, status (same, differs, missing, extra). Line ends don't count, nor do order of keys and space in JSON that can be read; of markdown only what follows the marker."""
 
     def digest(df: DataFrame, name: str) -> DataFrame:
         body = F.replace("content", F.lit("\r\n"), F.lit("\n"))
         after = F.when(F.endswith("filename", F.lit(".md")) & F.contains(body, F.lit(marker)), F.substring_index(body, marker, -1)).otherwise(body)
-        return df.select("filename", F.sha2(after, 256).alias(name))
+        said = F.when(F.endswith("filename", F.lit(".json")), F.coalesce(F.to_json(F.try_parse_json(body)), body)).otherwise(after)
+        return df.select("filename", F.sha2(said, 256).alias(name))
 
     both = digest(expected, "a").join(digest(live, "b"), "filename", "full_outer")
     return both.select("filename", F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") == F.col("b"), "same").otherwise("differs").alias("status"))

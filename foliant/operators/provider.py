@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..sources import readers, writers
+
 RESPONSE = "request_id string, content string, finish_reason string, error string"
 
 
@@ -51,8 +54,61 @@ class Stub:
 
 
 class Ingestor(Protocol):
-    def ingest(self, sources: DataFrame) -> DataFrame: ...
+    def ingest(self, sources: DataFrame) -> DataFrame:
+        """sources (file, text) to new records (front, back, collection, category, source)."""
+        ...
+
+
+class TextIngestor:
+    """Asks a provider for candidates from all the texts together and reads them from its reply, however that is wrapped."""
+
+    def __init__(self, provider: ModelProvider, prompt: str = "{text}"):
+        self.provider, self.prompt = provider, prompt
+
+    def ingest(self, sources: DataFrame) -> DataFrame:
+        joined = readers.joined_texts(sources).withColumn("prompt", F.replace(F.lit(self.prompt), F.lit("{text}"), F.col("text")))
+        asked = joined.select(request_id("prompt").alias("request_id"), "prompt")
+        answered = self.provider.answer(asked).filter("error is null")
+        return readers.candidates(answered.select(F.col("request_id").alias("file"), text.strip_fence("content").alias("value"))).drop("file", "pos")
 
 
 class Exporter(Protocol):
-    def export(self, cards: DataFrame, dimension: DataFrame, path: str) -> None: ...
+    def export(self, cards: DataFrame, dimension: DataFrame, path: str) -> DataFrame:
+        """Writes cards by collection under `path`; what was written, as rows."""
+        ...
+
+
+class CollectionExporter:
+    """Files of JSON lines, a folder a collection; gives filename and rows of each, in plain order of names."""
+
+    def export(self, cards: DataFrame, dimension: DataFrame, path: str) -> DataFrame:
+        writers.write_collections(cards, dimension, path)
+        return writers.collection_files(cards, dimension).groupBy("filename").agg(F.count("*").alias("rows")).orderBy("filename")
+
+
+#: What a tool of the discovery loop is given and gives: the sources, an argument, and a text.
+Tool = Callable[[DataFrame, str], str]
+
+
+def discover(turns: Callable[[list[dict]], dict], tools: dict[str, Tool], sources: DataFrame, most: int = 20) -> tuple[dict | None, list[dict]]:
+    """A bounded conversation with a model that may call one tool a turn: its last answer (null if it gave none) and what was said.
+
+    turns: what was said so far to {"tool": name, "argument": text} or {"result": ...}. Of several calls in a turn (`tools`) the first is run and the others are told to wait;
+    an unknown tool and one that fails give their error as the result. On the last turn but one the model is told to finish.
+    """
+    said: list[dict] = []
+    for n in range(most):
+        reply = turns(said)
+        if "result" in reply:
+            return reply["result"], said
+        calls = reply.get("tools") or [reply]
+        name, argument = calls[0].get("tool"), calls[0].get("argument", "")
+        try:
+            result = tools[name](sources, argument) if name in tools else f"no such tool: {name}"
+        except Exception as e:  # a tool's failure is an answer like others
+            result = f"failed: {e}"
+        said.append({"tool": name, "argument": argument, "result": result})
+        said += [{"tool": c.get("tool"), "argument": c.get("argument", ""), "result": "deferred: one tool a turn"} for c in calls[1:]]
+        if n == most - 2:
+            said.append({"tool": None, "argument": "", "result": "this is the last turn: answer now"})
+    return None, said

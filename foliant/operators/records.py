@@ -36,9 +36,9 @@ def first_by_text(df: DataFrame, text: str, order: str = "pos") -> DataFrame:
     return df.groupBy(digest(text)).agg(F.min_by(row, F.col(order)).alias("row")).select("row.*")
 
 
-def novel(existing: DataFrame, incoming: DataFrame, front: str = "front", order: str = "pos") -> DataFrame:
-    """Incoming rows whose normal front is new, the first of each; adds norm_front."""
-    known = existing.select(digest(T.normalize_text(front)).alias("known"))
+def novel(existing: DataFrame, incoming: DataFrame, front: str = "front", order: str = "pos", key: str | None = None) -> DataFrame:
+    """Incoming rows whose normal front is new, the first of each; adds norm_front. `key` is a column of `existing` that holds the digest of its normal front, so that fronts needn't be read."""
+    known = existing.select((F.col(key) if key else digest(T.normalize_text(front))).alias("known"))
     named = incoming.withColumn("norm_front", T.normalize_text(front))
     fresh = named.join(known, digest("norm_front") == F.col("known"), "left_anti")
     return first_by_text(fresh, "norm_front", order)
@@ -113,10 +113,10 @@ def number(df: DataFrame, offset: DataFrame | None = None, order: str = "pos") -
     return out.withColumn("sort_field", T.sort_field(T.sort_key("ord", F.substring("category", 1, 1), "n"), "front"))
 
 
-def integrate(existing: DataFrame, incoming: DataFrame, dimension: DataFrame, fallback: str, go_on: bool = False) -> DataFrame:
+def integrate(existing: DataFrame, incoming: DataFrame, dimension: DataFrame, fallback: str, go_on: bool = False, key: str | None = None) -> DataFrame:
     """What of a batch is added: usable, new, first in the batch, routed and numbered. With go_on numbers follow those that exist."""
     offset = existing.groupBy("collection", "category").count() if go_on else None
-    return number(route(novel(existing, usable(incoming)), dimension, fallback), offset)
+    return number(route(novel(existing, usable(incoming), key=key), dimension, fallback), offset)
 
 
 def by_front(df: DataFrame, front: str = "front", back: str = "back", order: str = "pos") -> DataFrame:

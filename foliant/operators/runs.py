@@ -160,10 +160,15 @@ def history(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> Dat
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """The interval of k of n, within 0 and 1; (0, 0) for n = 0."""
-    p, d = k / n, 1 + z * z / n
-    mid, half = (p + z * z / (2 * n)) / d, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(0.0)
+    """The score interval of k hits of n, within 0 and 1; (0, 0) for n = 0.
+
+    Its centre is the share after z * z more trials, half of them hits; its spread is that of k hits and n - k misses, widened by z * z / 4.
+    """
+    more = z * z
+    centre = (k + more / 2) / (n + more)
+    spread = z / (n + more) * F.sqrt(k * (n - k) / n + more / 4)
+    inside = lambda x: F.when(n > 0, F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return inside(centre - spread), inside(centre + spread)
 
 
 def model_stats(results: DataFrame, model: str = "model", value: str = "value") -> DataFrame:
@@ -217,6 +222,18 @@ def accuracy_matrix(hits: DataFrame, pages: list[str]) -> DataFrame:
     return hits.groupBy("model").pivot("page", pages).agg(F.avg(F.col("hit").cast("int")))
 
 
+def missed_values(hits: DataFrame) -> DataFrame:
+    """model, page, hits, total, missed (labels in order) of hits (model, page, label, hit)."""
+    lost = F.array_sort(F.collect_list(F.when(~F.coalesce("hit", F.lit(False)), F.col("label"))))
+    return hits.groupBy("model", "page").agg(F.count_if("hit").alias("hits"), F.count("*").alias("total"), lost.alias("missed"))
+
+
+def differing(trials: DataFrame) -> DataFrame:
+    """judge, differing: of pairs shown in both orders, in how many the judge picked differently. trials: judge, pair, shown, picked."""
+    per = trials.filter("ok").groupBy("judge", "pair").agg(F.count_distinct("picked").alias("n"))
+    return per.groupBy("judge").agg(F.count_if(F.col("n") > 1).alias("differing"), F.count("*").alias("pairs"))
+
+
 def settings(levels: list[DataFrame]) -> DataFrame:
     """label, value, source, shadowed from levels (label, value) of falling precedence."""
     rows = levels[0].withColumns({"source": F.lit(0)})

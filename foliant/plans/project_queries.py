@@ -338,3 +338,39 @@ def decks(spark, d):
     rows = writers.deck_rows(cards(spark, d), dimension(spark, d)).filter(F.startswith("deck", F.lit("Docs ")) & (F.length("deck") == 6))
     key = F.concat(F.lit("collection_"), F.substring("deck", 6, 1), F.lit("_docs"))
     return rows.groupBy(key.alias("collection"), "deck").agg(F.count("*").alias("notes"), F.min(F.col("guid").cast("long")).alias("first"))
+
+
+@query("SELECT user_id AS model, event_type AS page, CAST(count_if(value > 50) AS BIGINT) AS hits, count(*) AS total, array_to_string(list_sort(list(event_id) FILTER (value <= 50 OR value IS NULL)), ',') AS missed FROM events GROUP BY ALL")
+def missed_values(spark, d):
+    hits = table(spark, d, "events").select(F.col("user_id").alias("model"), F.col("event_type").alias("page"), F.col("event_id").alias("label"), (F.col("value") > 50).alias("hit"))
+    return runs.missed_values(hits).withColumn("missed", F.nullif(F.array_join(F.transform("missed", lambda x: x.cast("string")), ","), F.lit("")))
+
+
+@query("WITH p AS (SELECT event_type AS judge, user_id AS pair, count(DISTINCT value > 50) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT judge, CAST(count_if(n > 1) AS BIGINT) AS differing, count(*) AS pairs FROM p GROUP BY 1")
+def differing_picks(spark, d):
+    ev = table(spark, d, "events")
+    return runs.differing(ev.select(F.col("event_type").alias("judge"), F.col("user_id").alias("pair"), (F.col("value") > 50).alias("picked"), (F.col("event_id") % 3 != 0).alias("ok")))
+
+
+@query("SELECT CAST(pass AS INTEGER) AS pass, CAST(doc_id AS BIGINT) AS cluster, CAST(doc_id AS BIGINT) AS a, CAST(doc_id + 1 AS BIGINT) AS b FROM documents, (SELECT unnest([1, 2, 3]) AS pass) WHERE doc_id % 2 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)")
+def shown_orders(spark, d):
+    """Each pass names pairs by the places it was shown; read back, every pass names the same rows."""
+    docs = table(spark, d, "documents").select("doc_id")
+    orders = cluster.permuted(docs, 3, 5, "doc_id")
+    pairs = orders.groupBy("pass", F.floor(F.col("original") / 2).alias("k")).agg(F.collect_list(F.col("shown").cast("long")).alias("members"), F.min("original").cast("long").alias("cluster"))
+    back = cluster.original_members(pairs.unionByName(pairs.limit(1).withColumns({"members": F.array(F.lit(-5).cast("long")), "cluster": F.lit(-1).cast("long")})), orders)
+    return back.select("pass", "cluster", F.element_at("members", 1).cast("long").alias("a"), F.element_at("members", 2).cast("long").alias("b"))
+
+
+@query("""SELECT p_partkey, p_size % 3 = 0 AS off, CAST(CASE WHEN p_size % 4 = 0 THEN 6 ELSE least(greatest(p_size - 10, 1), 20) END AS INTEGER) AS threads, (p_size % 5 = 0 OR p_size <= 10 OR p_size % 7 = 0) AS may_replace,
+  CASE WHEN p_size % 5 = 1 THEN 'json' END IS NOT NULL AS same_json FROM part""")
+def gates_and_flags(spark, d):
+    p, n = table(spark, d, "part"), F.col("p_size")
+    said = F.when(n % 3 == 0, F.element_at(F.array(F.lit("1"), F.lit(" true "), F.lit("True")), F.col("p_partkey") % 3 + 1).cast("string")).otherwise("no")
+    threads = F.when(n % 4 == 0, "many").otherwise(F.concat(F.lit(" "), (n - 10).cast("string")))
+    size = F.when(n % 5 != 0, n)
+    files = p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("filename"), "p_partkey", n.alias("n"))
+    a = files.select("filename", F.lit('{"a": 1, "b": [1, 2]}').alias("content"))
+    b = files.select("filename", F.when(F.col("n") % 5 == 1, '{ "b":[1,2],\r\n"a":1}').otherwise('{"b":[2,1],"a":1}').alias("content"))
+    same = audit.compare_files(a, b).select(F.substring_index("filename", ".", 1).cast("long").alias("p_partkey"), (F.col("status") == "same").alias("same_json"))
+    return p.select("p_partkey", T.flag(said).alias("off"), T.clamped(threads, 6, 1, 20).alias("threads"), writers.may_replace(size, n % 7 == 0, 10).alias("may_replace")).join(same, "p_partkey")

@@ -114,6 +114,31 @@ def reply_assembly(spark, d):
     return out.withColumn("text", F.md5("text"))
 
 
+@query("""WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS request_id, turn, role, conv_id FROM conversations),
+  x AS (SELECT *, min(CASE WHEN conv_id % 3 = 0 AND turn = 4 THEN turn WHEN conv_id % 7 = 1 AND turn = 2 THEN turn END) OVER (PARTITION BY request_id) AS stop FROM e),
+  g AS (SELECT request_id, conv_id, max(stop) AS stop, max(CASE WHEN stop IS NOT NULL AND turn = stop THEN CASE WHEN conv_id % 7 = 1 AND turn = 2 THEN 'error' ELSE 'done' END END) AS ends,
+    string_agg(role, '' ORDER BY turn) FILTER (turn % 4 <> 3 AND (stop IS NULL OR turn < stop)) AS text, min(turn) FILTER (turn % 4 <> 3 AND (stop IS NULL OR turn < stop)) AS first_turn,
+    max(turn) FILTER (turn % 4 <> 3 AND (stop IS NULL OR turn < stop)) AS last_turn FROM x GROUP BY ALL)
+  SELECT request_id, CASE ends WHEN 'error' THEN 'error' WHEN 'done' THEN 'ok' ELSE 'incomplete' END AS status, CASE WHEN ends = 'done' THEN text END AS text, 'id' || first_turn AS id, CASE WHEN first_turn IS NOT NULL THEN 'm' END AS model,
+    CAST(last_turn * 10 AS BIGINT) AS prompt_tokens, CASE WHEN ends = 'error' THEN 503 END AS code FROM g""")
+def sse_replies(spark, d):
+    """Raw lines: a chunk a turn, every fourth one broken; some streams end with [DONE], some with an error, and what follows doesn't count."""
+    c = table(spark, d, "conversations")
+    turn = F.col("turn").cast("string")
+    chunk = F.concat(F.lit('data: {"id": "id'), turn, F.lit('", "model": "m", "choices": [{"delta": {"content": "'), F.col("role"), F.lit('"}}], "usage": {"prompt_tokens": '), (F.col("turn") * 10).cast("string"), F.lit("}}"))
+    line = (
+        F.when((F.col("conv_id") % 7 == 1) & (F.col("turn") == 2), 'data: {"error": {"code": 503, "message": "busy"}}')
+        .when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 4), "data: [DONE]")
+        .when(F.col("turn") % 4 == 3, "data: {broken")
+        .otherwise(chunk)
+    )
+    rows = c.select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), F.timestamp_seconds("turn").alias("ts"), line.alias("line"))
+    other = rows.filter("seq % 2 = 0").select("request_id", (F.col("seq") * 10 + 5).alias("seq"), "ts", F.when(F.col("seq") % 4 == 0, ": keep-alive").otherwise("event: x").alias("line"))
+    events = replies.sse_events(rows.withColumn("seq", F.col("seq") * 10).unionByName(other))
+    out = replies.with_details(events, replies.assemble(events))
+    return out.select("request_id", "status", "text", "id", "model", "usage.prompt_tokens", "code")
+
+
 @query("""WITH g AS (SELECT event_type AS judge, CAST(count_if(value > 50) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1), x AS (SELECT *, k / n AS p, 1 + 1.96 * 1.96 / n AS d FROM g)
   SELECT judge, k, n, round(greatest(0, (p + 1.96 * 1.96 / (2 * n)) / d - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / d), 6) AS low, round(least(1, (p + 1.96 * 1.96 / (2 * n)) / d + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / d), 6) AS high FROM x""")
 def wilson_rates(spark, d):

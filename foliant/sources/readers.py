@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,13 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg}")
     return files.select(F.element_at(parts, -2).alias("doc"), F.element_at(parts, -1).alias("image"), page_number(F.element_at(parts, -1)).alias("page_no"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
 
 
+def usable_image(content: Column) -> Column:
+    """Whether bytes begin as PNG or JPEG images do, and a JPEG ends as one; empty and cut-off files don't."""
+    png = F.startswith(content, F.unhex(F.lit("89504E470D0A1A0A"))) & F.endswith(content, F.unhex(F.lit("49454E44AE426082")))
+    jpeg = F.startswith(content, F.unhex(F.lit("FFD8FF"))) & F.endswith(content, F.unhex(F.lit("FFD9")))
+    return F.coalesce(png | jpeg, F.lit(False))
+
+
 def find_documents(files: DataFrame, suffix: str = ".pdf", ignore: tuple[str, ...] = DERIVED) -> DataFrame:
     """path rows that end with the suffix, outside derived folders, in order."""
     from ..functions.text import any_of

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -72,6 +72,11 @@ def template(cards: DataFrame) -> DataFrame:
     return rows.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list("b"))).alias("subcategories_reference"), F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("a.collection", F.to_json("a.m").alias("m")))), lambda s: F.struct(s.collection, s.m))).alias("generated_cards"))).alias("json"))
 
 
+def may_replace(size: Column, force: Column, most: int) -> Column:
+    """Whether a file may be written over: there is none, it is as good as empty, or it is asked for."""
+    return F.coalesce(size <= most, F.lit(True)) | F.coalesce(force, F.lit(False))
+
+
 def worth_logging(observations: DataFrame, least: int = 5) -> DataFrame:
     """Observations of few new pages say little, unless the run was paused."""
     return observations.filter((F.col("pages_completed") >= least) | F.coalesce("paused", F.lit(False)))

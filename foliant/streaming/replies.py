@@ -46,6 +46,43 @@ def assemble(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return one.select("request_id", F.when(status == "ok", F.col("text")).alias("text"), F.when(status == "ok", F.when(F.col("end") == "cap", "length").otherwise(F.col("reason"))).alias("finish_reason"), status.alias("status"))
 
 
+_CHUNK = """struct<id:string, model:string, error:variant, choices:array<struct<delta:struct<content:string>, finish_reason:string>>,
+  usage:struct<prompt_tokens:bigint, completion_tokens:bigint, cost:double>>"""
+
+
+def sse_events(lines: DataFrame) -> DataFrame:
+    """Raw lines of event streams (request_id, seq, ts, line) as events, with what each says of id, model, usage and an error's code.
+
+    Comments and blank lines are comments; lines of other fields and data that can't be read are skipped, but one that says `[DONE]` ends the stream.
+    """
+    data = F.trim(F.substring("line", 6, 1 << 30))
+    is_data = F.startswith("line", F.lit("data:"))
+    event = F.from_json(F.when(is_data, data), _CHUNK)
+    readable = F.startswith(F.schema_of_variant(F.try_parse_json(F.when(is_data, data))), F.lit("OBJECT"))
+    rows = lines.withColumns({"event": F.when(readable, event), "data": F.when(is_data, data)})
+    comment = (F.trim("line") == "") | F.startswith("line", F.lit(":"))
+    failed = F.col("event.error").isNotNull() & ~F.is_variant_null("event.error")
+    kind = F.when(comment, "comment").when(F.col("data") == "[DONE]", "done").when(failed, "error").when(F.col("event").isNotNull(), "data")
+    first = F.try_element_at("event.choices", F.lit(1))
+    code = F.try_variant_get("event.error", "$.code", "int")
+    out = rows.select("request_id", "seq", "ts", kind.alias("kind"), first["delta"]["content"].alias("delta"), F.nullif(first["finish_reason"], F.lit("")).alias("finish_reason"), "event.id", "event.model", "event.usage", code.alias("code"))
+    return out.filter("kind is not null")
+
+
+def with_details(events: DataFrame, replies: DataFrame) -> DataFrame:
+    """replies with id and model (of the first data event), usage (the last one told) and code (of the error), from events up to the terminal one."""
+    before = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.max(F.col("kind").isin("done", "error")).over(before)
+    live = events.withColumn("over", F.coalesce(ended, F.lit(False))).filter("not over")
+    said = F.when(F.col("kind") == "data", F.col("seq"))
+    told = live.groupBy("request_id").agg(
+        F.min_by(F.struct("id", "model"), said).alias("first"),
+        F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq"))).alias("usage"),
+        F.max(F.when(F.col("kind") == "error", F.col("code"))).alias("code"),
+    )
+    return replies.join(told, "request_id", "left").select(*replies.columns, "first.id", "first.model", "usage", "code")
+
+
 def _step(state: dict, seq: int, at: float, kind: str, delta: str | None, reason: str | None, limits: Limits) -> str | None:
     """Takes one event into the state; what ended the request, if it did."""
     if state["begin"] is None:
