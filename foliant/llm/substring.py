@@ -258,7 +258,7 @@ def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column)
     seen = store(_twice(keyed.select("row", "text").mapInArrow(tidied(_cut_segments(window)), _SEGMENT)))
     distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place", "length")).alias("one"))
     kinds = seen.groupBy("key", "content").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("n"))
-    large = store(kinds.filter(F.col("n") > KEY_SEGMENTS).select("key"))
+    large = kinds.filter(F.col("n") > KEY_SEGMENTS).select("key")
 
     def of_texts(lists: DataFrame) -> DataFrame:
         # with `rest`, which isn't needed: so the texts are dealt once for all the joins
