@@ -265,6 +265,21 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 6) -
     return dealt.repartition("layout", "key").sortWithinPartitions("layout", "key").mapInArrow(tidied(join), "fp bigint, to bigint").distinct()
 
 
+#: Links of a node beyond which it is a hub, at least. Of n links so many go to it as bound the number of hubs.
+_HUB, _HUBS = 256, 10_000
+
+
+def _to_least(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with m, the least that u is linked with (low: u, m, n). Hubs, of which there are 2 * _HUBS at most, are broadcast, so that no task gets all the links of one."""
+    if n > _HUB:
+        hubs = cut(low.filter(F.col("n") > max(_HUB, n // _HUBS)).select("u", "m"))
+        if not hubs.isEmpty():
+            known = F.broadcast(hubs)
+            rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+            return edges.join(known, "u").unionByName(rest.join(low.select("u", "m"), "u"))
+    return edges.join(low.select("u", "m"), "u")
+
+
 def components(links: DataFrame, a: str = "fp", b: str = "to") -> DataFrame:
     """links to (node, root): the smallest node that each is linked with. Nodes without links are left out.
 
@@ -272,11 +287,11 @@ def components(links: DataFrame, a: str = "fp", b: str = "to") -> DataFrame:
     smallest label of its group's aggregate, and rounds grow with the logarithm of the longest chain.
     """
     edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    seen = None
+    seen, n = None, edges.count()
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _to_least(both.filter("v > u"), low, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionAll(low.select("u", F.col("m").alias("v")))
@@ -284,7 +299,7 @@ def components(links: DataFrame, a: str = "fp", b: str = "to") -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        seen = tuple(state)
+        seen, n = tuple(state), state[0]
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, max_bits: int = 4, blocks: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
