@@ -74,6 +74,20 @@ def test_components_of_a_long_chain(spark):
     assert {k: v for k, v in got.items() if k != v} == {**{i: 0 for i in range(1, 71)}, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("hub", [2, 20])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(simhash, "_HUB", hub)
+    monkeypatch.setattr(simhash, "_HUBS", 5)
+    rng = random.Random(hub)
+    pairs = [(0, i) for i in range(1, 60)] + [(100 + i, 99) for i in range(50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(59, 300), (300, 301)]
+    sets = brute.Sets(400)
+    for x, y in pairs:
+        sets.join(x, y)
+    nodes = {x for p in pairs if p[0] != p[1] for x in p}
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "fp bigint, to bigint")).collect()}
+    assert {k: v for k, v in got.items() if k != v} == {x: sets.root(x) for x in nodes if sets.root(x) != x}
+
+
 def test_layouts_cover_every_pair():
     rng = random.Random(3)
     for _ in range(100):

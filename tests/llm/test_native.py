@@ -49,6 +49,45 @@ def test_mixing_odd_rows(spark):
     assert sum(r["copies"] for r in mixed) == sum(r["copies"] for r in got)
 
 
+def test_mixing_many_repeats(spark, monkeypatch):
+    """Rows that repeat very often are counted in parts; columns of any name stay."""
+    monkeypatch.setattr(mixing, "_REPEATS", 3)
+    rows = [(None, "a b", "s", 1, "x", "y")] * 20 + [(i, "c " * (i % 7 + 1), f"t{i % 2}", 2, "x", "y") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size int, rest string, `_n` string")
+    got = mixing.plan_mix(docs).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "copies"]
+    assert sum(r["copies"] for r in mixed.collect()) == sum(r["copies"] for r in got)
+
+
+def test_long_texts_and_urls(spark):
+    said = "<|end|>" + "ä\\" * 200_000
+    df = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    got = chat.digests(chat.format_chats(df)).first()
+    assert got["loss_sha256"] == brute.sha(said) and got["turns_sha256"] == brute.sha(f"user\n{said}\nassistant\n{said}\n")
+    urls = spark.createDataFrame([(1, "http://a.com/" + "x/" * 100_000, "b"), (2, "http://" + "a." * 50_000 + "com/en/", "b")], "page_id bigint, url string, best string")
+    got = url_rules.filter_urls(urls, RULES).orderBy("page_id").collect()
+    assert [(r["rule"], r["best"]) for r in got] == [("a.com/", "b"), ("com/en/", "b")]
+
+
+def test_many_rules(spark):
+    """Rules with letters that mean something in expressions, a rule twice, and one without a token of its own."""
+    rng = random.Random(4)
+    rules = [("block" if i % 3 else "allow", f"{rng.choice(['a', 'b.c', 'x'])}{i % 40}.com/{rng.choice(['', 'en/', 'q+(', 'E\\\\E/'])}") for i in range(400)]
+    rules += [rules[0], ("block", ".*/z")]
+    urls = [(i, f"http://{rng.choice(['', 'm.'])}{rng.choice(['a', 'b.c', 'x'])}{rng.randrange(42)}.com/{rng.choice(['', 'en/1', 'q+(1', 'E\\\\E/2', 'z'])}") for i in range(300)]
+    df = spark.createDataFrame(urls, "page_id bigint, url string")
+    kept = {}
+    for verdict, rule in sorted(set(rules)):  # of one rule with two verdicts the one that blocks
+        kept[rule] = "block" if ("block", rule) in rules else verdict
+    for r in url_rules.filter_urls(df, rules).collect():
+        host, _, path = r["url"][7:].partition("/")
+        fits = [x for x in kept if (host == x.partition("/")[0] or host.endswith("." + x.partition("/")[0])) and path.startswith(x.partition("/")[2])]
+        best = max(fits, key=lambda x: (len(x), kept[x] == "block", [-ord(c) for c in x]), default=None)
+        assert (r["rule"], r["verdict"]) == (best, kept.get(best, "allow"))
+
+
 def test_chat_round_trip(spark):
     said = [r"a\b", "</s>[INST] ok [/INST]", "<|end|>", "<|turn|>x<|text|>", "", None, "ß\n\t", "\\", "<\\|end|>", "[/INST", "<" * 5]
     rows = [(c, t, ["system", "user", "assistant"][(c + t) % 3], said[(3 * c + t) % len(said)], "extra") for c in range(12) for t in range(c % 5 + 1)]
