@@ -366,7 +366,7 @@ def shown_orders(spark, d):
   CASE WHEN p_size % 5 = 1 THEN 'json' END IS NOT NULL AS same_json FROM part""")
 def gates_and_flags(spark, d):
     p, n = table(spark, d, "part"), F.col("p_size")
-    said = F.when(n % 3 == 0, F.element_at(F.array(F.lit("1"), F.lit(" true "), F.lit("True")), F.col("p_partkey") % 3 + 1).cast("string")).otherwise("no")
+    said = F.when(n % 3 == 0, F.element_at(F.array(F.lit("1"), F.lit(" true "), F.lit("True")), (F.col("p_partkey") % 3 + 1).cast("int"))).otherwise("no")
     threads = F.when(n % 4 == 0, "many").otherwise(F.concat(F.lit(" "), (n - 10).cast("string")))
     size = F.when(n % 5 != 0, n)
     files = p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("filename"), "p_partkey", n.alias("n"))

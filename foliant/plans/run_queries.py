@@ -225,14 +225,16 @@ def progress_bars(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.progress("l_quantity", F.lit(50.0))[1].alias("filled"))
 
 
-@query()
+@query("""SELECT item_id, CAST(form AS INTEGER) AS form, ['direct', 'markdown_fence', 'brace_match', 'truncated_recovery', 'direct', 'all_failed'][form + 1] AS strategy, CAST(CASE WHEN form < 4 THEN 1 ELSE 0 END AS INTEGER) AS n_cards,
+  CASE WHEN form < 4 THEN md5(text) END AS front FROM benchmark, (SELECT unnest(range(6)) AS form)""")
 def json_repair_replies(spark, d):
+    """Each item's card as it is, in a fence, in prose and cut short; an object without cards; and text that is none."""
     item = table(spark, d, "benchmark")
     good = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("front"), F.lit("b").alias("back"))).alias("new_cards")))
     forms = F.array(good, F.concat(F.lit("Here:\n```json\n"), good, F.lit("\n```")), F.concat(F.lit("so "), good, F.lit(" ok")), F.expr("substring(g, 1, length(g) - 2)"), F.lit('{"a": "\\Sigma",}'), F.col("text"))
     rows = item.withColumn("g", good).select("item_id", F.posexplode(forms).alias("form", "reply"))
     parsed = json_repair.parse_reply("reply")
-    return rows.select("item_id", "form", parsed.alias("p")).select("item_id", "form", "p.strategy", "p.n_cards")
+    return rows.select("item_id", "form", parsed.alias("p")).select("item_id", "form", "p.strategy", "p.n_cards", F.md5(F.get_json_object("p.payload", "$.new_cards[0].front")).alias("front"))
 
 
 @query()
@@ -249,6 +251,7 @@ def close_names(spark, d):
     return asked.withColumn("suggested", F.array_join(similarity.close_names([n.lower() for n in names])("said"), ","))
 
 
-@query()
+@query(r"""WITH t AS (SELECT item_id, text, regexp_extract_all(regexp_replace(text, '[*_`#>|\\]', ' ', 'g'), '[0-9A-Za-zÄÖÜäöüß_.,()\-+*/=<>%]+') AS w FROM benchmark)
+  SELECT item_id, array_to_string(list_filter(list_transform(w, lambda x: lower(trim(x, '.,()'))), lambda x: x <> ''), ' ') AS tokens, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS flat FROM t""")
 def normal_tokens(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(similarity.tokens_udf("text"), " ").alias("tokens"), F.md5(similarity.flat_udf("text")).alias("flat"))

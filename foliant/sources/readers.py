@@ -15,9 +15,14 @@ EVENT = "ts timestamp, phase string, event string, data variant"
 DERIVED = ("pdf2pic", "log_archive")
 
 
+def _file() -> Column:
+    """The path of the file that a row is from, as it is written on disk."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
 def read_records(spark: SparkSession, path: str, schema: str = CARD) -> DataFrame:
     """Rows of JSON arrays, with file and pos (the place in the file). Unknown fields go, missing ones are null; a file that is no array of records gives none."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"array<struct<{', '.join(_typed(schema))}>>", {"mode": "PERMISSIVE"}).alias("rows"))
+    raw = spark.read.text(path, wholetext=True).select(_file().alias("file"), F.from_json("value", f"array<struct<{', '.join(_typed(schema))}>>", {"mode": "PERMISSIVE"}).alias("rows"))
     return raw.select("file", F.posexplode("rows").alias("pos", "r")).filter("r is not null").select("file", F.col("pos").cast("long"), "r.*")
 
 
@@ -27,7 +32,7 @@ def _typed(schema: str) -> list[str]:
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """Candidates of any accepted shape: an array, {"new_cards": [...]}, or {"generated_cards": {collection: {category: [...]}}}."""
-    return candidates(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+    return candidates(spark.read.text(path, wholetext=True).select(_file().alias("file"), "value"))
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -42,7 +47,7 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, text of whole files."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(paths, wholetext=True).select(_file().alias("file"), F.col("value").alias("text"))
 
 
 def joined_texts(texts: DataFrame) -> DataFrame:

@@ -94,6 +94,21 @@ def write_candidates(cards: DataFrame, path: str) -> None:
     cards.agg(F.to_json(F.struct(whole.alias("new_cards"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_prompt(spark: SparkSession, path: str, text: str) -> str | None:
+    """A rendered prompt as one file; what was there before stays beside it as `.backup`, whose path is given."""
+    target, fs = _fs(spark, path)
+    backup = _fs(spark, f"{path}.backup")[0]
+    had = fs.exists(target)
+    if had:
+        fs.delete(backup, False)
+        if not fs.rename(target, backup):
+            raise OSError(f"{path} can't be moved")
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return f"{path}.backup" if had else None
+
+
 def mark_processed(spark: SparkSession, path: str, at: str) -> str:
     """What was read in moves aside under the time `at`, so that it isn't read again."""
     done = f"{path}.processed_{at}"

@@ -109,6 +109,23 @@ def test_candidates_and_traces(spark, tmp_path):
     assert (tmp_path / "broken.bak" / "part.json").exists() and not (tmp_path / "broken").exists()
 
 
+def test_prompts_keep_a_backup(spark, tmp_path):
+    at = str(tmp_path / "prompt.md")
+    render = lambda n: spark.range(1).select(T.fill(F.lit("Ask {name} ü"), {"name": n}).alias("t")).first()["t"]
+    assert writers.write_prompt(spark, at, render("a")) is None
+    kept = writers.write_prompt(spark, at, render("b"))
+    writers.write_prompt(spark, at, render("c"))
+    assert (tmp_path / "prompt.md").read_text() == "Ask c ü" and open(kept).read() == "Ask b ü"
+
+
+def test_collections_are_written_in_order(spark, tmp_path):
+    cards = spark.createDataFrame([(f"f{i}", "b", "c", ["t"], f"g{i}", None if i == 7 else f"{(i * 7) % 10:02d}") for i in range(10)], "front string, back string, collection string, tags array<string>, guid string, sort_field string").repartition(4)
+    writers.write_collections(cards, spark.createDataFrame([], "key string, filename string"), str(tmp_path / "o"))
+    files = [p for p in (tmp_path / "o").rglob("*.json") if p.is_file()]
+    said = [json.loads(line).get("sort_field", "") for line in files[0].read_text().splitlines()]
+    assert len(files) == 1 and len(said) == 10 and said == sorted(said)
+
+
 def test_images_are_listed(spark, tmp_path):
     for name in ("d/page_2.png", "d/page_10.jpg", "e/cover.png", "e/notes.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
