@@ -151,6 +151,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([_i64(key[a:b]), _i64(content[a:b]), _i64(copies[a:b]), _words(hashes, first[a:b], size[a:b])], ["key", "content", "copies", "words"])
 
 
+#: Tasks that the segments of a large key are dealt to where they are told from the others.
+_PARTS = 16
 #: Words that are fetched into one batch, about.
 _FETCHED = 1 << 19
 
@@ -259,6 +261,9 @@ def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column)
     distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place", "length")).alias("one"))
     kinds = seen.groupBy("key", "content").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("n"))
     large = kinds.filter(F.col("n") > KEY_SEGMENTS).select("key")
+    # the segments of a large key are many: they meet it in several tasks
+    distinct = distinct.withColumn("part", F.pmod(F.hash("content"), F.lit(_PARTS)))
+    dealt = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
 
     def of_texts(lists: DataFrame) -> DataFrame:
         # with `rest`, which isn't needed: so the texts are dealt once for all the joins
@@ -267,8 +272,8 @@ def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column)
     if large.isEmpty():
         found = _searched(of_texts(_lists(distinct)).mapInArrow(tidied(_fetch), _WORDS), window)
     else:
-        found = _searched(of_texts(_lists(distinct.join(large, "key", "left_anti"))).mapInArrow(tidied(_fetch), _WORDS), window)
-        pieces = of_texts(_lists(distinct.join(large, "key", "left_semi"))).mapInArrow(tidied(_windows_of(window)), _WORDS + ", of_key bigint, of_content bigint, at bigint")
+        found = _searched(of_texts(_lists(distinct.join(dealt, ["key", "part"], "left_anti"))).mapInArrow(tidied(_fetch), _WORDS), window)
+        pieces = of_texts(_lists(distinct.join(dealt, ["key", "part"], "left_semi"))).mapInArrow(tidied(_windows_of(window)), _WORDS + ", of_key bigint, of_content bigint, at bigint")
         kinds = pieces.groupBy("key", "content").agg(F.sum("copies").alias("copies"), F.first("words").alias("words")).filter("copies > 1")
         hits = pieces.select("key", "content", "of_key", "of_content", "at").join(_searched(kinds, window), ["key", "content"])
         spans = hits.groupBy(F.col("of_key").alias("key"), F.col("of_content").alias("content")).agg(_merged(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")))).alias("spans"))
