@@ -73,7 +73,6 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, doc_id: str =
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, fp bigint")
 
 
-@functools.cache
 def _layout(path: tuple[int, ...], blocks: int, max_bits: int) -> tuple[tuple[int, ...], int]:
     """For choices of blocks that may agree, one after the other: the order of bits (from the top), chosen blocks first, and how many bits those have."""
     order, known = list(range(64)), 0
