@@ -28,3 +28,14 @@ def scratch(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         cut(spark.range(1))
     return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Each name, or the first variant of it that no column has, as Spark compares names."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
