@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_layout, mixing, quality, simhash, substring, topk, toxicity, url_rules
+from . import chat, decontaminate, html_layout, mixing, quality, simhash, substring, topk, toxicity, url_rules, whitening
 from .common import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -58,7 +58,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_quality, op4_html_text, op5_url_filter, op6_toxicity, op7_top_k, op8_substring_dedup, op9_simhash, op10_decontaminate)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    if model is None:
+        return spark.createDataFrame([], "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double")
+    share = F.array(*(F.lit(float(e / model.trace) if model.trace else 0.0) for e in model.values[:8]))
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.element_at(share, F.col("at") + 1).alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_quality, op4_html_text, op5_url_filter, op6_toxicity, op7_top_k, op8_substring_dedup, op9_simhash, op10_decontaminate, op11_whitening)}
 
 _OP2 = r"""
 WITH turns AS (
