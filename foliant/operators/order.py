@@ -22,10 +22,13 @@ class Laid:
         self.rows, self.part, self.at, self.columns = rows, part, at, columns
 
 
-def lay(df: DataFrame, *order: Column | str, keep: Callable[[DataFrame], DataFrame] = cut) -> Laid:
-    """df in the order given, in ranges. A value of the order that very many rows share is one range, unless further columns of the order tell its rows apart. `keep` writes a table and reads it back."""
+def lay(df: DataFrame, *order: Column | str, within: tuple[Column | str, ...] = (), keep: Callable[[DataFrame], DataFrame] = cut) -> Laid:
+    """df in the order given, in ranges. A value of the order that very many rows share is one range, unless further columns of the order tell its rows apart.
+
+    `within` is the order inside a range, if it isn't the same: it must agree with `order` and may be finer, so that long values need not be sampled. `keep` writes a table and reads it back.
+    """
     part, at = fresh(df.columns, "part", "at")
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*(within or order))
     place = F.monotonically_increasing_id()  # its upper bits number the task, the lower 33 the row there
     return Laid(keep(ranged.select("*", F.shiftright(place, 33).alias(part), place.bitwiseAND(F.lit((1 << 33) - 1)).alias(at))), part, at, df.columns)
 
