@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_layout, mixing, quality, simhash, substring, topk, toxicity, url_rules, whitening
+from . import chat, decontaminate, html_layout, mixing, prefix_trie, quality, simhash, substring, topk, toxicity, url_rules, whitening
 from .common import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -76,7 +76,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_quality, op4_html_text, op5_url_filter, op6_toxicity, op7_top_k, op8_substring_dedup, op9_simhash, op10_decontaminate, op11_whitening)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.grafted(turns), turns.filter("place = 0").select("conv_id"), ("own", "place"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_quality, op4_html_text, op5_url_filter, op6_toxicity, op7_top_k, op8_substring_dedup, op9_simhash, op10_decontaminate, op11_whitening, op13_prefix_trie)}
 
 _OP2 = r"""
 WITH turns AS (
@@ -138,4 +143,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
 FROM d LEFT JOIN marked USING (r)
 """
 
-ORACLE_SQL = {"op2_chat": _OP2, "op5_url_filter": _OP5, "op7_top_k": _OP7, "op8_substring_dedup": _OP8}
+_OP13 = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, list_reduce([4294967295] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ord(x), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(CAST(c AS BIGINT), CAST(x AS BIGINT)) WHEN c & 1 = 1 THEN xor(CAST(c AS BIGINT) >> 1, 3988292384) ELSE CAST(c AS BIGINT) >> 1 END) AS c
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+heads AS (SELECT conv_id, xor(c, 4294967295) % 6 AS h FROM convs),
+rebuilt AS (
+  SELECT heads.conv_id, 0 AS own, place, role, text FROM heads JOIN turns ON turns.conv_id = heads.conv_id - heads.conv_id % 100 AND place < h
+  UNION ALL SELECT conv_id, 1, place, role, text FROM turns JOIN heads USING (conv_id) WHERE place >= h),
+deep AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth, role, text FROM rebuilt),
+prefixes AS (
+  SELECT conv_id, depth, length(text) AS chars, sha256(string_agg(sha256(role) || sha256(text), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM deep
+  UNION ALL SELECT conv_id, 0, 0, '' FROM heads),
+nodes AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM prefixes GROUP BY depth, k),
+way AS (SELECT p.conv_id AS m, n.* FROM prefixes p JOIN nodes n USING (depth, k)),
+tree AS (
+  SELECT c.*, p.conv_id AS parent FROM nodes c LEFT JOIN way p ON p.m = c.conv_id AND p.depth = c.depth - 1),
+kids AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM tree WHERE depth > 0 GROUP BY 1, 2),
+own AS (SELECT t.*, coalesce(n_children, 0) AS n_children FROM tree t LEFT JOIN kids USING (conv_id, depth)),
+sums AS (
+  SELECT up.conv_id, up.depth, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n - 1) * o.chars) AS saved
+  FROM own o JOIN way up ON up.m = o.conv_id AND up.depth <= o.depth GROUP BY 1, 2),
+last AS (SELECT conv_id AS m, max(depth) AS depth FROM prefixes GROUP BY 1),
+ends AS (
+  SELECT way.conv_id, way.depth, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY m)) AS ends_sha256 FROM last JOIN way USING (m, depth) GROUP BY 1, 2)
+SELECT conv_id, depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM own JOIN sums USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)
+"""
+
+ORACLE_SQL = {"op2_chat": _OP2, "op5_url_filter": _OP5, "op7_top_k": _OP7, "op8_substring_dedup": _OP8, "op13_prefix_trie": _OP13}
