@@ -115,6 +115,23 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return found
 
 
+#: Keys of so many rows look up by broadcast; of n rows those of more than n / _HUBS, of which there are fewer than _HUBS.
+_HUB, _HUBS = 256, 10_000
+
+
+def look_up(rows: DataFrame, known: DataFrame, on: list[str], many: str) -> DataFrame:
+    """rows joined with the one row of `known` that agrees in `on`, where there is one. `many` is a column of `known`: how many rows it meets, about. Keys of very many rows are broadcast, so that none of them is one task's."""
+    n = known.agg(F.sum(many)).first()[0] or 0
+    if n <= _HUB:
+        return rows.join(known, on)
+    hub = F.col(many) > max(_HUB, n // _HUBS)
+    hubs = store(known.filter(hub))
+    if hubs.isEmpty():
+        return rows.join(known, on)
+    few = rows.join(F.broadcast(hubs.select(*on)), on, "left_anti").join(known.filter(~hub), on)
+    return few.unionByName(rows.join(F.broadcast(hubs), on))
+
+
 def text_blocks(ids: list[pa.Array], text: pa.Array) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
     """Slices a batch to about BLOCK_BYTES: (id columns, bytes, offsets); a null text has no bytes."""
     if isinstance(text, pa.ChunkedArray):

@@ -77,26 +77,38 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(h, cls) rows in order to (h, cls, classes that hold h), each once, for h of two classes or more."""
-    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """(h, cls) rows in order to (h, cls, classes that hold h), each once, for h of two classes or more. What is held is the classes of one h."""
+    now, parts = 0, []  # an h whose classes may go on in the next batch
 
-    def runs(h: np.ndarray, c: np.ndarray):
-        size = np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)))
-        df = np.repeat(size, size)
-        return h[df > 1], c[df > 1], df[df > 1]
+    def held() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        n = sum(map(len, parts))
+        if n > 1:
+            for c in parts:
+                yield np.full(len(c), now), c, np.full(len(c), n)
 
     for batch in batches:
-        h, c = (np.concatenate((old, x.to_numpy(zero_copy_only=False))) for old, x in zip(held, batch.columns))
+        h, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
         if not len(h):
             continue
         new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+        new[0] = not (parts and h[0] == now and c[0] == parts[-1][-1])
         h, c = h[new], c[new]
-        last = int(np.flatnonzero(np.append(True, h[1:] != h[:-1]))[-1])
-        held = (h[last:], c[last:])
-        if last:
-            yield runs(h[:last], c[:last])
-    if len(held[0]):
-        yield runs(*held)
+        if not len(h):
+            continue
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        if h[0] != now or not parts:
+            yield from held()
+            now, parts = h[0], []
+        parts.append(c[: first[1]] if len(first) > 1 else c)
+        if len(first) > 1:
+            yield from held()
+            size = np.diff(first)[1:]
+            df = np.repeat(size, size)
+            mid, more = slice(first[1], first[-1]), df > 1
+            if more.any():
+                yield h[mid][more], c[mid][more], df[more]
+            now, parts = h[first[-1]], [c[first[-1] :]]
+    yield from held()
 
 
 def linked(h: np.ndarray, cuts: np.ndarray, similarity: float) -> np.ndarray:
@@ -141,44 +153,41 @@ def _sets_of(batch_text: pa.Array, ids: list[pa.Array], width: int):
         yield key, h, cuts
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Whole rows, one of each component of near copies: the one of the smallest id (null last), then of the smallest hash of its text; of rows equal in both, the one of the smallest hash of all columns.
-
-    Null, empty and wordless texts are one component. A text of fewer than `width` words is near to its equals only.
-    Other columns stay, whatever their names. An empty table gives an empty one.
-    """
-    who = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), row_key(doc_id, text).alias("row"))
-    keyed = docs.select(who.alias("doc_id"), F.col(text).alias("text"))
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, h, cuts in _sets_of(batch.column(1), [batch.column(0)], width):
-                yield pa.RecordBatch.from_arrays([ids, pa.array(set_keys(h, cuts).view(np.int64)), pa.array(np.diff(cuts))], ["doc_id", "fp", "size"])
+#: One of so many texts tells which shingles are frequent; only the work depends on it.
+_TAKEN = 16
 
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, h, cuts in _sets_of(batch.column(0), [batch.column(0)], width):
-                n = np.diff(cuts)
-                key, one = np.unique(set_keys(h, cuts), return_index=True)
-                take = np.where(n > 0, n - _common(n, similarity) + _spare(n), 0)[one]
-                at = np.repeat(cuts[:-1][one] - np.cumsum(take) + take, take) + np.arange(take.sum())
-                yield _batch(h=h[at], fp=np.repeat(key, take))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, _ in _shared(batches):
-            fp, n = np.unique(c, return_counts=True)
-            yield _batch(fp=fp, n=n)
+def shared(texts: DataFrame, shingles) -> DataFrame:
+    """h, fp, df: the shingles that `shingles` finds in texts (rows h, fp), each once a class, with the number of classes that hold it, for those of two classes or more.
 
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for fp, h, cuts in _sets_of(batch.column(1), [batch.column(0)], width):
-                yield _batch(h=h, fp=np.repeat(fp.to_numpy(zero_copy_only=False), np.diff(cuts)))
+    Classes of one shingle meet in one task. Shingles of more than about `GROUP` classes don't: they are counted where they are read, and so are a few beside the others.
+    """
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, c, df in _shared(batches):
             yield _batch(h=h, fp=c, df=df)
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(tidied(held), "h bigint, fp bigint, df bigint")
+
+    kind = "h bigint, fp bigint"
+    rows = texts.mapInArrow(shingles, kind)
+    taken = texts.filter(F.pmod(F.xxhash64("text"), F.lit(_TAKEN)) == 0).mapInArrow(shingles, kind)
+    hot = store(taken.groupBy("h").count().filter(F.col("count") > GROUP // _TAKEN).select("h"))
+    if hot.isEmpty():
+        return dealt(rows)
+    many = store(rows.join(hot, "h", "left_semi").distinct())
+    often = many.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    return dealt(rows.join(hot, "h", "left_anti")).unionByName(many.join(often, "h").select("h", "fp", "df"))
+
+
+def confirmed(texts: DataFrame, groups: DataFrame, sizes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """node, root: links that join what full sets join inside of candidate groups.
+
+    texts: fp, text, one row a class; groups: node, root, for all classes that a candidate links but roots; sizes: fp, size. Every pair of a group that is similar enough is
+    joined, if by others, whether it was a candidate or not.
+    """
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(fps: list[np.ndarray], hs: list[np.ndarray]) -> pa.RecordBatch:
             fp, one = np.unique(np.array(fps, np.int64), return_index=True)
@@ -203,21 +212,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, d
         if fps:
             yield group(fps, hs)
 
-    prints = store(keyed.mapInArrow(tidied(keys), f"doc_id {kind}, fp bigint, size bigint"))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"))
-    dealt = docs.select(F.col(text).alias("text")).mapInArrow(tidied(smallest), "h bigint, fp bigint").repartition("h").sortWithinPartitions("h", "fp")
-    counts = dealt.mapInArrow(tidied(count), "fp bigint, n bigint").groupBy("fp").agg(F.sum("n").alias("n"))
-    common = F.ceil(F.col("size") * F.lit(float(similarity)) - F.lit(1e-9))
-    left = store(least.join(counts, "fp").filter(F.col("n") >= F.floor(common / 10) + 1).select("fp", "size", "least"))
-    texts = store(keyed.join(left, (F.col("doc_id.row") == F.col("least.row")) & F.col("doc_id.id").eqNullSafe(F.col("least.id"))).select("fp", "text"))
-    often = texts.mapInArrow(tidied(all_of), "h bigint, fp bigint").repartition("h").sortWithinPartitions("h", "fp").mapInArrow(tidied(held), "h bigint, fp bigint, df bigint")
-    mine = Window.partitionBy("fp")
-    # shingles of one class alone are the rarest
-    ranked = often.withColumns({"_at": F.row_number().over(mine.orderBy("df", "h")), "_n": F.count("*").over(mine)}).join(left.select("fp", "size"), "fp")
-    rare = store(ranked.filter(F.col("size") - F.col("_n") + F.col("_at") <= F.col("size") - common + 1).select("h", "fp"))
-    to = rare.groupBy("h").agg(F.min("fp").alias("to"))
-    groups = components(rare.join(to, "h").filter("fp <> to").select("fp", "to"))
-    both = groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct().join(left.select(F.col("fp").alias("node"), "size"), "node")
+    both = groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct().join(sizes.select(F.col("fp").alias("node"), "size"), "node")
     parts = both.groupBy("root").agg(F.ceil(F.sum("size") / GROUP).alias("parts"))
     member = store(both.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))))
 
@@ -240,5 +235,51 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, d
         meet = [x.select("node", F.xxhash64("root", "part", "block").alias("g")) for x in (stay, visit)]
         links = tied.unionByName(walked(meet[0].unionByName(meet[1]).distinct()))
         tied = components(links, "node", "root")
+    return tied
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whole rows, one of each component of near copies: the one of the smallest id (null last), then of the smallest hash of its text; of rows equal in both, the one of the smallest hash of all columns.
+
+    Null, empty and wordless texts are one component. A text of fewer than `width` words is near to its equals only.
+    Other columns stay, whatever their names. An empty table gives an empty one.
+    """
+    who = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), row_key(doc_id, text).alias("row"))
+    keyed = docs.select(who.alias("doc_id"), F.col(text).alias("text"))
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, h, cuts in _sets_of(batch.column(1), [batch.column(0)], width):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(set_keys(h, cuts).view(np.int64)), pa.array(np.diff(cuts))], ["doc_id", "fp", "size"])
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, h, cuts in _sets_of(batch.column(0), [batch.column(0)], width):
+                n = np.diff(cuts)
+                key, one = np.unique(set_keys(h, cuts), return_index=True)
+                take = np.where(n > 0, n - _common(n, similarity) + _spare(n), 0)[one]
+                at = np.repeat(cuts[:-1][one] - np.cumsum(take) + take, take) + np.arange(take.sum())
+                yield _batch(h=h[at], fp=np.repeat(key, take))
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, h, cuts in _sets_of(batch.column(1), [batch.column(0)], width):
+                yield _batch(h=h, fp=np.repeat(fp.to_numpy(zero_copy_only=False), np.diff(cuts)))
+
+    prints = store(keyed.mapInArrow(tidied(keys), f"doc_id {kind}, fp bigint, size bigint"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"))
+    counts = shared(docs.select(F.col(text).alias("text")), tidied(smallest)).groupBy("fp").agg(F.count("*").alias("n"))
+    common = F.ceil(F.col("size") * F.lit(float(similarity)) - F.lit(1e-9))
+    left = store(least.join(counts, "fp").filter(F.col("n") >= F.floor(common / 10) + 1).select("fp", "size", "least"))
+    texts = store(keyed.join(left, (F.col("doc_id.row") == F.col("least.row")) & F.col("doc_id.id").eqNullSafe(F.col("least.id"))).select("fp", "text"))
+    often = shared(texts, tidied(all_of))
+    mine = Window.partitionBy("fp")
+    # shingles of one class alone are the rarest
+    ranked = often.withColumns({"_at": F.row_number().over(mine.orderBy("df", "h")), "_n": F.count("*").over(mine)}).join(left.select("fp", "size"), "fp")
+    rare = store(ranked.filter(F.col("size") - F.col("_n") + F.col("_at") <= F.col("size") - common + 1).select("h", "fp"))
+    to = rare.groupBy("h").agg(F.min("fp").alias("to"))
+    groups = components(rare.join(to, "h").filter("fp <> to").select("fp", "to"))
+    tied = confirmed(texts, groups, left.select("fp", "size"), width, similarity)
     named = least.join(tied, least["fp"] == tied["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     return keep_rows(docs, named.select("least.id", "least.row"), doc_id, text)

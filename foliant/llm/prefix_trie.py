@@ -22,14 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import Laid, lay, running
-from .common import store, tidied
+from .common import look_up, store, tidied
 
 NODES = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string"
 
-#: Of n rows the groups above max(_HUB, n / _HUBS) meet the one row they look up by broadcast: there are fewer than _HUBS of them.
-_HUB, _HUBS = 256, 10_000
-
-
 def ordered(chats: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, place (from 0), a, b, chars for each row: its place in its conversation, 128 bits of role and text, and the text's code points.
 
@@ -53,13 +49,6 @@ def grafted(turns: DataFrame, group: int = 100, choices: int = 6) -> DataFrame:
     return first.unionByName(turns.filter(F.col("place") >= h).select("conv_id", F.lit(1).alias("own"), "place", "a", "b", "chars"))
 
 
-def _looked_up(rows: DataFrame, nodes: DataFrame, on: list[str], n: int) -> DataFrame:
-    """rows with the one row of `nodes` that agrees in `on`; `nodes` has n_convs, the number of rows it meets, and those of very many, fewer than _HUBS, are broadcast."""
-    hubs = nodes.filter(F.col("n_convs") > max(_HUB, n // _HUBS))
-    few = rows.join(F.broadcast(hubs.select(*on)), on, "left_anti").join(nodes, on)
-    return few.unionByName(rows.join(F.broadcast(hubs), on))
-
-
 def trie(turns: DataFrame, convs: DataFrame, order: tuple[str, ...] = ("place",)) -> DataFrame:
     """The nodes of the prefix trie of `turns` (conv_id, a, b, chars and the columns of `order`), over all conversations of `convs` (conv_id, distinct): those without turns are members of the root.
 
@@ -78,7 +67,6 @@ def trie(turns: DataFrame, convs: DataFrame, order: tuple[str, ...] = ("place",)
     coded = Laid(store(coded), laid.part, laid.at, coded.columns)
     upto = running(coded, ["conv_id"], {"k1": ("xor", F.col("c1")), "k2": ("xor", F.col("c2"))}).rows
     rows = store(upto.select("conv_id", *key, F.col("k1").bitwiseXOR(F.col("c1")).alias("p1"), F.col("k2").bitwiseXOR(F.col("c2")).alias("p2"), "chars", laid.part, laid.at))
-    n_rows = rows.count()
 
     found = rows.groupBy(*key).agg(F.min("conv_id").alias("rep"), F.count("*").alias("n_convs"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("chars").alias("chars"))
     found = store(found)
@@ -89,7 +77,7 @@ def trie(turns: DataFrame, convs: DataFrame, order: tuple[str, ...] = ("place",)
     nodes = store(nodes)
 
     # every row learns its node's representative; along a conversation the last child that isn't heavy begins the path, and the row before is the parent
-    met = _looked_up(rows.select("conv_id", *key, laid.part, laid.at), nodes, key, n_rows).drop("k1", "k2")
+    met = look_up(rows.select("conv_id", *key, laid.part, laid.at), nodes, key, "n_convs").drop("k1", "k2")
     met = Laid(store(met), laid.part, laid.at, met.columns)
     begun = F.when(~F.col("heavy"), F.struct(F.col("depth").alias("d"), F.col("rep").alias("c")))
     of_path = running(met, ["conv_id"], {"head": ("last", begun), "up": ("last", F.col("rep"))}, before=("up",)).rows.filter("conv_id = rep")

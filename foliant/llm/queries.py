@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_layout, mixing, prefix_trie, quality, simhash, substring, topk, toxicity, url_rules, whitening
+from . import chat, chosen_path, decontaminate, html_layout, mixing, prefix_trie, quality, simhash, substring, topk, toxicity, url_rules, whitening
 from .common import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -76,12 +76,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered(table(spark, sf_dir, "conversations"))
     return prefix_trie.trie(prefix_trie.grafted(turns), turns.filter("place = 0").select("conv_id"), ("own", "place"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_quality, op4_html_text, op5_url_filter, op6_toxicity, op7_top_k, op8_substring_dedup, op9_simhash, op10_decontaminate, op11_whitening, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_quality, op4_html_text, op5_url_filter, op6_toxicity, op7_top_k, op8_substring_dedup, op9_simhash, op10_decontaminate, op11_whitening, op12_minhash, op13_prefix_trie)}
 
 _OP2 = r"""
 WITH turns AS (
@@ -143,6 +147,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
 FROM d LEFT JOIN marked USING (r)
 """
 
+_OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+kinds AS (SELECT min(r) AS k, s FROM (SELECT r, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+each AS (SELECT k, len(s) AS n, unnest(s) AS x FROM kinds),
+alike AS (SELECT a.k AS i, b.k AS j, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.k < b.k AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4 GROUP BY 1, 2),
+links AS (SELECT i, j FROM alike WHERE 100 * c >= 80 * (n + m - c)),
+ways AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+reached AS (SELECT k, k AS to_k FROM kinds UNION SELECT reached.k, ways.j FROM reached JOIN ways ON reached.to_k = ways.i),
+roots AS (SELECT k, min(to_k) AS root FROM reached GROUP BY k),
+class AS (SELECT r, doc_id, s, root FROM (SELECT r, doc_id, list_sort(s) AS s FROM sets) JOIN kinds USING (s) JOIN roots USING (k)),
+least AS (SELECT root, min(doc_id) AS component_id FROM class GROUP BY root)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM class JOIN least USING (root)
+UNION ALL SELECT doc_id, 0, doc_id, true FROM sets WHERE len(s) = 0
+"""
+
 _OP13 = r"""
 WITH turns AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -175,4 +197,4 @@ SELECT conv_id, depth, parent AS parent_conv_id, n AS n_convs, n_children, n_lea
 FROM own JOIN sums USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)
 """
 
-ORACLE_SQL = {"op2_chat": _OP2, "op5_url_filter": _OP5, "op7_top_k": _OP7, "op8_substring_dedup": _OP8, "op13_prefix_trie": _OP13}
+ORACLE_SQL = {"op2_chat": _OP2, "op5_url_filter": _OP5, "op7_top_k": _OP7, "op8_substring_dedup": _OP8, "op12_minhash": _OP12, "op13_prefix_trie": _OP13}
