@@ -35,9 +35,10 @@ def ordered(chats: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     rows = chats.filter(F.col(conv_id).isNotNull()).select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
     rows = rows.withColumns({"a": F.xxhash64(F.lit(1), "role", "text"), "b": F.xxhash64(F.lit(2), "role", "text"), "chars": F.length("text").cast("long")})
     begin = (F.substring("role", 1, 16), F.substring("text", 1, 16))  # sampled for the ranges; inside of them whole texts are compared
-    laid = lay(rows, "conv_id", "turn", *begin, within=("conv_id", "turn", "role", "text"), keep=lambda df: store(df.drop("turn", "role", "text")))
+    laid = lay(rows, "conv_id", "turn", *begin, within=("conv_id", "turn", "role", "text"), keep=store)
+    laid.rows = laid.rows.drop("turn", "role", "text")  # the order is told by part and at
     placed = running(laid, ["conv_id"], {"place": ("sum", F.lit(1).cast("long"))}).rows
-    return store(placed.select("conv_id", (F.col("place") - 1).alias("place"), "a", "b", "chars"))
+    return placed.select("conv_id", (F.col("place") - 1).alias("place"), "a", "b", "chars")
 
 
 def grafted(turns: DataFrame, group: int = 100, choices: int = 6) -> DataFrame:
@@ -64,61 +65,68 @@ def trie(turns: DataFrame, convs: DataFrame, order: tuple[str, ...] = ("place",)
     laid = lay(turns.select("conv_id", *order, "a", "b", "chars"), "conv_id", *order, keep=store)
     placed = running(laid, ["conv_id"], {"depth": ("sum", F.lit(1).cast("long"))})
     coded = placed.rows.select("conv_id", "depth", "chars", F.xxhash64(F.lit(1), "depth", "a", "b").alias("c1"), F.xxhash64(F.lit(2), "depth", "a", "b").alias("c2"), laid.part, laid.at)
-    coded = Laid(store(coded), laid.part, laid.at, coded.columns)
-    upto = running(coded, ["conv_id"], {"k1": ("xor", F.col("c1")), "k2": ("xor", F.col("c2"))}).rows
-    rows = store(upto.select("conv_id", *key, F.col("k1").bitwiseXOR(F.col("c1")).alias("p1"), F.col("k2").bitwiseXOR(F.col("c2")).alias("p2"), "chars", laid.part, laid.at))
+    coded = Laid(coded, laid.part, laid.at, coded.columns, store)
+    rows = running(coded, ["conv_id"], {"k1": ("xor", F.col("c1")), "k2": ("xor", F.col("c2"))}).rows
 
-    found = rows.groupBy(*key).agg(F.min("conv_id").alias("rep"), F.count("*").alias("n_convs"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("chars").alias("chars"))
+    found = rows.groupBy(*key).agg(F.min("conv_id").alias("rep"), F.count("*").alias("n_convs"), F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.first("chars").alias("chars"))
     found = store(found)
     best = F.max_by(F.struct("k1", "k2"), F.struct("n_convs", -F.col("rep"))).alias("best")
-    kids = store(found.groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"), best))
-    heavy = kids.select((F.col("depth") + 1).alias("depth"), "best.k1", "best.k2", F.lit(True).alias("heavy"))
-    nodes = found.drop("p1", "p2").join(kids.drop("best"), key, "left").join(heavy, key, "left").select(*key, "rep", "n_convs", "chars", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("heavy", F.lit(False)).alias("heavy"))
+    kids = store(found.groupBy((F.col("depth") - 1).alias("depth"), F.col("k1").bitwiseXOR(F.col("c1")).alias("k1"), F.col("k2").bitwiseXOR(F.col("c2")).alias("k2")).agg(F.count("*").alias("n_children"), best))
+    # a node's own values, the number of its children, and whether it is its parent's heavy child, put together by its key
+    none = F.lit(None).cast("long")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    said = found.select(*key, "rep", "n_convs", "chars", zero.alias("n_children"), zero.alias("heavy"))
+    said = said.unionAll(kids.select(*key, none, none, none, "n_children", zero)).unionAll(kids.select(F.col("depth") + 1, "best.k1", "best.k2", none, none, none, zero, one))
+    nodes = said.groupBy(*key).agg(*(F.max(c).alias(c) for c in ("rep", "n_convs", "chars", "n_children", "heavy"))).filter("rep is not null")
     nodes = store(nodes)
 
     # every row learns its node's representative; along a conversation the last child that isn't heavy begins the path, and the row before is the parent
-    met = look_up(rows.select("conv_id", *key, laid.part, laid.at), nodes, key, "n_convs").drop("k1", "k2")
-    met = Laid(store(met), laid.part, laid.at, met.columns)
-    begun = F.when(~F.col("heavy"), F.struct(F.col("depth").alias("d"), F.col("rep").alias("c")))
+    met = store(look_up(rows.select("conv_id", *key, laid.part, laid.at), nodes, key, "n_convs").drop("k1", "k2"))
+    met = Laid(met, laid.part, laid.at, met.columns, store)
+    begun = F.when(F.col("heavy") == 0, F.struct(F.col("depth").alias("d"), F.col("rep").alias("c")))
     of_path = running(met, ["conv_id"], {"head": ("last", begun), "up": ("last", F.col("rep"))}, before=("up",)).rows.filter("conv_id = rep")
     top_kids = kids.filter("depth = 0").agg(F.coalesce(F.sum("n_children"), F.lit(0)).alias("n_children"))
     head = F.coalesce("head", F.struct(F.lit(0).cast("long").alias("d"), least.alias("c")))
     value = [F.col("n_convs"), F.col("n_children"), (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved")]
-    zero = F.lit(0).cast("long")
     each = of_path.select("conv_id", "depth", F.coalesce("up", least).alias("up"), head["c"].alias("hc"), head["d"].alias("hd"), *value)
-    top = top_kids.withColumns({"n_convs": F.lit(root["n"]).cast("long"), "chars": zero}).select(least.alias("conv_id"), zero.alias("depth"), F.lit(None).cast("long").alias("up"), least.alias("hc"), zero.alias("hd"), *value)
+    top = top_kids.withColumns({"n_convs": F.lit(root["n"]).cast("long"), "chars": zero}).select(least.alias("conv_id"), zero.alias("depth"), none.alias("up"), least.alias("hc"), zero.alias("hd"), *value)
     each = store(each.unionByName(top))
 
+    # what hangs from a node stands before it in its path, so that the node's own sum holds it
     hung = _hung(each)
-    own = each
-    if hung is not None:
-        own = each.join(hung.select("conv_id", "depth", F.col("leaves").alias("l"), F.col("saved").alias("s")), ["conv_id", "depth"], "left")
-        own = own.withColumns({"leaves": F.col("leaves") + F.coalesce("l", zero), "saved": F.col("saved") + F.coalesce("s", zero)}).drop("l", "s")
-    path = lay(own.withColumn("from_end", -F.col("depth")), "hc", "hd", "from_end", keep=store)
-    summed = running(path, ["hc", "hd"], {"n_leaves": ("sum", F.col("leaves")), "saved_tokens": ("sum", F.col("saved"))}).rows
-
-    last = met.rows.groupBy("conv_id").agg(F.max(F.struct("depth", "rep")).alias("x")).select("conv_id", F.col("x.rep").alias("rep"), F.col("x.depth").alias("depth"))
-    last = convs.select("conv_id").join(last, "conv_id", "left").select("conv_id", F.coalesce("rep", least).alias("rep"), F.coalesce("depth", zero).alias("depth"))
+    laid = each.withColumns({"from_end": -F.col("depth"), "own": F.lit(1)})
+    laid = laid.unionByName(hung.withColumns({"from_end": -F.col("depth"), "own": F.lit(0)}), allowMissingColumns=True) if hung is not None else laid
+    path = lay(laid, "hc", "hd", "from_end", "own", keep=store)
+    summed = running(path, ["hc", "hd"], {"n_leaves": ("sum", F.col("leaves")), "saved_tokens": ("sum", F.col("saved"))}).rows.filter("own = 1")
+
+    last = met.rows.select("conv_id", F.struct("depth", "rep").alias("x")).unionByName(convs.select("conv_id", F.struct(zero.alias("depth"), least.alias("rep")).alias("x")))
+    last = last.groupBy("conv_id").agg(F.max("x").alias("x")).select("conv_id", "x.rep", "x.depth")
     told = summed.join(_ends(last).withColumnRenamed("rep", "conv_id"), ["conv_id", "depth"], "left")
     sha = F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest()))
     return told.select("conv_id", "depth", F.col("up").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", sha.alias("ends_sha256"))
 
 
 def _hung(each: DataFrame) -> DataFrame | None:
-    """conv_id, depth, leaves, saved: what hangs from each node by its light children, all of whose paths are summed up; None where nothing does."""
-    n = F.max(F.when(F.col("depth") == F.col("hd"), F.col("n_convs")))
-    paths = each.groupBy("hc", "hd").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), F.max(F.when(F.col("depth") == F.col("hd"), F.col("up"))).alias("up"), F.length(F.bin(n)).alias("level"))
-    paths = store(paths)
-    feet = store(each.filter("n_children > 1").select("conv_id", "depth", "hc", "hd"))
+    """conv_id, depth, hc, hd, leaves, saved: what hangs from a node by light children of one size, their paths summed up; None where nothing does. hc, hd is the node's own path."""
+    top = F.col("depth") == F.col("hd")
+    paths = each.groupBy("hc", "hd").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), F.max(F.when(top, F.col("up"))).alias("up"), F.max(F.when(top, F.col("n_convs"))).alias("n"))
+    paths = store(paths.withColumn("level", F.length(F.bin("n"))))
+    levels = sorted(r[0] for r in paths.select("level").distinct().collect())[:-1]  # 63 at most; the last is the root's path alone
+    # each path learns the path that it hangs from, and that one's level
+    feet = each.filter("n_children > 1").select(F.col("conv_id").alias("up"), F.col("depth").alias("at"), F.col("hc").alias("pc"), F.col("hd").alias("pd"), "n_children")
+    tied = look_up(paths.filter("up is not null").withColumn("at", F.col("hd") - 1), store(feet), ["up", "at"], "n_children")
+    tied = store(tied.select("hc", "hd", "leaves", "saved", "level", "up", "at", "pc", "pd"))
     gifts: list[DataFrame] = []
-    for level in sorted(r[0] for r in paths.select("level").distinct().collect())[:-1]:  # 64 at most; the last is the root's path alone
-        total = paths.filter(F.col("level") == level)
+    none = F.lit(None).cast("long")
+    for level in levels:
+        total = tied.filter(F.col("level") == level).drop("level")
+        for gift in gifts:  # of levels below; those for paths of this level count
+            total = total.unionAll(gift.select("hc", "hd", "leaves", "saved", none, none, none, none))
         if gifts:
-            got = reduce(DataFrame.unionAll, gifts).groupBy("hc", "hd").agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s"))
-            total = total.join(got, ["hc", "hd"], "left").withColumns({"leaves": F.col("leaves") + F.coalesce("l", F.lit(0)), "saved": F.col("saved") + F.coalesce("s", F.lit(0))})
-        given = total.groupBy(F.col("up").alias("conv_id"), (F.col("hd") - 1).alias("depth")).agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
-        gifts.append(store(given.join(feet, ["conv_id", "depth"]).select("conv_id", "depth", "hc", "hd", "leaves", "saved")))
-    return reduce(DataFrame.unionAll, gifts).groupBy("conv_id", "depth").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")) if gifts else None
+            total = total.groupBy("hc", "hd").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), *(F.max(c).alias(c) for c in ("up", "at", "pc", "pd"))).filter("up is not null")
+        given = total.groupBy("up", "at", "pc", "pd").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+        gifts.append(store(given.select(F.col("up").alias("conv_id"), F.col("at").alias("depth"), F.col("pc").alias("hc"), F.col("pd").alias("hd"), "leaves", "saved")))
+    return reduce(DataFrame.unionAll, gifts) if gifts else None
 
 
 def _ends(last: DataFrame) -> DataFrame:
