@@ -132,6 +132,40 @@ def look_up(rows: DataFrame, known: DataFrame, on: list[str], many: str) -> Data
     return few.unionByName(rows.join(F.broadcast(hubs), on))
 
 
+#: Bits of a sieve for each key, and bits of a sieve at most.
+_SIEVE, _SIEVES = 16, 1 << 26
+
+
+def sieved(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows without most of those whose `key`, 64 well mixed bits in a field of a column, isn't among the one column of `keys`: what is left is joined.
+
+    A bit map tells them, of _SIEVE bits a key and 8 MB at most, so it is broadcast; where keys are too many for it, all rows stay.
+    """
+    (name,) = keys.columns
+    n = keys.count()
+    bits = 1 << max(6, (n * _SIEVE - 1).bit_length())
+    if bits > _SIEVES:
+        return rows
+    at = F.col(name).bitwiseAND(F.lit(bits - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("m")).collect()  # bits / 64 rows at most
+    mask = np.zeros(bits >> 6, np.int64)
+    for w, m in words:
+        mask[w] = m
+    sent, path = rows.sparkSession.sparkContext.broadcast(mask), key.split(".")
+    place, names = rows.columns.index(path[0]), rows.columns
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = sent.value
+        for batch in batches:
+            k = batch.column(place)
+            for field in path[1:]:
+                k = k.field(field)
+            k = k.to_numpy(zero_copy_only=False) & (bits - 1)
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array((mask[k >> 6] >> (k & 63)) & 1 == 1)).columns, names)
+
+    return rows.mapInArrow(tidied(sieve), rows.schema)
+
+
 def text_blocks(ids: list[pa.Array], text: pa.Array) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
     """Slices a batch to about BLOCK_BYTES: (id columns, bytes, offsets); a null text has no bytes."""
     if isinstance(text, pa.ChunkedArray):
