@@ -52,6 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: str = "16m") -> None:
+    """Batches of at most so many bytes go to Python workers of this session, unless it says how many itself.
+
+    The default is 64 MB or 10,000 rows. A worker holds a batch of whole texts several times over, as Arrow has it, as words and as what comes out, and the executor holds two more beside its heap.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":
+        spark.conf.set(name, most)
+
+
 _stored: list[str] = []
 
 

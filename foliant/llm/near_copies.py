@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, row_key, store, text_blocks, tidied, word_bounds, word_hashes
+from .common import mix64, row_key, small_batches, store, text_blocks, tidied, word_bounds, word_hashes
 from .simhash import components, keep_rows
 
 _U = np.uint64
@@ -244,6 +244,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, d
     Null, empty and wordless texts are one component. A text of fewer than `width` words is near to its equals only.
     Other columns stay, whatever their names. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     who = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"), row_key(doc_id, text).alias("row"))
     keyed = docs.select(who.alias("doc_id"), F.col(text).alias("text"))
     kind = keyed.schema["doc_id"].dataType.simpleString()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, row_key, span_hash, store, text_blocks, tidied, word_bounds, word_hashes
+from .common import mix64, row_key, small_batches, span_hash, store, text_blocks, tidied, word_bounds, word_hashes
 from .fm_index import FMIndex
 
 _U = np.uint64
@@ -256,6 +256,7 @@ def _merged(spans):
 
 
 def _windows(docs: DataFrame, window: int, doc_id: str, text: str, rest: Column) -> DataFrame:
+    small_batches(docs.sparkSession)
     keyed = docs.select(row_key(doc_id, text).alias("row"), rest.alias("rest"), F.col(text).alias("text"))
     seen = store(_twice(keyed.select("row", "text").mapInArrow(tidied(_cut_segments(window)), _SEGMENT)))
     distinct = seen.groupBy("key", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "place", "length")).alias("one"))

@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part, on either side. A query's candidates are all
     rows but its own: of the rows of its id and vector one is left out, and others of its id are candidates. Repeated query rows are queries each; fewer than k candidates
-    give fewer rows. A shorter vector counts as if zeros followed. Exact while products stay below 2**53. Other columns are left out. Empty tables give an empty one.
+    give fewer rows. A shorter vector counts as if zeros followed. Exact while products stay below 2**53; where norms don't rule larger ones out that is an error. Other columns are left out. Empty tables give an empty one.
     """
     spark = vectors.sparkSession
     nothing = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
@@ -161,6 +161,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     index = store(index.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist"))
     told = row_key("vec_id", "v")  # of a query row: its id and vector
     asked = store(clean(queries).select("vec_id", "v", told.alias("row")))
+    most = asked.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0.0
+    if top * most >= float(2**106):  # the square of the largest product that two of the rows can have
+        raise ValueError("inner products of 2**53 and more aren't exact; take a smaller scale")
     kinds = asked.groupBy("row").agg(F.first("vec_id").alias("vec_id"), F.first("v").alias("v"))
     kinds = store(kinds.mapInArrow(_nearest(pivots, width), "a bigint, b bigint, vec_id bigint, v array<bigint>, pivot int, block_key bigint"))
     blocks = _blocks(kinds)

@@ -43,19 +43,19 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 
 def rule_table(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """verdict, rule, tokens (as those of a URL; `any` for a rule without), pattern over host and path together, size."""
+    """verdict, rule, tokens (as those of a URL; `any` for a rule without), pattern over host and path together, size. A-Z in a rule's host count as small letters, as in a URL's; a rule without a host fits only URLs without one."""
     for verdict, rule in rules:
         if "/" not in rule or verdict not in ("allow", "block") or "\n" in rule:
             raise ValueError(f"not a rule: {verdict!r} {rule!r}")
     lines = F.split(F.lit("\n".join(f"{v} {r}" for v, r in rules)), "\n") if rules else F.array().cast("array<string>")
     told = urls.sparkSession.range(1, numPartitions=1).select(F.explode(lines).alias("line"))
     told = told.select(F.substring_index("line", " ", 1).alias("verdict"), F.expr("substring(line, instr(line, ' ') + 1)").alias("rule"))
-    host, path = F.substring_index("rule", "/", 1), F.expr("substring(rule, instr(rule, '/'))")
+    host, path = F.translate(F.substring_index("rule", "/", 1), _UPPER, _LOWER), F.expr("substring(rule, instr(rule, '/'))")
     labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
     closed = F.split(path, "/")
     closed = F.filter(F.slice(closed, F.lit(1), F.size(closed) - 1), lambda x: x != "")
     tokens = F.concat(labels, F.transform(closed, lambda x: F.concat(F.lit("p:"), x)))
-    pattern = F.concat(F.lit(r"(?s)\A(?:[^/]*\.)?\Q"), F.replace("rule", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(F.lit(r"(?s)\A(?:[^/]*\.)?\Q"), F.replace(F.concat(host, path), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     return told.select("verdict", "rule", F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("any"))).alias("tokens"), pattern.alias("pattern"), F.length("rule").alias("size"))
 
 

@@ -140,9 +140,16 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_rules.filter_urls(df, ()).collect()} == {"allow"}
     with pytest.raises(ValueError):
         url_rules.filter_urls(df, (("maybe", "x/"),))
+    capitals = url_rules.filter_urls(df, (("allow", "EXAMPLE.com/en/7"), ("block", "Com/en/"), ("block", "/none")))
+    assert {r["url"]: (r["rule"], r["verdict"]) for r in capitals.filter("rule is not null").collect()} == {
+        "http://com/en/": ("Com/en/", "block"),
+        "HTTP://WWW.Example.COM/en/71?q=1": ("EXAMPLE.com/en/7", "allow"),
+        "http://x.com/en/\n7": ("Com/en/", "block"),
+    }
 
 
-def test_native_plans_hold_no_python(spark):
+def test_native_plans_hold_no_python(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "cut", lambda df: df)  # so that a plan holds all that goes before a cut, too
     docs = _docs(spark, [(1, "a b c", "s"), (2, "d e", "t")])
     chats = spark.createDataFrame([(1, 0, "assistant", "x")], "conv_id bigint, turn bigint, role string, text string")
     urls = spark.createDataFrame([(1, "http://com/en/")], "page_id bigint, url string")

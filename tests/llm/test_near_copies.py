@@ -53,7 +53,7 @@ def test_planted_copies(spark):
     far = sum((brute.fingerprint(rows[a][1]) ^ brute.fingerprint(rows[b][1])).bit_count() > 4 for a, b in pairs)
     assert far > 20  # copies that four bits of 64 don't reach
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    stage = corpus_pipeline.STAGES[1][1]
     got = [r["doc_id"] for r in stage(spark, docs, "").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert stage(spark, docs.limit(0), "").count() == 0

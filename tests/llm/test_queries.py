@@ -52,7 +52,7 @@ def test_op1(spark):
         assert r["size"] == len(brute.words(docs[r["doc_id"]]["text"])) and r["source_size"] == sizes[r["source"]]
         assert r["target"] == pytest.approx(want[r["source"]]) and r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - t) <= 20 for s, t in want.items())
+    assert all(abs(taken[s] - t) <= 4 for s, t in want.items())
 
 
 def test_op3_votes_and_em_row_by_row(spark):
@@ -79,9 +79,9 @@ def test_op6_scores_one_text_at_a_time(spark):
     assert set(got) == set(docs)
     learned = toxicity.learn(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     net = toxicity.Network(toxicity.Plan(), *learned)
-    for d in list(docs)[::5]:
-        if len(docs[d] or "") < 4000:
-            assert got[d]["score"] == pytest.approx(brute.toxic(net, docs[d]), abs=1e-3)
+    longest = sorted(docs, key=lambda d: -len(docs[d] or ""))
+    for d in [*list(docs)[::5], *longest[:4]]:  # long texts of many windows, too
+        assert got[d]["score"] == pytest.approx(brute.toxic(net, docs[d]), abs=1e-3)
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for d, r in got.items())
 
 
