@@ -14,6 +14,7 @@ from .lazy import vectorised
 #: Escapes that stay when a text has to be repaired; \b and \f begin words of formulas far more often.
 _KEEP = frozenset('"\\/nrt')
 _FENCE = re.compile(r"```\w*[ \t]*\n(.*?)\n\s*```", re.S)
+_PLAIN, _SPACES = re.compile(r"[^\\,]+"), re.compile(r"\s*")
 _LIST_NAMES = ("cards", "flashcards", "anki_cards")
 
 
@@ -22,12 +23,16 @@ def repair(text: str, keep: frozenset = _KEEP) -> str:
     out, i = [], 0
     while i < len(text):
         c = text[i]
-        if c == "\\":
+        if c not in "\\,":
+            j = _PLAIN.match(text, i).end()
+            out.append(text[i:j])
+            i = j
+        elif c == "\\":
             nxt = text[i + 1 : i + 2]
             valid = nxt in keep and nxt != "" or (nxt == "u" and re.fullmatch("[0-9a-fA-F]{4}", text[i + 2 : i + 6]))
             out.append(text[i : i + 2] if valid else "\\\\")
             i += 2 if valid else 1
-        elif c == "," and text[i + 1 :].lstrip()[:1] in ("]", "}"):
+        elif text[(j := _SPACES.match(text, i + 1).end()) : j + 1] in ("]", "}"):
             i += 1
         else:
             out.append(c)

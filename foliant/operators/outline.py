@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .order import lay, running
 
 _HEAD = r"^Image:\s*(.+?)\s*$"
 
@@ -15,13 +16,16 @@ def lines_of(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame
 
 
 def sections(lines: DataFrame, head: str = _HEAD) -> DataFrame:
-    """doc, image, ord, body: text under each header, right-stripped; what is before the first goes. Of equal names the last body at the first place."""
+    """doc, image, ord, body: text under each header, right-stripped; what is before the first goes. Of equal names the last body at the first place.
+
+    Headers are counted over ranges of lines, so a document may be any share of them; a section is one row.
+    """
     name = F.nullif(F.regexp_extract("line", head, 1), F.lit(""))
-    n = F.sum(name.isNotNull().cast("int")).over(Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    marked = lines.withColumns({"_name": name, "_n": n}).filter("_n > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_name").isNull(), F.struct("line_no", "line")))), lambda s: s.line), "\n")
-    each = marked.groupBy("doc", "_n").agg(F.max("_name").alias("image"), F.regexp_replace(body, r"(?U)\s+$", "").alias("body"))
-    return each.groupBy("doc", "image").agg(F.min("_n").cast("int").alias("ord"), F.max_by("body", "_n").alias("body"))
+    laid = lay(lines.select("doc", "line_no", "line", name.alias("name")), "doc", "line_no")
+    marked = running(laid, ["doc"], {"n": ("sum", F.col("name").isNotNull().cast("int"))}).rows.filter("n > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNull(), F.struct("line_no", "line")))), lambda s: s.line), "\n")
+    each = marked.groupBy("doc", "n").agg(F.max("name").alias("image"), F.regexp_replace(body, r"(?U)\s+$", "").alias("body"))
+    return each.groupBy("doc", "image").agg(F.min("n").cast("int").alias("ord"), F.max_by("body", "n").alias("body"))
 
 
 def write_sections(pages: DataFrame) -> DataFrame:
@@ -32,34 +36,36 @@ def write_sections(pages: DataFrame) -> DataFrame:
 
 
 def carry_forward(lines: DataFrame, mark: Column, by: str = "doc", order: str = "line_no") -> DataFrame:
-    """Adds current: the last non-null mark at or before each line."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("current", F.last(mark, ignorenulls=True).over(w))
+    """Adds current: the last non-null mark at or before each line, over ranges of lines."""
+    return running(lay(lines, by, order), [by], {"current": ("last", mark)}).rows.select(*lines.columns, "current")
 
 
 def read_outline(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """Cards of a markdown index: doc, collection_no, title, letter, category, number, front, sort_key, pos.
 
     A block runs between COLLECTION_n marks of one n; cards count from CARDS_START on; those before any category are `unbekannt`, under Z.
+    Numbers that no int holds are null. State is carried over ranges of lines, so a document may be any share of them.
     """
     marked = lines_of(docs, doc, text)
     begin, end = F.regexp_extract("line", r"^<!-- COLLECTION_(\d+)_START -->$", 1), F.regexp_extract("line", r"^<!-- COLLECTION_(\d+)_END -->$", 1)
-    w = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.last(F.when(begin != "", begin).when(end != "", F.lit("-")), ignorenulls=True).over(w)
-    inside = marked.withColumn("block", state).filter("block is not null and block <> '-'")
-    of_block = Window.partitionBy("doc", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    laid = lay(marked, "doc", "line_no")
+    state = F.when(begin != "", begin).when(end != "", F.lit("-"))
+    inside = running(laid, ["doc"], {"block": ("last", state)}).rows.filter("block is not null and block <> '-'").select("doc", "line_no", "line", "block")
     bold = F.nullif(F.regexp_extract("line", r"^\*\*([^*]+)\*\*$", 1), F.lit(""))
     cat = F.regexp_extract("line", r"^\*\*([A-Z])\.\s+([^*]+)\*\*$", 0)
-    cards_on = F.max(F.when(F.trim("line") == "<!-- CARDS_START -->", 1).otherwise(0)).over(of_block)
-    cards_off = F.max(F.when(F.trim("line") == "<!-- CARDS_END -->", 1).otherwise(0)).over(of_block)
-    rows = inside.withColumns({"title": F.first(bold, ignorenulls=True).over(Window.partitionBy("doc", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "cat": F.last(F.nullif(cat, F.lit("")), ignorenulls=True).over(of_block), "on": (cards_on == 1) & (cards_off == 0)})
+    cards_on = F.when(F.trim("line") == "<!-- CARDS_START -->", 1).otherwise(0)
+    cards_off = F.when(F.trim("line") == "<!-- CARDS_END -->", 1).otherwise(0)
+    of_block = lay(inside, "doc", "block", "line_no")
+    seen = running(of_block, ["doc", "block"], {"cat": ("last", F.nullif(cat, F.lit(""))), "began": ("max", cards_on), "ended": ("max", cards_off)}).rows
+    titles = inside.groupBy("doc", "block").agg(F.min_by(bold, F.when(bold.isNotNull(), F.col("line_no"))).alias("title"))
+    rows = seen.join(titles, ["doc", "block"]).withColumn("on", (F.col("began") == 1) & (F.col("ended") == 0))
     card = F.regexp_extract("line", r"^([0-9]+)\.\s+(.+)", 0)
     letter = F.coalesce(F.nullif(F.regexp_extract("cat", r"^\*\*([A-Z])", 1), F.lit("")), F.lit("Z"))
     named = F.regexp_extract("cat", r"^\*\*[A-Z]\.\s+([^*]+)\*\*$", 1)
     number = T.whole(F.regexp_extract("line", r"^([0-9]+)\.", 1))
     return (
         rows.filter(F.col("on") & (card != ""))
-        .withColumns({"collection_no": F.col("block").cast("int"), "letter": letter, "number": number})
+        .withColumns({"collection_no": T.whole(F.col("block")), "letter": letter, "number": number})
         .select(
             "doc",
             "collection_no",

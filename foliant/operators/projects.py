@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.readers import DERIVED
+from .order import numbered
 
 # ---- where documents stand ---------------------------------------------------------------------------------------------------------------------------
 
@@ -114,7 +115,8 @@ def directory_tree(files: DataFrame, ignored: tuple[str, ...] = (*DERIVED, "__py
     before = F.array_join(F.transform(F.slice("way", F.lit(1), F.size("way") - 1), lambda w: F.when(w.a_last, "    ").otherwise("│   ")), "")
     line = F.concat(before, F.when(F.col("last"), "└── ").otherwise("├── "), F.col("name"), F.when(F.col("is_file"), F.coalesce("note", F.lit(""))).otherwise("/"))
     order = F.transform("way", lambda w: F.struct(w.step.is_file.alias("f"), w.step["name"].alias("n")))
-    return rows.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).cast("long").alias("pos"), line.alias("line"))
+    placed = numbered(rows.select(order.alias("order"), line.alias("line")), "order", name="pos")
+    return placed.select((F.col("pos") + 1).alias("pos"), "line")
 
 
 # ---- materials ---------------------------------------------------------------------------------------------------------------------------------------

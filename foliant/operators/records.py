@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .order import numbered
+from .shared import fresh
 
 
 def first_of(df: DataFrame, *keys: str, order: str = "pos") -> DataFrame:
     """The first row of each key."""
+    (n,) = fresh(df.columns, "n")
     w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return df.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).drop(n)
 
 
 def last_wins(df: DataFrame, key: str, value: str, order: str = "pos") -> DataFrame:
@@ -40,8 +43,7 @@ def novel(existing: DataFrame, incoming: DataFrame, front: str = "front", order:
     """Incoming rows whose normal front is new, the first of each; adds norm_front. `key` is a column of `existing` that holds the digest of its normal front, so that fronts needn't be read."""
     known = existing.select((F.col(key) if key else digest(T.normalize_text(front))).alias("known"))
     named = incoming.withColumn("norm_front", T.normalize_text(front))
-    fresh = named.join(known, digest("norm_front") == F.col("known"), "left_anti")
-    return first_by_text(fresh, "norm_front", order)
+    return first_by_text(named.join(known, digest("norm_front") == known["known"], "left_anti"), "norm_front", order)
 
 
 def find_by_front(cards: DataFrame, asked: DataFrame, front: str = "front", order: str = "pos") -> DataFrame:
@@ -62,18 +64,23 @@ def to_json_rows(cards: DataFrame, times: tuple[str, ...] = ("created_at", "upda
 
 
 def category_codes(structure: DataFrame, collection_rank) -> DataFrame:
-    """code, collection, category: collections numbered in order, their categories lettered; what a reply such as `3C` is read by. `collection_rank` orders keys."""
+    """code, collection, category: collections numbered in order, their categories lettered; what a reply such as `3C` is read by. `collection_rank` orders keys.
+
+    From the 27th category of a collection on a number follows the letter (`3A1` to `3Z1`, `3A2`), which `decode_categories` reads only from replies that hold nothing else.
+    """
     kinds = structure.filter((F.coalesce("collection", F.lit("")) != "") & (F.coalesce("category", F.lit("")) != "")).select("collection", "category").distinct()
     one = Window.partitionBy(F.lit(0))  # a row a category of a configured outline
     n = F.dense_rank().over(one.orderBy(*collection_rank(F.col("collection"))))
-    letter = F.row_number().over(Window.partitionBy("collection").orderBy("category"))
-    return kinds.select(n.alias("n"), letter.alias("at"), "collection", "category").filter("at <= 26").select(F.concat(F.col("n").cast("string"), F.char(F.col("at") + 64)).alias("code"), "collection", "category")
+    at = F.row_number().over(Window.partitionBy("collection").orderBy("category")) - 1
+    more = F.when(F.col("at") >= 26, F.floor(F.col("at") / 26).cast("string")).otherwise("")
+    return kinds.select(n.alias("n"), at.alias("at"), "collection", "category").select(F.concat(F.col("n").cast("string"), F.char(F.col("at") % 26 + 65), more).alias("code"), "collection", "category")
 
 
 def decode_categories(replies: DataFrame, codes: DataFrame, reply: str = "reply") -> DataFrame:
     """replies with collection and category of the first code in them; null where there is none, or none of the outline's."""
     number, letter = T.category_code(reply)
-    return replies.withColumn("code", F.concat(number.cast("string"), letter)).join(codes, "code", "left")
+    whole = F.nullif(F.regexp_extract(F.upper(F.trim(F.col(reply))), r"^0*([1-9][0-9]*[A-Z][1-9][0-9]*)$", 1), F.lit(""))
+    return replies.withColumn("code", F.coalesce(whole, F.concat(number.cast("string"), letter))).join(codes, "code", "left")
 
 
 def append(cards: DataFrame, more: DataFrame) -> DataFrame:
@@ -106,10 +113,11 @@ def number(df: DataFrame, offset: DataFrame | None = None, order: str = "pos") -
     """Running counter n by collection and category, and sort_field. `offset` (collection, category, count) goes on from rows that are there."""
     keys = ["collection", "category"]
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long")
+    (before,) = fresh(df.columns, "before")
     if offset is not None:
-        df = df.join(offset.select(*keys, F.col("count").alias("_before")), keys, "left")
-        n = n + F.coalesce("_before", F.lit(0))
-    out = df.withColumn("n", n).drop("_before")
+        df = df.join(offset.select(*keys, F.col("count").alias(before)), keys, "left")
+        n = n + F.coalesce(before, F.lit(0))
+    out = df.withColumn("n", n).drop(before)
     return out.withColumn("sort_field", T.sort_field(T.sort_key("ord", F.substring("category", 1, 1), "n"), "front"))
 
 
@@ -120,10 +128,11 @@ def integrate(existing: DataFrame, incoming: DataFrame, dimension: DataFrame, fa
 
 
 def by_front(df: DataFrame, front: str = "front", back: str = "back", order: str = "pos") -> DataFrame:
-    """One row a normal front: its first spelling, first place, and its backs in order and distinct."""
-    rows = df.withColumn("norm_front", T.normalize_text(front))
+    """One row a normal front, dealt by its digest norm_key: its first spelling, first place, and its backs in order and distinct."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("p"), F.col(back).alias("b")))), lambda s: s.b)
-    return rows.groupBy("norm_front").agg(F.min_by(front, order).alias("front"), F.min(order).alias(order), listed.alias("backs"), F.array_sort(F.collect_set(back)).alias("choices"))
+    keyed = df.groupBy(digest(T.normalize_text(front)).alias("norm_key"))
+    found = keyed.agg(F.min_by(front, order).alias("front"), F.min(order).alias(order), listed.alias("backs"), F.array_sort(F.collect_set(back)).alias("choices"))
+    return found.withColumn("norm_front", T.normalize_text("front"))
 
 
 #: What is done with each side's rows where the sides disagree.
@@ -139,11 +148,12 @@ def reconcile(collected: DataFrame, structure: DataFrame, conflict: str = "first
     for name, chosen in (("conflict", conflict), ("orphan", orphan), ("missing", missing)):
         if chosen not in POLICIES[name]:
             raise ValueError(f"{name}: {chosen!r} is none of {POLICIES[name]}")
-    left = by_front(collected).select("norm_front", F.col("front").alias("c_front"), F.col("pos").alias("c_pos"), "choices")
-    right = last_wins(structure.withColumns({"norm_front": T.normalize_text("front"), "_row": F.struct("front", "collection", "category", "sort_key")}), "norm_front", "_row")
-    both = left.join(right.select("norm_front", F.col("pos").alias("s_pos"), F.col("_row").alias("s")), "norm_front", "full_outer")
+    left = by_front(collected).select("norm_key", F.col("front").alias("c_front"), F.col("pos").alias("c_pos"), "choices")
+    right = _outline(structure, "front", "collection", "category", "sort_key")
+    both = left.join(right.select("norm_key", F.col("pos").alias("s_pos"), F.col("row").alias("s")), "norm_key", "full_outer")
+    both = both.withColumn("norm_front", T.normalize_text(F.coalesce("s.front", "c_front")))
     if decisions is not None:
-        both = both.join(decisions.select("norm_front", F.col("back").alias("decided")), "norm_front", "left")
+        both = both.join(decisions.select(digest("norm_front").alias("norm_key"), F.col("back").alias("decided")), "norm_key", "left")
     else:
         both = both.withColumn("decided", F.lit(None).cast("string"))
     state = F.when(F.col("s").isNull(), "orphan").when(F.col("choices").isNull(), "missing").when(F.size("choices") > 1, "conflict").otherwise("matched")
@@ -159,22 +169,34 @@ def reconcile(collected: DataFrame, structure: DataFrame, conflict: str = "first
     return both.select("norm_front", F.coalesce("s.front", "c_front").alias("front"), back.alias("back"), "s.collection", "s.category", "s.sort_key", "c_pos", "s_pos", state.alias("state"), outcome.alias("outcome"))
 
 
+def _outline(structure: DataFrame, *columns: str) -> DataFrame:
+    """norm_key, pos, row: of a normal front its first place and the columns of its last row."""
+    told = structure.select(digest(T.normalize_text("front")).alias("norm_key"), "pos", F.struct(*columns).alias("row"))
+    return last_wins(told, "norm_key", "row")
+
+
 def rescue(orphans: DataFrame, number: int, name: str, order: str = "c_pos") -> DataFrame:
-    """Rescued rows get a collection of their own and numbers in order."""
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order))
-    return orphans.withColumns({"collection": F.lit(f"collection_{number}_{name}"), "category": F.lit("a_Unsortiert"), "sort_key": F.format_string("%02d_A_%02d", F.lit(number), n)})
+    """Rescued rows get a collection of their own and numbers in order, over ranges of the order."""
+    (n,) = fresh(orphans.columns, "n")
+    rows = numbered(orphans, order, name=n)
+    return rows.withColumns({"collection": F.lit(f"collection_{number}_{name}"), "category": F.lit("a_Unsortiert"), "sort_key": F.format_string("%02d_A_%02d", F.lit(number), F.col(n) + 1)}).drop(n)
 
 
 def sync_structure(cards: DataFrame, structure: DataFrame) -> DataFrame:
-    """Cards take collection, category and sort field of the outline where it has their front; others stay as they are. Adds synced."""
-    outline = last_wins(structure.withColumns({"norm_front": T.normalize_text("front"), "_row": F.struct("collection", "category", "sort_key")}), "norm_front", "_row").select("norm_front", "_row")
-    rows = cards.withColumn("norm_front", T.normalize_text("front")).join(outline, "norm_front", "left")
-    kept = {c: F.coalesce(F.col(f"_row.{s}"), F.col(c)) for c, s in (("collection", "collection"), ("category", "category"))}
-    return rows.withColumns(kept | {"sort_field": F.when(F.col("_row").isNull(), F.col("sort_field")).otherwise(T.sort_field(F.col("_row.sort_key"), "front")), "synced": F.col("_row").isNotNull()}).drop("_row")
+    """Cards take collection, category and sort field of the outline where it has their front; others stay as they are. Adds norm_front and synced."""
+    key, row = fresh([*cards.columns, "norm_front", "synced"], "norm_key", "row")
+    outline = _outline(structure, "collection", "category", "sort_key").select(F.col("norm_key").alias(key), F.col("row").alias(row))
+    named = cards.withColumn("norm_front", T.normalize_text("front"))
+    rows = named.withColumn(key, digest("norm_front")).join(outline, key, "left")
+    kept = {c: F.coalesce(F.col(f"{row}.{c}"), F.col(c)) for c in ("collection", "category")}
+    new = F.when(F.col(row).isNull(), F.col("sort_field")).otherwise(T.sort_field(F.col(f"{row}.sort_key"), "front"))
+    return rows.withColumns(kept | {"sort_field": new, "synced": F.col(row).isNotNull()}).drop(row, key)
 
 
 def structure_without_cards(cards: DataFrame, structure: DataFrame) -> DataFrame:
-    return structure.withColumn("norm_front", T.normalize_text("front")).join(cards.select(T.normalize_text("front").alias("norm_front")), "norm_front", "left_anti")
+    known = cards.select(digest(T.normalize_text("front")).alias("known"))
+    named = structure.withColumn("norm_front", T.normalize_text("front"))
+    return named.join(known, digest("norm_front") == known["known"], "left_anti")
 
 
 def two_tier(wanted: DataFrame, template: DataFrame, exact: str, loose: Column, order: str = "ord") -> DataFrame:
@@ -193,8 +215,9 @@ def delete_by(cards: DataFrame, gone: DataFrame, key: str = "guid") -> DataFrame
 def update_by(cards: DataFrame, news: DataFrame, key: str = "guid") -> DataFrame:
     """Columns of `news`, where it has the row and they aren't null, replace those of `cards`."""
     names = [c for c in news.columns if c != key and c in cards.columns]
-    changed = news.select(key, *(F.col(c).alias(f"_new_{c}") for c in names))
-    return cards.join(changed, key, "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in cards.columns))
+    (new,) = fresh(cards.columns, "new")
+    changed = news.select(key, F.struct(*names).alias(new)) if names else news.select(key, F.lit(None).alias(new))
+    return cards.join(changed, key, "left").select(*(F.coalesce(F.col(f"{new}.{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in cards.columns))
 
 
 def nest(cards: DataFrame) -> DataFrame:

@@ -24,10 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A path of its own in that folder, for a table that is written and read again."""
+    """A path of its own in that folder, for a table that is written and read again. What is there goes when the driver ends."""
     if spark.sparkContext.getCheckpointDir() is None:
         cut(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    root = f"{spark.sparkContext.getCheckpointDir()}/scratch"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

@@ -51,10 +51,14 @@ def phase_responses(spark, d):
     return calls.by_phase(log, F.col("event_type") == "signup").filter("event_type <> 'signup'").groupBy("session", "phase").agg(F.count("*").alias("responses"))
 
 
-@query("SELECT DISTINCT p_name AS model FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size < 25)")
+@query("SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) AS model, p_name AS suggested FROM part WHERE p_partkey % 4 = 0")
 def unknown_models(spark, d):
-    part = table(spark, d, "part").withColumn("model", F.col("p_name"))
-    return calls.unknown_models(part, part.filter("p_size < 25")).select("model")
+    """Models configured by the names of parts, some of which lack their last letter: those aren't in the catalogue, and the whole name is the closest that is."""
+    part = table(spark, d, "part")
+    short = F.substring(F.col("p_name"), F.lit(1), F.length("p_name") - 1)
+    asked = part.select(F.when(F.col("p_partkey") % 4 == 0, short).otherwise(F.col("p_name")).alias("model"))
+    found = calls.unknown_models(asked, part.select(F.col("p_name").alias("model")), most=1)
+    return found.select("model", F.element_at("suggestions", 1).alias("suggested"))
 
 
 @query("""SELECT c_custkey AS trial, CASE WHEN c_acctbal >= c_nationkey * 400 THEN 'good' ELSE 'bad' END AS picked, CASE WHEN length(c_name) > length(c_mktsegment) * 2 THEN 'good' ELSE 'bad' END AS longer,
@@ -293,12 +297,12 @@ def pairs_in_clusters(spark, d):
     return cluster.pairs_of(found.select((F.col("conv_id") % 3).alias("pass"), "members"))
 
 
-@query("SELECT conv_id AS page, wanted FROM (SELECT conv_id, unnest(['the ' || role, role || '  x', substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 3, 20)]) AS wanted, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations WHERE turn = 0) WHERE NOT contains(t, trim(regexp_replace(wanted, '\\s+', ' ', 'g')))")
+@query("SELECT conv_id * 1000 + turn AS page, wanted FROM (SELECT conv_id, turn, unnest(['the ' || role, role || '  x', substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 3, 20)]) AS wanted, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE NOT contains(t, trim(regexp_replace(wanted, '\\s+', ' ', 'g')))")
 def missing_strings(spark, d):
-    first = table(spark, d, "conversations").filter("turn = 0")
+    first = table(spark, d, "conversations").withColumn("page", F.col("conv_id") * 1000 + F.col("turn"))
     flat = F.trim(F.regexp_replace("text", "\\s+", " "))
-    truth = first.select(F.col("conv_id").alias("page"), F.array(F.concat(F.lit("the "), "role"), F.concat("role", F.lit("  x")), F.substring(flat, 3, 20)).alias("text"))
-    return audit.not_contained(truth, first.select(F.col("conv_id").alias("page"), F.col("text").alias("content")))
+    truth = first.select("page", F.array(F.concat(F.lit("the "), "role"), F.concat("role", F.lit("  x")), F.substring(flat, 3, 20)).alias("text"))
+    return audit.not_contained(truth, first.select("page", F.col("text").alias("content")))
 
 
 @query("SELECT item_id, upper(substr('bench ' || item_id || '-deck of ' || (item_id * 7), 1, 12)) AS raw, replace(replace(upper(substr('bench ' || item_id || '-deck of ' || (item_id * 7), 1, 12)), ' ', '_'), '-', '_') AS tag, 'Q: ' || item_id || ' of ' || length(text) || ' {other}' AS prompt FROM benchmark")
@@ -333,11 +337,13 @@ def kept_observations(spark, d):
     return writers.worth_logging(ev)
 
 
-@query("SELECT key AS collection, 'Docs ' || ord AS deck, count(*) AS notes, min(pos) AS first FROM (SELECT *, CAST(substr(source, 4) AS INTEGER) AS ord, 'collection_' || substr(source, 4) || '_docs' AS key, doc_id AS pos FROM documents) WHERE ord < 10 GROUP BY ALL")
+@query("SELECT CASE WHEN ord < 10 THEN 'Docs ' || ord ELSE 'Docs' END AS deck, CAST(count(DISTINCT source) AS BIGINT) AS ids, count(*) AS notes, min(doc_id) AS first, md5(string_agg(CAST(doc_id AS VARCHAR) || md5(text) || lang || ':' || source, ',' ORDER BY CAST(doc_id AS VARCHAR))) AS fields FROM (SELECT *, CAST(substr(source, 4) AS INTEGER) AS ord FROM documents) GROUP BY 1")
 def decks(spark, d):
-    rows = writers.deck_rows(cards(spark, d), dimension(spark, d)).filter(F.startswith("deck", F.lit("Docs ")) & (F.length("deck") == 6))
-    key = F.concat(F.lit("collection_"), F.substring("deck", 6, 1), F.lit("_docs"))
-    return rows.groupBy(key.alias("collection"), "deck").agg(F.count("*").alias("notes"), F.min(F.col("guid").cast("long")).alias("first"))
+    """Configured collections have decks of their names, the others one named after what follows their number; ids are those of collections."""
+    rows = writers.deck_rows(cards(spark, d), dimension(spark, d))
+    field = F.concat("guid", F.md5(F.col("fields")[0]), F.col("fields")[1])
+    told = F.transform(F.array_sort(F.collect_list(F.struct("guid", field.alias("f")))), lambda x: x.f)
+    return rows.groupBy("deck").agg(F.count_distinct("deck_id").alias("ids"), F.count("*").alias("notes"), F.min(F.col("guid").cast("long")).alias("first"), F.md5(F.array_join(told, ",")).alias("fields"))
 
 
 @query("SELECT user_id AS model, event_type AS page, CAST(count_if(value > 50) AS BIGINT) AS hits, count(*) AS total, array_to_string(list_sort(list(event_id) FILTER (value <= 50 OR value IS NULL)), ',') AS missed FROM events GROUP BY ALL")

@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import project_queries, record_queries, run_queries, storage_queries  # noqa: E402, F401  (they register themselves)
+from . import growth_queries, project_queries, record_queries, run_queries, storage_queries  # noqa: E402, F401  (they register themselves)

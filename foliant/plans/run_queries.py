@@ -88,6 +88,19 @@ def conversation_prefix(spark, d):
     return rows.select("conv_id", "turn", F.size("prior").alias("n"), F.md5(F.array_join(F.transform("prior", lambda p: F.concat(p.role, F.lit(":"), p.text)), "|")).alias("prior"))
 
 
+@query("""WITH f AS (SELECT *, role = 'user' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), '') <> 'assistant' AS failed FROM conversations)
+  SELECT conv_id, turn, count(said) OVER w AS n, md5(coalesce(string_agg(said, '|') OVER w, '')) AS prior FROM (SELECT *, CASE WHEN NOT failed THEN role || ':' || text END AS said FROM f)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def rolled_back_prefix(spark, d):
+    """What was asked and got no reply leaves the history again."""
+    from pyspark.sql import Window
+
+    turns = table(spark, d, "conversations")
+    replied = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")).eqNullSafe(F.lit("assistant"))
+    rows = runs.history(turns.withColumn("failed", (F.col("role") == "user") & ~replied), failed=F.col("failed"))
+    return rows.select("conv_id", "turn", F.size("prior").cast("long").alias("n"), F.md5(F.array_join(F.transform("prior", lambda p: F.concat(p.role, F.lit(":"), p.text)), "|")).alias("prior"))
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 21600 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
   SELECT user_id, CAST(session AS BIGINT) AS session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS n FROM s GROUP BY 1, 2""")

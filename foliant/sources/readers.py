@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,29 @@ def read_log(spark: SparkSession, path: str, schema: str = OBSERVATION) -> DataF
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def split_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of JSON lines, read once: good rows have the fields of `schema`, bad ones file, line (from 1), reason and value. No line is in neither but empty ones.
+
+    reason: no JSON, no object, or a field of another type. Fields that a line lacks are null, and those that the schema lacks go. A line's number is its place in its block of the file, which a task
+    counts, and the lines of the blocks before, one row a block.
+    """
+    from ..operators.shared import cut
+
+    kind = T._parse_datatype_string(schema)
+    whole = T.StructType([*(T.StructField(f.name, f.dataType) for f in kind.fields), T.StructField("__corrupt", T.StringType())])
+    raw = spark.read.text(path).select("value", _file().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    said = F.try_parse_json("value")
+    read = raw.withColumns({"r": F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}), "kind": F.schema_of_variant(said)})
+    reason = F.when(F.col("kind").isNull(), "no JSON").when(~F.startswith("kind", F.lit("OBJECT")), "no object").when(F.col("r.__corrupt").isNotNull(), "a field of another type")
+    rows = cut(read.select("value", "file", "block", "at", "r", reason.alias("reason")))
+    good = rows.filter("reason is null").select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in kind.fields))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    bad = rows.filter(F.col("reason").isNotNull() & (F.trim("value") != "")).join(blocks, ["file", "block"])
+    return good, bad.select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "reason", "value")
+
+
 def read_images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg}") -> DataFrame:
     """doc (the folder), image, page_no, size, mtime of image files; contents aren't read."""
     from ..functions.text import page_number
