@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import flat_udf
+from ..functions.similarity import flat_udf, order_score_udf, tokens_udf
+from .cluster import multiset_recall
 
 # What a number is, and the characters behind a label in which its value must stand.
 NUMBER = r"-?\d+(?:[.,]\d+)?"
@@ -55,6 +56,27 @@ def label_hits(truth: DataFrame, pages: DataFrame, window: int = WINDOW, text: s
     return rows.join(numbers, [*keys, "low", "value"], "left").select(*keys, "label", "value", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
+def score_rows(truth: DataFrame, known: DataFrame, results: DataFrame, order: bool = True) -> DataFrame:
+    """model, page, recall, hits, total, missed, cut, and order if asked for: one row a result (model, page, text, ok, finish), against the page's text in `truth` (page, text) and its labels in `known` (page, label, value).
+
+    A result that isn't ok has no scores; pages without truth or without known values have none of that kind. cut says whether the token limit ended the text. Of several results of a model and page each is scored by itself only
+    if `text` differs; order is the share of the truth's tokens in matching blocks, in Arrow batches.
+    """
+    good = results.filter("ok").select("model", "page", "text").distinct()
+    tokens = lambda df: df.select(F.struct("model", "page").alias("key"), tokens_udf("text").alias("tokens"))
+    asked = good.select("model", "page").join(truth, "page")
+    recall = multiset_recall(tokens(asked), tokens(good), "key").select("key.*", "recall")
+    hits = page_scores(label_hits(known, good), ("model", "page"))
+    rows = results.select("model", "page", F.coalesce("ok", F.lit(False)).alias("ok"), (F.col("ok") & F.col("finish").eqNullSafe(F.lit("length"))).alias("cut")).distinct()
+    rows = rows.join(recall, ["model", "page"], "left").join(hits, ["model", "page"], "left")
+    names = ["model", "page", "ok", "cut", "recall", "hits", "total", "missed"]
+    if order:
+        both = good.join(truth.select("page", F.col("text").alias("truth")), "page")
+        rows = rows.join(both.select("model", "page", order_score_udf("truth", "text").alias("order")), ["model", "page"], "left")
+        names.append("order")
+    return rows.select(*names)
+
+
 def page_scores(hits: DataFrame, by: tuple[str, ...] = ("page",)) -> DataFrame:
     """hits, total, missed (label=value, ascending): one row for each result of a page with known values."""
     missed = F.array_sort(F.collect_list(F.when(~F.col("hit"), F.concat("label", F.lit("="), "value"))))

@@ -56,6 +56,38 @@ def joined_texts(texts: DataFrame) -> DataFrame:
     return texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", one.alias("t")))), lambda s: s.t), "\n\n").alias("text"))
 
 
+def read_sources(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(texts, missing) of a list of files: pos, file, text of those that are there, and pos, file, warning of the others, which end nothing. A path that stands there twice is read twice."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    here = []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        here.append((len(here), path, fs.makeQualified(p).toString() if fs.isFile(p) else None))
+    asked = spark.createDataFrame(here, "pos int, file string, whole string")
+    there = sorted({w for _, _, w in here if w})
+    read = read_texts(spark, there) if there else spark.createDataFrame([], "file string, text string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    texts = asked.filter("whole is not null").join(read.select(plain(F.col("file")).alias("at"), "text"), plain(F.col("whole")) == F.col("at")).select("pos", "file", "text")
+    return texts, asked.filter("whole is null").select("pos", "file", F.concat(F.lit("not found, skipped: "), F.col("file")).alias("warning"))
+
+
+def marked_texts(texts: DataFrame, order: str = "pos") -> DataFrame:
+    """One row: all texts in order, each between marks that name its file, as a model is asked with them."""
+    name = F.substring_index("file", "/", -1)
+    # fixed values: how a source begins and ends in a prompt, and what stands between two
+    one = F.concat(F.lit("[SOURCE: "), name, F.lit("]\n"), F.col("text"), F.lit("\n[/SOURCE: "), name, F.lit("]"))
+    return texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, one.alias("t")))), lambda s: s.t), "\n\n---\n\n").alias("text"))
+
+
+def read_imports(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, cards (in order) of card files that are imported as decks, one row a file. Cards need a front and a back; tags are empty and due is 0 where a card lacks them."""
+    rows = read_records(spark, path, IMPORT).filter("front is not null and back is not null")
+    card = F.struct("pos", "front", "back", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "guid", "sort_field", F.coalesce("due", F.lit(0)).alias("due"))
+    cards = F.transform(F.array_sort(F.collect_list(card)), lambda c: F.struct(c.front.alias("front"), c.back.alias("back"), c.tags.alias("tags"), c.guid.alias("guid"), c.sort_field.alias("sort_field"), c.due.alias("due")))
+    return rows.groupBy("file").agg(F.count("*").alias("n"), cards.alias("cards"))
+
+
 def excerpt(texts: DataFrame, n: int = 40, text: str = "text") -> DataFrame:
     """The first n lines, and how many more there are."""
     lines = F.split(text, "\n")
