@@ -157,10 +157,9 @@ def sieved(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     if bits > _SIEVES:
         return rows
     at = F.col(name).bitwiseAND(F.lit(bits - 1))
-    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("m")).collect()  # bits / 64 rows at most
+    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("m")).toArrow()  # bits / 64 rows at most, as two columns of numbers
     mask = np.zeros(bits >> 6, np.int64)
-    for w, m in words:
-        mask[w] = m
+    mask[words.column("w").to_numpy()] = words.column("m").to_numpy()
     sent, path = rows.sparkSession.sparkContext.broadcast(mask), key.split(".")
     place, names = rows.columns.index(path[0]), rows.columns
 
