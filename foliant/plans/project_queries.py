@@ -208,20 +208,22 @@ def default_material(spark, d):
     return projects.material(_materials(spark, d), texts)
 
 
-@query("""SELECT path, ord, problem FROM (VALUES
-  (0, 0, 'not a JSON object'), (1, 0, 'project_name is missing'), (1, 1, 'collections is missing'), (2, 0, 'tag_prefix is empty'), (2, 1, 'collections is no object with entries'),
-  (3, 0, 'project_name is empty'), (3, 1, 'collections.a is no object'), (3, 2, 'collections.b has no filename'), (3, 3, 'collections.c.filename does not end in .json')) v(path, ord, problem) WHERE path IN (SELECT r_regionkey FROM region)""")
+@query("""SELECT s_suppkey AS path, CAST(unnest(range(0, len(p))) AS INTEGER) AS ord, unnest(p) AS problem FROM (SELECT s_suppkey, CASE s_suppkey % 5
+  WHEN 0 THEN ['not a JSON object'] WHEN 1 THEN ['project_name is missing', 'collections is missing'] WHEN 2 THEN ['tag_prefix is empty', 'collections is no object with entries']
+  WHEN 3 THEN ['project_name is empty', 'collections.a is no object', 'collections.b has no filename', 'collections.c' || s_nationkey || '.filename does not end in .json'] ELSE [] END AS p FROM supplier)""")
 def project_problems(spark, d):
-    """Configurations that are broken, or whole, by region."""
-    said = [
-        "[1, 2",
-        '{"tag_prefix": "T"}',
-        '{"project_name": "a", "tag_prefix": " ", "collections": {}}',
-        '{"project_name": 7, "tag_prefix": "T", "collections": {"b": {}, "a": 1, "c": {"filename": "c.txt"}, "d": {"filename": "d.json"}}}',
-        '{"project_name": "a", "tag_prefix": "T", "collections": {"d": {"filename": "d.json"}}}',
-    ]
-    files = table(spark, d, "region").select(F.col("r_regionkey").alias("path"), F.element_at(F.array(*map(F.lit, said)), F.col("r_regionkey") + 1).alias("value"))
-    return projects.project_problems(files).select(F.col("path").cast("int"), F.col("ord").cast("int"), "problem")
+    """Every supplier's configuration, made of its name and nation: broken in four ways, or whole."""
+    s = table(spark, d, "supplier")
+    name, key, c = F.concat(F.lit('"'), "s_name", F.lit('"')), F.col("s_suppkey").cast("string"), F.concat(F.lit('"c'), F.col("s_nationkey").cast("string"), F.lit('"'))
+    said = (
+        F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("["), name, F.lit(", 2")))
+        .when(F.col("s_suppkey") % 5 == 1, F.concat(F.lit('{"tag_prefix": '), name, F.lit("}")))
+        .when(F.col("s_suppkey") % 5 == 2, F.concat(F.lit('{"project_name": '), name, F.lit(', "tag_prefix": " ", "collections": {}}')))
+        .when(F.col("s_suppkey") % 5 == 3, F.concat(F.lit('{"project_name": '), key, F.lit(', "tag_prefix": "T", "collections": {"b": {}, "a": 1, '), c, F.lit(': {"filename": "c.txt"}, "d": {"filename": "d.json"}}}')))
+        .otherwise(F.concat(F.lit('{"project_name": '), name, F.lit(', "tag_prefix": "T", "collections": {'), c, F.lit(': {"filename": "d.json"}}}')))
+    )
+    found = projects.project_problems(s.select(F.col("s_suppkey").alias("path"), said.alias("value")))
+    return found.select("path", F.col("ord").cast("int"), "problem")
 
 
 @query("""SELECT 'default_model' AS key, CAST(NULL AS VARCHAR) AS subkey, r_name AS value FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'default_judge_model', NULL, 'j'""")
