@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,10 +52,50 @@ def answer(call: Call, request: dict, codes: tuple[int, ...], delays: tuple[floa
     raise AssertionError
 
 
+#: Seconds after which a journal goes on in another file: some stores show a file only when it is closed.
+_OPEN_S = 1.0
+
+
+class _Journal:
+    """Answers of one task's attempt, a line each, in files of its own under `at`. A line is with the file system when `add` returns."""
+
+    def __init__(self, files: pafs.FileSystem, at: str):
+        self.files, self.at, self.out, self.since, self.lock = files, at, None, 0.0, threading.Lock()
+
+    def add(self, got: dict) -> None:
+        line = json.dumps(got).encode() + b"\n"
+        with self.lock:
+            if self.out is None:
+                self.out, self.since = self.files.open_output_stream(f"{self.at}/{uuid.uuid4().hex}.json"), time.monotonic()
+            self.out.write(line)
+            self.out.flush()
+            if time.monotonic() - self.since > _OPEN_S:
+                self.close()
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+
+def _kept(files: pafs.FileSystem, at: str) -> dict[str, dict]:
+    """Answers by request of the journals under `at`; a line that a worker died over is none."""
+    found = {}
+    for f in files.get_file_info(pafs.FileSelector(at)):
+        with files.open_input_stream(f.path) as lines:
+            for line in lines.read().split(b"\n"):
+                try:
+                    got = json.loads(line)
+                except ValueError:
+                    continue
+                found[got["request_id"]] = got
+    return found
+
+
 class Client:
     """Asks on executors, `threads` requests at a time in each task, and keeps answers under `path`, a folder that driver and executors share.
 
-    An answer is written to the journal there the moment it is known, under its request's name, so a task that is lost and runs again, and a later run, read it instead of asking; what was in flight
+    An answer is written to the journal there the moment it is known, as a line of the files of its task, so a task that is lost and runs again, and a later run, read it instead of asking; what was in flight
     when a worker died is asked again. When a run is through, its answers become one Parquet part and their journal goes. Failures that the schedule gave up are kept too, and asked again only with `again`.
     """
 
@@ -92,48 +133,33 @@ class Client:
 
     def _run(self, todo: DataFrame) -> None:
         call, threads, codes, delays, jitter, sleep = self.call, self.threads, self.codes, self.delays, self.jitter, self.sleep
-        run, journal = uuid.uuid4().hex, f"{self.path}/journal"
-        done = f"{self.path}/answers/run={run}"
+        run = uuid.uuid4().hex
+        journal, done = f"{self.path}/journal/run={run}", f"{self.path}/answers/run={run}"
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            files, at = _open(journal)
+            from pyspark import TaskContext
+
+            files, at = _open(f"{journal}/part-{TaskContext.get().partitionId()}")
+            files.create_dir(at, recursive=True)
+            had, lines = _kept(files, at), _Journal(files, at)
 
             def one(row: tuple[str, str]) -> dict:
-                name = f"{at}/{hashlib.sha256(row[0].encode()).hexdigest()}.json"
-                try:  # a task of this run that was lost had it
-                    with files.open_input_stream(name) as f:
-                        kept = json.loads(f.read())
-                    if kept.get("run") == run:
-                        return kept
-                except (FileNotFoundError, ValueError):
-                    pass
-                got = answer(call, json.loads(row[1]), codes, delays, jitter, sleep) | {"run": run}
-                part = f"{name}.{uuid.uuid4().hex}"
-                with files.open_output_stream(part) as f:
-                    f.write(json.dumps(got).encode())
-                files.move(part, name)
+                if row[0] in had:  # a task of this run that was lost had it
+                    return had[row[0]]
+                got = answer(call, json.loads(row[1]), codes, delays, jitter, sleep)
+                lines.add(got)
                 return got
 
-            files.create_dir(at, recursive=True)
-            with ThreadPoolExecutor(threads) as pool:
-                for batch in batches:
-                    rows = list(pool.map(one, zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
-                    kinds = {"request_id": pa.string(), "code": pa.int32(), "content": pa.string(), "error": pa.string(), "tries": pa.int32(), "waited": pa.float64()}
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
+            try:
+                with ThreadPoolExecutor(threads) as pool:
+                    for batch in batches:
+                        rows = list(pool.map(one, zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+                        kinds = {"request_id": pa.string(), "code": pa.int32(), "content": pa.string(), "error": pa.string(), "tries": pa.int32(), "waited": pa.float64()}
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
+            finally:
+                lines.close()
 
         todo.mapInArrow(ask, ANSWER).write.parquet(done)
         files, at = _open(journal)
-        ids = self.spark.read.parquet(done).select("request_id")
-        names = ids.select(F.concat(F.sha2("request_id", 256), F.lit(".json")).alias("name"))
-
-        def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            files, at = _open(journal)
-            for batch in batches:
-                for name in batch.column(0).to_pylist():
-                    try:
-                        files.delete_file(f"{at}/{name}")
-                    except FileNotFoundError:
-                        pass
-                yield batch.slice(0, 0)
-
-        names.mapInArrow(clear, "name string").write.format("noop").mode("overwrite").save()
+        if files.get_file_info(at).type != pafs.FileType.NotFound:
+            files.delete_dir(at)

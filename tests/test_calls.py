@@ -3,6 +3,7 @@
 import json
 import os
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,33 @@ def test_calls_survive_a_lost_worker(spark):
     assert again == 24 and len(_asked(folder)) == n + 12 * 3 + 12
 
 
+def test_a_task_has_one_journal(spark):
+    """Answers are lines of their task's files, not a file each, and a line that a worker died over is asked again."""
+    path, folder = scratch(spark), tempfile.mkdtemp()
+
+    def call(request, attempt):
+        files = sum(len(names) for _, _, names in os.walk(f"{path.removeprefix('file:')}/journal"))
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(files))
+        return 200, "x"
+
+    asked = client.Client(spark, path, call, threads=4, per_task=100, delays=())
+    assert asked.ask(spark.range(400).select(F.col("id").cast("string").alias("request_id"))).filter("content = 'x'").count() == 400
+    seen = []
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}") as f:
+            seen.append(int(f.read()))
+    assert len(seen) == 400 and 0 < max(seen) <= 40 and os.listdir(f"{path.removeprefix('file:')}/journal") == []
+
+    files, at = client._open(tempfile.mkdtemp())
+    lines = client._Journal(files, at)
+    for i in range(3):
+        lines.add({"request_id": str(i), "content": "a\nb"})
+    with open(f"{at}/torn.json", "w") as f:
+        f.write('{"request_id": "7", "content": "ok"}\n{"request_id": "8", "cont')
+    assert sorted(client._kept(files, at)) == ["0", "1", "2", "7"]
+
+
 def test_waits_are_spread_and_agree():
     waits = []
     got = client.answer(lambda r, n: (429, None), {"request_id": "a"}, (429,), (2.0, 8.0), 0.25, waits.append)
