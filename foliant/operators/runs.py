@@ -185,20 +185,21 @@ def open_jobs(models: DataFrame, pages: DataFrame, done: DataFrame) -> DataFrame
 
 
 def balanced_pairs(candidates: DataFrame) -> DataFrame:
-    """page, orient, good, bad: of good and bad candidates of a page with the good one shorter, or longer, the pair of largest margin of hits.
+    """page, orient, good, bad: of good and bad candidates of a page with the good one shorter, or longer, the pair of largest margin of hits; of equal ones that of the smaller good name, then of the smaller bad one.
 
     candidates: page, model, good (boolean), hits, length. For one orientation only the best partner by length counts, so pairs come from running
     extremes over candidates sorted by length, not from all combinations.
     """
+    known = candidates.dropna(subset=["page", "good", "hits", "length"])
     w = Window.partitionBy("page").orderBy("length")
-    # of the bad ones strictly shorter (longer), the one with the fewest hits, then the smaller name
-    key = F.when(~F.col("good"), F.struct("hits", "model"))
+    # of the bad ones strictly shorter (longer), the one with the fewest hits, then the smaller name, null last
+    key = F.when(~F.col("good"), F.struct("hits", F.col("model").isNull().alias("none"), "model"))
     shorter = F.min(key).over(w.rangeBetween(Window.unboundedPreceding, -1))
     longer = F.min(key).over(w.rangeBetween(1, Window.unboundedFollowing))
-    rows = candidates.withColumns({"a": shorter, "b": longer}).filter("good")
+    rows = known.withColumns({"a": shorter, "b": longer}).filter("good")
     each = rows.select("page", "model", "hits", F.explode(F.array(F.struct(F.lit("good_longer").alias("orient"), F.col("a").alias("bad")), F.struct(F.lit("good_shorter").alias("orient"), F.col("b").alias("bad")))).alias("x")).filter("x.bad is not null")
     margin = F.col("hits") - F.col("x.bad.hits")
-    n = F.row_number().over(Window.partitionBy("page", "x.orient").orderBy(F.desc("_m"), "model"))
+    n = F.row_number().over(Window.partitionBy("page", "x.orient").orderBy(F.desc("_m"), F.asc_nulls_last("model"), F.asc_nulls_last("x.bad.model")))
     return each.withColumn("_m", margin).filter("_m > 0").withColumn("_n", n).filter("_n = 1").select("page", F.col("x.orient").alias("orient"), F.col("model").alias("good"), F.col("x.bad.model").alias("bad"), F.col("_m").alias("margin"))
 
 

@@ -177,7 +177,7 @@ def job_backlog(spark, d):
   SELECT page, orient, good, bad, margin FROM p QUALIFY row_number() OVER (PARTITION BY page, orient ORDER BY margin DESC, good, bad) = 1""")
 def balanced_pairs(spark, d):
     li = table(spark, d, "lineitem")
-    c = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("model"), (F.col("l_returnflag") == "R").alias("good"), F.col("l_quantity").cast("int").alias("hits"), F.round("l_extendedprice").cast("long").alias("length"))
+    c = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("model"), (F.col("l_returnflag") == "R").alias("good"), F.rint("l_quantity").cast("int").alias("hits"), F.rint("l_extendedprice").cast("long").alias("length"))  # halves go to even numbers, as in SQL
     return runs.balanced_pairs(c)
 
 

@@ -122,3 +122,20 @@ def test_streams(spark, tmp_path):
         ingest.upsert_stream(stream, out, str(tmp_path / "c2"), dim, "collection_9_new").awaitTermination(90)
     found = {r["front"]: r["sort_field"] for r in spark.read.parquet(out).collect()}
     assert found == {"a": "01_A_01_a", "b": "01_A_02_b", "c": "01_A_03_c"}
+
+
+def test_balanced_pairs_break_all_ties(spark):
+    """Equal margins of one good model, on two rows of it, go to the smaller bad one; rows without hits are in no pair, nor do they hide others."""
+    rows = [(1, 4, True, 20, 9), (1, 4, True, 15, 5), (1, 7, False, 5, 20), (1, 2, False, 10, 12), (1, 1, False, None, 30)]
+    rows += [(2, 4, True, 20, 10), (2, 4, True, 15, 30), (2, 2, False, 0, 20), (2, 7, False, 5, 5), (2, 1, False, None, 1)]
+    c = spark.createDataFrame(rows, "page int, model int, good boolean, hits int, length int")
+    pairs = [(p, g[0], b[0], g[1] - b[1], "good_longer" if g[2] > b[2] else "good_shorter") for p in (1, 2) for g in [r[1:2] + r[3:] for r in rows if r[0] == p and r[2]] for b in [r[1:2] + r[3:] for r in rows if r[0] == p and not r[2] and r[3] is not None] if g[2] != b[2] and g[1] > b[1]]
+    want = {}
+    for p, g, b, m, o in sorted(pairs, key=lambda x: (-x[3], x[1], x[2])):
+        want.setdefault((p, o), (g, b, m))
+    got = {(r["page"], r["orient"]): (r["good"], r["bad"], r["margin"]) for r in runs.balanced_pairs(c).collect()}
+    assert got == want and len(want) == 3
+    # the longer of two equal good rows meets another partner than the shorter one, with the same margin
+    tied = [(3, 1, True, 15, 10), (3, 1, True, 12, 50), (3, 8, False, 10, 5), (3, 3, False, 7, 40)]
+    t = spark.createDataFrame(tied + [(r[0] + 1, *r[1:]) for r in reversed(tied)], "page int, model int, good boolean, hits int, length int")
+    assert sorted((r["page"], r["bad"]) for r in runs.balanced_pairs(t).filter("orient = 'good_longer'").collect()) == [(3, 3), (4, 3)]
