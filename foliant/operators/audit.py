@@ -50,11 +50,21 @@ def marker_parity(docs: DataFrame, text: str = "text") -> DataFrame:
     """id, starts, ends of each kind of marker, and whether they agree."""
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
     out = docs.withColumns({"collection_starts": count(r"<!-- COLLECTION_\d+_START -->"), "collection_ends": count(r"<!-- COLLECTION_\d+_END -->"), "card_starts": count("<!-- CARDS_START -->"), "card_ends": count("<!-- CARDS_END -->")})
+    return _with_parity(out)
+
+
+def marker_parity_of_lines(lines: DataFrame, by: str = "doc") -> DataFrame:
+    """The same of texts that come as lines (by, line): counts are summed, so no text is whole anywhere."""
+    told = marker_parity(lines.select(by, "line"), "line")
+    return _with_parity(told.groupBy(by).agg(*(F.sum(c).alias(c) for c in ("collection_starts", "collection_ends", "card_starts", "card_ends"))))
+
+
+def _with_parity(out: DataFrame) -> DataFrame:
     return out.withColumn("parity", (F.col("collection_starts") == F.col("collection_ends")) & (F.col("card_starts") == F.col("card_ends")))
 
 
 def post_checks(cards: DataFrame, files: DataFrame, dimension: DataFrame, markdown: DataFrame) -> DataFrame:
-    """check, passed, bad (how many rows offend). files: filename, rows of it. Keys may hold capitals."""
+    """check, passed, bad (how many rows offend). files: filename, rows of it; markdown: texts, or their lines (doc, line). Keys may hold capitals."""
 
     def row(name: str, bad: DataFrame) -> DataFrame:
         return bad.agg(F.count("*").alias("bad")).select(F.lit(name).alias("check"), (F.col("bad") == 0).alias("passed"), "bad")
@@ -62,7 +72,7 @@ def post_checks(cards: DataFrame, files: DataFrame, dimension: DataFrame, markdo
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     counts = cards.agg(F.count("*").alias("a")).join(files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("b")), F.lit(True)).filter("a <> b")
     found = [
-        row("marker_parity", marker_parity(markdown).filter("not parity")),
+        row("marker_parity", (marker_parity_of_lines(markdown) if "line" in markdown.columns else marker_parity(markdown)).filter("not parity")),
         row("file_names", one_sided(dimension.select("filename"), files, "filename")),
         row("count_consistency", counts),
         row("required_fields", cards.filter(empty("front") | empty("back") | empty("guid"))),

@@ -133,6 +133,32 @@ def test_outline(spark):
     assert audit.marker_parity(text).first()["parity"]
 
 
+def test_outline_lines_are_those_of_the_text(spark):
+    """Lines of an index in several ranges against a plain text: fronts of many lines, without one, of a category without a name, and no cards at all."""
+    rows = [(i, f"f{i}\n<!-- CARDS_START -->\n\nend" if i % 7 == 0 else None if i % 11 == 0 else f"f{i}", f"collection_{i % 12}_x", [None, "a_one", "b_two"][i % 3] if i % 12 != 5 else None, None if i % 2 else f"{i % 5}") for i in range(200)]
+    kind = "pos int, front string, collection string, category string, sort_field string"
+    c, dim = spark.createDataFrame(rows, kind), spark.createDataFrame([("collection_2_x", "Two\nlines")], "key string, display_name string")
+
+    def text(rows, header=""):
+        blocks = []
+        for n in range(12 if rows else 0):
+            body = []
+            for cat, head in (("a_one", "**A. One**"), ("b_two", "**B. Two**")):
+                mine = sorted((r[4] or "", r[0], r[1]) for r in rows if r[2] == f"collection_{n}_x" and r[3] == cat)
+                if mine:
+                    body.append(f"{head}\n" + "\n".join(f"{k}. {r[2]}" for k, r in enumerate(mine, 1) if r[2] is not None) + "\n")
+            name = "Two\nlines" if n == 2 else "X"
+            blocks.append(f"<!-- COLLECTION_{n}_START -->\n# Sammlung {n}\n\n**{name}**\n\n<!-- CARDS_START -->\n***\n\n" + "\n".join(body) + f"\n<!-- CARDS_END -->\n<!-- COLLECTION_{n}_END -->\n\n---")
+        return f"{header}<!-- ANKI_CARD_LIST_START -->\n\n" + "\n".join(blocks)
+
+    lines = outline.outline_lines(c, dim, "# H\n").orderBy("line_no").collect()
+    assert [r["line_no"] for r in lines] == list(range(len(lines))) and "\n".join(r["line"] for r in lines) == text(rows, "# H\n")
+    assert outline.write_outline(c.limit(0), dim).first()["text"] == text([])
+    said = outline.outline_lines(c.filter("pos % 7 <> 0"), dim).withColumn("doc", F.lit("d"))
+    assert audit.marker_parity_of_lines(said).first()["parity"] and not audit.marker_parity_of_lines(said.filter("line not like '%_END -->'")).first()["parity"]
+    assert outline.read_outline_lines(said).count() == sum(1 for r in rows if r[0] % 7 and r[1] and r[3])
+
+
 @pytest.mark.parametrize("counts, median, threshold, low", [((50, 50, 1), 50, 7, [1]), ((5, 5), None, None, []), ((1, 2, 30, 40), 30, 4, [1, 2])])
 def test_balance(spark, counts, median, threshold, low):
     df = spark.createDataFrame([(f"c{i}",) for i, n in enumerate(counts) for _ in range(n)], "collection string")
