@@ -31,9 +31,15 @@ def _writes(files: pafs.FileSystem, at: str) -> list[int]:
     return sorted(int(f.base_name.split("-")[1]) for f in found if re.fullmatch(r"write-\d+", f.base_name))
 
 
+#: Files of a folder that a task writes, and of a part that a task reads.
+_FILES = 1000
+
+
 @dataclass
-class File(InputPartition):
-    name: str
+class Files(InputPartition):
+    """Files, or folders of files, that one task reads."""
+
+    names: list[str]
 
 
 @dataclass
@@ -61,24 +67,35 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, kind: str):
         self.path, self.kind = path, kind
 
-    def partitions(self) -> list[File]:
+    def partitions(self) -> list[Files]:
         files, at = _open(self.path)
         return self.of(_writes(files, at))
 
-    def of(self, writes: list[int]) -> list[File]:
+    def of(self, writes: list[int]) -> list[Files]:
+        """A part for each folder of a write, whose files its task lists, and for some files at a time that lie in no folder."""
         files, at = _open(self.path)
-        return [File(f.path) for n in writes for f in sorted(files.get_file_info(pafs.FileSelector(f"{at}/write-{n:08d}")), key=lambda f: f.path) if f.is_file]
-
-    def read(self, partition: File) -> Iterator[tuple]:
+        parts = []
+        for n in writes:
+            found = sorted(files.get_file_info(pafs.FileSelector(f"{at}/write-{n:08d}")), key=lambda f: f.path)
+            plain = [f.path for f in found if f.is_file]
+            parts += [Files([f.path]) for f in found if not f.is_file] + [Files(plain[k : k + _FILES]) for k in range(0, len(plain), _FILES)]
+        return parts
+
+    def read(self, partition: Files) -> Iterator[tuple]:
         if partition is None:  # an empty table
             return
         files, _ = _open(self.path)
-        with files.open_input_stream(partition.name) as f:
+        for f in files.get_file_info(partition.names):
+            for name in [f.path] if f.is_file else sorted(x.path for x in files.get_file_info(pafs.FileSelector(f.path))):
+                yield from self._rows(files, name)
+
+    def _rows(self, files: pafs.FileSystem, name: str) -> Iterator[tuple]:
+        with files.open_input_stream(name) as f:
             lines = _lines(f)
             if self.kind == "lines_log":
                 yield from ((line,) for line in lines if line.strip())
             else:
-                doc = partition.name.rsplit("/", 1)[-1].removesuffix(".txt").split(".", 1)[1]
+                doc = name.rsplit("/", 1)[-1].removesuffix(".txt").split(".", 1)[1]
                 yield from read_sections(bytes.fromhex(doc).decode(), lines)
 
 
@@ -101,7 +118,7 @@ class _Stream(_Reader, DataSourceStreamReader):
         files, at = _open(self.path)
         return {"write": max(_writes(files, at), default=0)}
 
-    def partitions(self, start: dict, end: dict) -> list[File]:
+    def partitions(self, start: dict, end: dict) -> list[Files]:
         files, at = _open(self.path)
         return self.of([n for n in _writes(files, at) if start["write"] < n <= end["write"]])
 
@@ -115,15 +132,13 @@ class _Writer(DataSourceWriter):
         self.stage = f"_stage-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Written:
-        """A file a document, in the order of rows, or one file of lines. A task that runs again writes files of other names, of which the commit would take both; so a task's folder carries its attempt."""
+        """A file a document, in the order of rows, or one file of lines. A task that runs again writes files of other names, of which the commit would take both; so a task's folders carry its attempt. A folder takes a bounded number of files."""
         from pyspark import TaskContext
 
         files, at = _open(self.path)
         task = TaskContext.get()
         mine_only = f"{task.partitionId()}-{task.taskAttemptId()}"
-        folder = f"{at}/{self.stage}/{mine_only}"
-        files.create_dir(folder, recursive=True)
-        n, doc, out = 0, None, None
+        n, doc, out, made = 0, None, None, 0
         for row in rows:
             n += 1
             mine = "" if self.kind == "lines_log" else row["doc"] or ""
@@ -131,6 +146,10 @@ class _Writer(DataSourceWriter):
                 if out:
                     out.close()
                 doc = mine
+                folder = f"{at}/{self.stage}/{mine_only}/{mine_only}-{made // _FILES}"
+                if made % _FILES == 0:
+                    files.create_dir(folder, recursive=True)
+                made += 1
                 out = files.open_output_stream(f"{folder}/{uuid.uuid4().hex}.{mine.encode().hex()}.txt")
             if self.kind == "lines_log":
                 line = row["value"] if self.columns == ["value"] else json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False)
@@ -147,9 +166,9 @@ class _Writer(DataSourceWriter):
         stage = f"{at}/{self.stage}"
         whole = f"{stage}-whole"
         files.create_dir(whole, recursive=True)
-        for m in messages:  # files of the attempts that counted
+        for m in messages:  # folders of the attempts that counted
             if m is not None:
-                for f in files.get_file_info(pafs.FileSelector(f"{stage}/{m.folder}")):
+                for f in files.get_file_info(pafs.FileSelector(f"{stage}/{m.folder}", allow_not_found=True)):
                     files.move(f.path, f"{whole}/{f.base_name}")
         had = _writes(files, at)
         files.move(whole, f"{at}/write-{max(had, default=0) + 1:08d}")

@@ -33,6 +33,20 @@ def test_sections_round_trip(known):
     assert known.read.format("sections").load(tempfile.mkdtemp()).count() == 0
 
 
+def test_many_documents_are_few_parts(known):
+    """A part holds many files, whose commit moves folders; files that lie in no folder, as former writes left them, are read too."""
+    at = tempfile.mkdtemp()
+    rows = known.range(2500).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc"), F.lit("page_1").alias("image"), F.lit(1).alias("ord"), F.col("id").cast("string").alias("body"))
+    rows.repartition(2, "doc").sortWithinPartitions("doc").write.format("sections").mode("append").save(at)
+    got = known.read.format("sections").load(at)
+    assert got.rdd.getNumPartitions() <= 4 and {(r["doc"], r["body"]) for r in got.collect()} == {(f"d{i}", str(i)) for i in range(2500)}
+    os.mkdir(f"{at}/write-00000002")
+    for i in range(3):
+        with open(f"{at}/write-00000002/{i}.{f'old{i}'.encode().hex()}.txt", "w") as f:
+            f.write("Image: page_1\nx\n")
+    assert known.read.format("sections").load(at).count() == 2503 and known.read.format("sections").load(at).filter("doc like 'old%'").count() == 3
+
+
 def test_a_write_that_fails_leaves_nothing(known):
     at = tempfile.mkdtemp()
     rows = _sections(known, {c: ["x"] for c in "abcdefgh"})
