@@ -2,58 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import flat_udf, order_score_udf, tokens_udf
+from ..functions.similarity import numbers_behind, order_score_udf, tokens_udf
 from .cluster import multiset_recall
 
-# What a number is, and the characters behind a label in which its value must stand.
-NUMBER = r"-?\d+(?:[.,]\d+)?"
+# Fixed value: the characters behind a label in which its value must stand.
 WINDOW = 90
 
-#: Runs of these hold all numbers, and what a window cuts off of a run is read as the run is.
-_RUN, _MARK = r"(?U)[-\d.,]+", "\uE000"
-
-
-def _at(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds at: where each piece of a text begins."""
-    before = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-
-
 def label_hits(truth: DataFrame, pages: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """truth (page, label, value) against pages (page, text and what else tells results apart, such as a model): hit says whether the number `value` stands within `window` characters behind an occurrence of `label`, in any case.
 
     Pages without a result, null texts and empty or null labels are no hit. Texts are read in compatibility forms with single spaces; a number that the window cuts counts as what
-    of it is inside. Repeated rows count once. Places of labels and of numbers are dealt to bins as wide as the window, so those that lie near one another meet, and a label that turns up very often meets only
-    what is around it.
+    of it is inside. Repeated rows count once. A page meets all its labels in one row, so it is read once, and a label that turns up very often costs what is around it alone.
     """
     keys = [c for c in pages.columns if c != text]
-    told = truth.select("page", "label", "value").distinct()
-    flat = pages.select(*keys, F.replace(flat_udf(F.coalesce(text, F.lit(""))), F.lit(_MARK), F.lit(" ")).alias("flat")).distinct().withColumn("copy", F.xxhash64("flat"))
-    each = [*keys, "copy"]
-
-    labels = told.filter(F.col("label") != "").select("page", F.lower("label").alias("low")).distinct()
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace("low", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    low = F.lower("flat")
-    found = flat.join(labels, "page").filter(F.contains(low, F.col("low"))).select(*each, "low", F.startswith(low, F.col("low")).alias("first"), F.posexplode(F.split(low, quoted)).alias("i", "piece"))
-    # a cut lies before every occurrence, overlapping ones too; the first piece begins with one only if the text does
-    starts = _at(found, [*each, "low"]).filter((F.col("i") > 0) | F.col("first")).select(*each, "low", (F.col("at") + F.length("low")).alias("a"))
-    opened = starts.withColumn("b", F.col("a") + window)
-
-    def binned(df: DataFrame) -> DataFrame:
-        return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / window), F.floor((F.col("b") - 1) / window))))
-
-    marked = F.split(F.regexp_replace("flat", f"({_RUN})", f"{_MARK}$1{_MARK}"), _MARK)
-    runs = _at(flat.join(labels.select("page").distinct(), "page", "left_semi").select(*each, F.posexplode(marked).alias("i", "piece")), each)
-    runs = runs.filter("i % 2 = 1").select(*each, "piece", F.col("at").alias("a"), (F.col("at") + F.length("piece")).alias("b"))
-    met = binned(opened).alias("l").join(binned(runs).alias("n"), [*each, "bin"]).filter("l.b > n.a and l.a < n.b")
-    begin = F.greatest(F.col("l.a") - F.col("n.a"), F.lit(0))
-    inside = F.substring(F.col("piece"), begin + 1, F.least("l.b", "n.b") - F.col("n.a") - begin)
-    numbers = met.select(*keys, "low", F.explode(F.regexp_extract_all(inside, F.lit("(?U)" + NUMBER), F.lit(0))).alias("value")).distinct().withColumn("hit", F.lit(True))
-    rows = told.withColumn("low", F.lower("label")).join(pages.select(*keys).distinct(), "page", "left")
-    return rows.join(numbers, [*keys, "low", "value"], "left").select(*keys, "label", "value", F.coalesce("hit", F.lit(False)).alias("hit"))
+    told = truth.select("page", "label", "value").distinct().groupBy("page").agg(F.collect_list(F.struct("label", "value")).alias("asked"))
+    texts = pages.select(*keys, F.coalesce(text, F.lit("")).alias("text")).groupBy(*keys).agg(F.collect_set("text").alias("texts"))
+    met = told.join(texts, "page", "left")
+    found = numbers_behind(window)("texts", F.transform("asked", lambda x: x.label), F.transform("asked", lambda x: x.value))
+    return met.select(*keys, F.explode(F.arrays_zip("asked", found.alias("found"))).alias("x")).select(*keys, "x.asked.label", "x.asked.value", F.coalesce("x.found", F.lit(False)).alias("hit"))
 
 
 def score_rows(truth: DataFrame, known: DataFrame, results: DataFrame, order: bool = True) -> DataFrame:

@@ -249,3 +249,9 @@ def test_label_hits_are_those_of_the_text_itself(spark):
     assert {r[1] for r in rows if r[0] == 92} == {None} and len({r[:4] for r in rows}) == (60 + 2 + 2) * 64 + 2
     one = {r["model"]: r for r in scores.page_scores(scores.label_hits(spark.createDataFrame([(91, "AA", "8"), (91, "aa", "9")], "page int, label string, value string"), spark.createDataFrame(pages, "page int, model string, text string")), ("page", "model")).collect()}
     assert (one["m1"]["hits"], one["m1"]["total"], one["m1"]["missed"]) == (1, 2, ["aa=9"])
+
+
+def test_label_hits_read_a_page_once(spark):
+    """A page and its labels are one row: no window runs over pieces of texts, of which there are many times the text."""
+    df = scores.label_hits(spark.createDataFrame([(1, "a", "7")], "page int, label string, value string"), spark.createDataFrame([(1, "x a 7")], "page int, text string"))
+    assert df.collect()[0]["hit"] and "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
