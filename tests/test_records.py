@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import audit, cluster, outline, records
+from foliant.operators import audit, blocks, cluster, outline, records
 from foliant.sources import readers, writers
 
 CARD = "pos bigint, guid string, front string, back string, collection string, category string, sort_field string"
@@ -68,6 +68,33 @@ def test_similarity_join_is_exact(spark):
         assert got == want
 
 
+def _shuffled(spark) -> int:
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_similarity_join_moves_sets_and_not_meetings(spark, monkeypatch):
+    """Thousands of sets that share common tokens by twos: what is shuffled grows with the sets, not with their pairs. They lie in several blocks, and codes of few bits are told apart."""
+    monkeypatch.setattr(blocks, "_LEAST", 2000)
+    monkeypatch.setattr(blocks, "_BITS", 11)
+    rng = random.Random(5)
+    rows = [(i, " ".join({f"w{rng.randrange(60)}" for _ in range(rng.choice((6, 12, 18)))})) for i in range(2850)]
+    rows += [(2850 + i, text + " z") for i, text in rows[:150]]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(4).cache()
+    df.count()
+    left, right = df.filter("id < 1500"), df.filter("id >= 1500")
+    before = _shuffled(spark)
+    got = {tuple(r) for r in cluster.similarity_join(left, right, 0.6).collect()}
+    assert _shuffled(spark) - before < 20 * sum(len(text) for _, text in rows)
+    sets = [(i, set(text.split())) for i, text in rows]
+    assert got == {(i, j, len(x & y), len(x | y)) for i, x in sets[:1500] for j, y in sets[1500:] if len(x & y) > 0.6 * len(x | y)} and got
+
+
+def test_tokens_of_one_code_are_seen(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "_BITS", 4)
+    vocab = spark.createDataFrame([(f"w{i}",) for i in range(17)], "token string")
+    assert not blocks.one_code(vocab, 0) and blocks.one_code(vocab.limit(1).unionAll(vocab.limit(1)), 0)
+
+
 def test_votes_and_clusters(spark):
     pairs = spark.createDataFrame([(p, 0, 1) for p in (1, 2, 3)] + [(p, 1, 2) for p in (1, 2, 3)] + [(1, 0, 2)] + [(p, 5, 6) for p in (1, 2)] + [(1, 8, 9)], "pass int, i int, j int")
     v = cluster.vote(pairs, 3)
