@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import json_repair, similarity
-from foliant.operators import cluster, growing, order, outline, records, scores
+from foliant.operators import blocks, cluster, growing, order, outline, records, scores
 from foliant.operators.shared import cut, scratch
 from foliant.sources import buckets, readers
 
@@ -149,6 +149,33 @@ def test_index_gives_the_pairs_of_the_join(spark, t):
     assert sorted((min(r[0], r[1]), max(r[0], r[1]), r[2], r[3]) for r in got) == sorted(map(tuple, want)) and want
 
 
+def test_index_moves_sets_and_not_meetings(spark, monkeypatch):
+    """Sets that share common tokens by twos: what a batch shuffles grows with the sets, not with their pairs. Equal sets of two batches are stored once."""
+    monkeypatch.setattr(blocks, "_LEAST", 2000)
+    rng = random.Random(6)
+    texts = [" ".join({f"w{rng.randrange(60)}" for _ in range(rng.choice((6, 12, 18)))}) for _ in range(1000)]
+    rows = [(i, text) for i, text in enumerate(texts + texts[:200] + [text + " z" for text in texts[100:200]])]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(4).cache()
+    docs.count()
+    index, got = growing.TokenIndex(spark, scratch(spark), 0.6, 4), []
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    for k, part in enumerate(("id < 600", "id >= 600")):
+        got += map(tuple, index.extend(docs.filter(part), k).collect())
+    assert written() - before < 40 * sum(len(text) for _, text in rows)
+    sets = [(i, set(text.split())) for i, text in rows]
+    assert sorted(got) == [(i, j, len(x & y), len(x | y)) for i, x in sets for j, y in sets[i + 1 :] if len(x & y) > 0.6 * len(x | y)] and got
+    assert spark.read.parquet(f"{index.path}/keys").count() == len({frozenset(x) for _, x in sets})
+
+
+def test_index_refuses_tokens_of_one_code(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "_BITS", 4)
+    index = growing.TokenIndex(spark, scratch(spark), 0.6, 4)
+    index.extend(spark.createDataFrame([(0, "a b")], "id bigint, text string"), 0)
+    with pytest.raises(ValueError, match="share a code"):
+        index.extend(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(17)))], "id bigint, text string"), 1)
+
+
 def test_components_grow(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(-5, 140), (7, 7)]
