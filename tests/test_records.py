@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,33 @@ def test_similarity_join_moves_sets_and_not_meetings(spark, monkeypatch):
     assert got == {(i, j, len(x & y), len(x | y)) for i, x in sets[:1500] for j, y in sets[1500:] if len(x & y) > 0.6 * len(x | y)} and got
 
 
+def _block(sets: list[list[int]]) -> blocks._Block:
+    uniq, items = np.unique(np.array([x for s in sets for x in s], np.int64), return_inverse=True)
+    keys = b"".join(i.to_bytes(16, "big") for i in range(len(sets)))
+    return blocks._Block(keys, np.array([len(s) for s in sets], np.int32).tobytes(), uniq.tobytes(), items.astype(np.int32).tobytes())
+
+
+@pytest.mark.parametrize("limits", [{}, {"_CELLS": 500, "_AT_ONCE": 700}, {"_TABLE": 0}, {"_WORD": 0.0}])
+def test_common_tokens_take_little_work_in_a_meeting(monkeypatch, limits):
+    """Sets of tokens as common as those of a language: fewer tokens are met than there are pairs of sets, and what is found is what all pairs give."""
+    for name, value in limits.items():
+        monkeypatch.setattr(blocks, name, value)
+    met, spread = [], blocks._spread
+    monkeypatch.setattr(blocks, "_spread", lambda starts, counts: met.append(int(counts.sum())) or spread(starts, counts))
+    rng = random.Random(7)
+    sets = [sorted({int(1500 ** rng.random()) for _ in range(rng.choice((5, 60, 90, 120)))}) for _ in range(500)]
+    sets += [sorted(set(s[3:]) | {2000 + i % 50}) for i, s in enumerate(sets[:100])]
+    left, right = sets[:300], sets[300:]
+    for a, b, same in ((left, right, False), (sets[:200], sets[:200], True)):
+        met.clear()
+        got = set()
+        for batch in blocks._pairs(_block(a), _block(b), 0.5, same):
+            got |= {(int.from_bytes(r["l"], "big"), int.from_bytes(r["r"], "big"), r["inter"], r["uni"]) for r in batch.to_pylist()}
+        want = {(i, j, len(x & y), len(x | y)) for i, x in enumerate(map(set, a)) for j, y in enumerate(map(set, b)) if len(x & y) > 0.5 * len(x | y) and (not same or i <= j)}
+        assert got == want and len(want) > 50
+        assert "_TABLE" in limits or sum(met) < 2 * len(a) * len(b)
+
+
 def test_tokens_of_one_code_are_seen(spark, monkeypatch):
     monkeypatch.setattr(blocks, "_BITS", 4)
     vocab = spark.createDataFrame([(f"w{i}",) for i in range(17)], "token string")
