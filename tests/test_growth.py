@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import json_repair, similarity
+from foliant.functions import text as T
 from foliant.operators import blocks, cluster, growing, order, outline, records, scores
 from foliant.operators.shared import cut, scratch
 from foliant.sources import buckets, readers
@@ -168,6 +169,23 @@ def test_index_moves_sets_and_not_meetings(spark, monkeypatch):
     assert spark.read.parquet(f"{index.path}/keys").count() == len({frozenset(x) for _, x in sets})
 
 
+def test_index_hashes_long_tokens_alone(spark, monkeypatch):
+    """Texts are told apart once, as `text.token_set` does; only tokens of more than 11 letters are stored to be compared, and pairs are those of the sets."""
+    monkeypatch.setattr(blocks, "_BYTES", 40)
+    odd = ["", None, "...", "İ K\u212a ß", "ab-cd_EF 9z\nab", "abcdefghijk abcdefghijkl ABCDEFGHIJKL", "é" * 30 + "a" * 5000, "a" * 5000 + " b", "b a", "A! b?", "ab cd ef 9z 日本x", "x 日本 ab cd ef", "k i"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "id bigint, text string")
+    want = {r["id"]: set(r["tokens"]) for r in docs.select("id", T.token_set("text").alias("tokens")).collect() if r["tokens"]}
+    sets = {r["id"]: r for r in blocks.coded(docs, 0, "id", "text").collect()}
+    assert {i: r["size"] for i, r in sets.items()} == {i: len(x) for i, x in want.items()} and all(list(r["codes"]) == sorted(set(r["codes"])) for r in sets.values())
+    assert all((sets[i]["key"] == sets[j]["key"]) == (x == y) and len(set(sets[i]["codes"]) & set(sets[j]["codes"])) == len(x & y) for i, x in want.items() for j, y in want.items())
+    index, got = growing.TokenIndex(spark, scratch(spark), 0.3, 4), []
+    for k in range(2):
+        got += map(tuple, index.extend(docs.filter(F.col("id") % 2 == k), k).collect())
+    assert {r["token"] for r in spark.read.parquet(f"{index.path}/vocabulary").collect()} == {"abcdefghijkl", "a" * 5000}
+    pairs = {(min(i, j), max(i, j), n, u) for i, j, n, u in got}
+    assert pairs == {(i, j, len(x & y), len(x | y)) for i, x in want.items() for j, y in want.items() if i < j and len(x & y) > 0.3 * len(x | y)} and len(pairs) == len(got) > 3
+
+
 def test_index_refuses_tokens_of_one_code(spark, monkeypatch):
     monkeypatch.setattr(blocks, "_BITS", 4)
     index = growing.TokenIndex(spark, scratch(spark), 0.6, 4)
